@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from varve.functions.columns import named
 from varve.operators.evaluation import report
-from varve.operators.learners import HuberLearner, add_predictions, fit_all
+from varve.operators.learners import PARALLEL_FITS, HuberLearner, add_predictions, fit_all
 from varve.operators.splitting import FOLDS, HOLDOUT_FRACTION, HOLDOUT_SEED, is_holdout
 
 META = "_meta_features"
 
 
 def out_of_fold(
-    bases: dict[str, Estimator], rows: DataFrame, fold: str = "fold", folds: int = FOLDS, parallelism: int = 4
+    bases: dict[str, Estimator], rows: DataFrame, fold: str = "fold", folds: int = FOLDS, parallelism: int = PARALLEL_FITS
 ) -> tuple[DataFrame, dict[tuple[str, int], Model]]:
     """Predict each row by models that never saw its fold.
 
@@ -31,9 +31,8 @@ def out_of_fold(
     A fold is scored by all base learners in one pass, so the columns come
     side by side without a join; each row is scored once per learner.
     """
-    jobs = {
-        (name, k): (est, rows.where(F.col(fold) != k)) for k in range(folds) for name, est in bases.items()
-    }
+    others = [rows.where(F.col(fold) != k) for k in range(folds)]
+    jobs = {(name, k): (est, others[k]) for k in range(folds) for name, est in bases.items()}
     fitted = fit_all(jobs, parallelism)
     parts = [
         add_predictions({name: fitted[(name, k)] for name in bases}, rows.where(F.col(fold) == k))
@@ -70,7 +69,7 @@ class FoldStack(Estimator):
     def __init__(
         self, bases: dict[str, Estimator], features: Sequence[str], label: str, prediction: str = "stack",
         fold: str = "fold", folds: int = FOLDS, passthrough: bool = True, meta: HuberLearner | None = None,
-        fitted: dict[str, Model] | None = None, parallelism: int = 4,
+        fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS,
     ):
         super().__init__()
         self.bases, self.features, self.label, self.prediction = dict(bases), list(features), label, prediction
@@ -95,7 +94,7 @@ class HoldoutBlend(Estimator):
     def __init__(
         self, bases: dict[str, Estimator], key: str, label: str, prediction: str = "blend",
         fraction: float = HOLDOUT_FRACTION, seed: object = HOLDOUT_SEED, meta: HuberLearner | None = None,
-        fitted: dict[str, Model] | None = None, parallelism: int = 4,
+        fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS,
     ):
         super().__init__()
         self.bases, self.key, self.label, self.prediction = dict(bases), key, label, prediction
@@ -104,7 +103,8 @@ class HoldoutBlend(Estimator):
 
     def _fit(self, dataset: DataFrame) -> "EnsembleModel":
         held_out = is_holdout(named(self.key), self.fraction, self.seed)
-        partial = {("part", n): (e, dataset.where(~held_out)) for n, e in self.bases.items()}
+        seen = dataset.where(~held_out)
+        partial = {("part", n): (e, seen) for n, e in self.bases.items()}
         whole = {} if self.fitted else {("all", n): (e, dataset) for n, e in self.bases.items()}
         fits = fit_all({**partial, **whole}, self.parallelism)
         rows = add_predictions({n: fits[("part", n)] for n in self.bases}, dataset.where(held_out))
@@ -120,11 +120,12 @@ class EnsembleModel(Model, HasInputCols, HasPredictionCol, MLReadable, MLWritabl
 
     labelName = Param(Params._dummy(), "labelName", "observed column, for evaluate", TypeConverters.toString)
     baseNames = Param(Params._dummy(), "baseNames", "base learners, in order", TypeConverters.toListString)
+    ownBases = Param(Params._dummy(), "ownBases", "whether base models are stored with it", TypeConverters.toBoolean)
 
     def __init__(self, bases: dict[str, Model] | None = None, meta: Model | None = None):
         super().__init__()
         self.bases, self.meta = bases or {}, meta
-        self._set(baseNames=list(self.bases))
+        self._set(baseNames=list(self.bases), ownBases=True)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if set(self.bases) & set(dataset.columns):
@@ -137,6 +138,11 @@ class EnsembleModel(Model, HasInputCols, HasPredictionCol, MLReadable, MLWritabl
         scored = self.meta.transform(_assemble(with_bases, self.getInputCols()))
         return scored.select(*map(named, with_bases.columns), named(name))
 
+    def detached(self) -> "EnsembleModel":
+        """The ensemble without its base models, to be stored next to them."""
+        alone = self._copyValues(EnsembleModel({}, self.meta))
+        return alone._set(baseNames=list(self.bases), ownBases=False)
+
     def evaluate(self, dataset: DataFrame) -> float:
         """R² on rows with observed values."""
         label, name = self.getOrDefault(self.labelName), self.getPredictionCol()
@@ -164,7 +170,7 @@ class _EnsembleWriter(DefaultParamsWriter):
 class _EnsembleReader(DefaultParamsReader):
     def load(self, path: str) -> EnsembleModel:
         model = super().load(path)
-        names = model.getOrDefault(model.baseNames)
+        names = model.getOrDefault(model.baseNames) if model.getOrDefault(model.ownBases) else []
         model.bases = {n: PipelineModel.load(f"{path}/bases/{n}") for n in names}
         model.meta = LinearRegressionModel.load(f"{path}/meta")
         return model

@@ -5,12 +5,15 @@ uniformly between the smallest and the largest value among its rows, and
 keeps the feature whose threshold lowers the squared error most.
 
 A level of all trees costs two aggregations over the rows: the value ranges of
-the open nodes, then the sums to the left of the drawn thresholds. Rows carry
-no state between levels. Each job finds the node of a row by walking the trees
-grown so far, which are a broadcast of arrays, so lineage stays one step long
-and a lost executor costs only its own tasks. The arrays grow with trees and
-depth, not with rows; open nodes are worked off in portions whose size is
-bounded, so the thresholds that are broadcast are, too.
+the open nodes, then the sums to the left of the drawn thresholds. Each task
+combines its own rows first, so what is shuffled depends on nodes and features
+and not on rows, and the plan is the same for any number of features. Rows
+carry no state between levels: a task finds the node of a row by walking the
+trees grown so far, which are a broadcast of arrays, so lineage stays one step
+long and a lost executor costs only its own tasks. Open nodes are worked off
+in portions, which bounds the arrays of a task, the thresholds that are
+broadcast, and the table that reaches the driver. The trees themselves grow
+with their number and depth, not with the rows.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from pyspark.sql import types as T
 
 from varve.functions.columns import named
 
-# Numbers in the largest threshold table that is broadcast (8 bytes each).
-THRESHOLD_BUDGET = 4_000_000
+# Most numbers (open nodes times columns, 8 bytes each) in an array of a task.
+PORTION_NUMBERS = 4_000_000
 
 
 @dataclass
@@ -150,7 +153,7 @@ class ExtraTreesLearner(Estimator, _TreeParams, DefaultParamsReadable, DefaultPa
                 break
             found = [
                 self._best_splits(rows, forest, nodes, width, smallest, seed)
-                for nodes in _portions(open_nodes, max(1, THRESHOLD_BUDGET // width))
+                for nodes in _portions(open_nodes, max(1, PORTION_NUMBERS // (width + 1)))
             ]
             splits = pd.concat(found).sort_values("node")
             children = forest.grow(splits)
@@ -163,78 +166,110 @@ class ExtraTreesLearner(Estimator, _TreeParams, DefaultParamsReadable, DefaultPa
         self, rows: DataFrame, forest: Forest, nodes: np.ndarray, width: int, smallest: int, seed: int
     ) -> pd.DataFrame:
         """One row per node of the portion that can be split."""
-        spark = rows.sparkSession
-        lowest, highest = int(nodes[0]), int(nodes[-1])
-        trees = np.unique(forest.tree[nodes])
-        walked = spark.sparkContext.broadcast((forest, trees))
-
-        @F.arrow_udf(T.ArrayType(T.LongType()))
-        def nodes_of(x: pa.Array) -> pa.Array:
-            grown, wanted = walked.value
-            at = grown.locate(_matrix(x), wanted)
-            ends = np.arange(len(x) + 1, dtype=np.int32) * at.shape[1]
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(at.reshape(-1)))
-
-        features = [F.get("x", F.lit(f)) for f in range(width)]
-        # Rows whose node is finished, or belongs to another portion, drop out here.
-        placed = rows.select(
-            F.explode(nodes_of("x")).alias("node"), "y", *[v.alias(f"x{f}") for f, v in enumerate(features)]
-        ).where(F.col("node").between(lowest, highest))
-
-        u = lambda f: F.pmod(F.xxhash64(F.lit(seed), F.col("node"), F.lit(f)), F.lit(1 << 53)) / float(1 << 53)
-        ranges = placed.groupBy("node").agg(
-            F.min("y").alias("y_min"), F.max("y").alias("y_max"),
-            *[F.min(f"x{f}").alias(f"lo{f}") for f in range(width)],
-            *[F.max(f"x{f}").alias(f"hi{f}") for f in range(width)],
-        )
-        drawn = ranges.where("y_min < y_max").select(
-            "node",
-            # NULL marks a feature that is constant in the node.
-            *[
-                F.when(F.col(f"lo{f}") < F.col(f"hi{f}"), F.col(f"lo{f}") + u(f) * (F.col(f"hi{f}") - F.col(f"lo{f}")))
-                .alias(f"t{f}")
-                for f in range(width)
-            ],
-        )
-        left = lambda f: F.col(f"x{f}") <= F.col(f"t{f}")
-        sums = (
-            # At most THRESHOLD_BUDGET numbers by the choice of the portion.
-            placed.join(F.broadcast(drawn), "node")
-            .groupBy("node")
-            .agg(
-                F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"),
-                *[F.first(f"t{f}").alias(f"t{f}") for f in range(width)],
-                *[F.count_if(left(f)).alias(f"n{f}") for f in range(width)],
-                *[F.sum(F.when(left(f), F.col("y")).otherwise(0.0)).alias(f"s{f}") for f in range(width)],
-            )
-        )
-        candidates = F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.col(f"t{f}").alias("threshold"),
-                     F.col(f"n{f}").alias("left_n"), F.col(f"s{f}").alias("left_s"))
-            for f in range(width)
-        ])
-        rest_n, rest_s = F.col("n") - F.col("left_n"), F.col("s") - F.col("left_s")
-        gain = (
-            F.col("left_s") * F.col("left_s") / F.col("left_n") + rest_s * rest_s / rest_n
-            - F.col("s") * F.col("s") / F.col("n")
+        context = rows.sparkSession.sparkContext
+        walk = context.broadcast(_Walk(forest, nodes))
+
+        def ranges_of(batches):
+            lo, hi = np.full((len(nodes), width + 1), np.inf), np.full((len(nodes), width + 1), -np.inf)
+            for x, y in map(_numbers, batches):
+                row, slots, starts = walk.value.group(x)
+                if len(slots):
+                    values = np.column_stack([x, y])[row]
+                    lo[slots] = np.minimum(lo[slots], np.minimum.reduceat(values, starts))
+                    hi[slots] = np.maximum(hi[slots], np.maximum.reduceat(values, starts))
+            seen = np.flatnonzero(np.isfinite(lo[:, -1]))
+            yield from _cells(seen, width + 1, lo=lo[seen], hi=hi[seen])
+
+        # The label is one more column: where its range is empty, the node is pure.
+        ranges = (
+            rows.mapInArrow(ranges_of, "slot long, feature int, lo double, hi double")
+            .groupBy("slot", "feature")
+            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .toArrow()
         )
+        lo, hi = np.zeros((len(nodes), width + 1)), np.zeros((len(nodes), width + 1))
+        at = ranges["slot"].to_numpy(), ranges["feature"].to_numpy()
+        lo[at], hi[at] = ranges["lo"].to_numpy(), ranges["hi"].to_numpy()
+        can = (lo[:, :-1] < hi[:, :-1]) & (lo[:, -1:] < hi[:, -1:])
+        # Node numbers follow from the rows alone, so the draws do, too.
+        share = np.random.default_rng([seed, int(nodes[0])]).random((len(nodes), width))
+        thresholds = context.broadcast(np.where(can, lo[:, :-1] + share * (hi - lo)[:, :-1], np.nan))
+
+        def sums_of(batches):
+            cut = thresholds.value
+            n, s = np.zeros(len(nodes), np.int64), np.zeros(len(nodes))
+            left_n, left_s = np.zeros(cut.shape, np.int64), np.zeros(cut.shape)
+            for x, y in map(_numbers, batches):
+                row, slots, starts = walk.value.group(x)
+                if len(slots):
+                    sizes = np.diff(np.append(starts, len(row)))
+                    left = x[row] <= np.repeat(cut[slots], sizes, axis=0)
+                    n[slots] += sizes
+                    s[slots] += np.add.reduceat(y[row], starts)
+                    left_n[slots] += np.add.reduceat(left, starts, dtype=np.int64)
+                    left_s[slots] += np.add.reduceat(left * y[row][:, None], starts)
+            seen = np.flatnonzero(n)
+            wide = lambda v: np.repeat(v[seen][:, None], width, axis=1)
+            yield from _cells(seen, width, n=wide(n), s=wide(s), left_n=left_n[seen], left_s=left_s[seen])
+
+        sums = rows.mapInArrow(
+            sums_of, "slot long, feature int, n long, s double, left_n long, left_s double"
+        ).groupBy("slot", "feature").agg(*[F.sum(c).alias(c) for c in ("n", "s", "left_n", "left_s")])
         best = (
-            sums.select("node", "n", "s", F.inline(candidates))
-            .where(F.col("threshold").isNotNull() & (F.col("left_n") >= smallest) & (rest_n >= smallest))
-            .withColumn("gain", gain)
-            .withColumn("left_mean", F.col("left_s") / F.col("left_n"))
-            .withColumn("right_n", rest_n)
-            .withColumn("right_mean", rest_s / rest_n)
-            .groupBy("node")
-            .agg(F.max_by(
-                F.struct("feature", "threshold", "gain", "left_n", "left_mean", "right_n", "right_mean"),
-                F.struct(F.col("gain"), -F.col("feature")),
+            sums.withColumns({"right_n": F.expr("n - left_n"), "right_s": F.expr("s - left_s")})
+            .where((F.col("left_n") >= smallest) & (F.col("right_n") >= smallest))
+            .withColumns({
+                "left_mean": F.expr("left_s / left_n"),
+                "right_mean": F.expr("right_s / right_n"),
+                "gain": F.expr("left_s * left_s / left_n + right_s * right_s / right_n - s * s / n"),
+            })
+            .groupBy("slot")
+            .agg(F.expr(
+                "max_by(struct(feature, gain, left_n, left_mean, right_n, right_mean), struct(gain, -feature))"
             ).alias("best"))
-            .select("node", "best.*")
+            .select("slot", "best.*")
+            .toArrow()
+            .to_pandas()
         )
-        out = best.toArrow().to_pandas()
-        walked.unpersist()
-        return out
+        best["threshold"] = thresholds.value[best["slot"], best["feature"]]
+        best["node"] = nodes[best["slot"]]
+        walk.unpersist()
+        thresholds.unpersist()
+        return best
+
+
+class _Walk:
+    """The trees grown so far, and the open nodes of a portion as slots."""
+
+    def __init__(self, forest: Forest, nodes: np.ndarray):
+        self.forest, self.trees = forest, np.unique(forest.tree[nodes])
+        self.slot = np.full(len(forest.feature), -1, np.int64)
+        self.slot[nodes] = np.arange(len(nodes))
+
+    def group(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows ordered by slot, the slots met, and where each one starts."""
+        slots = self.slot[self.forest.locate(x, self.trees)]
+        row, tree = np.nonzero(slots >= 0)
+        slots = slots[row, tree]
+        order = np.argsort(slots, kind="stable")
+        met, starts = np.unique(slots[order], return_index=True)
+        return row[order], met, starts
+
+
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return _matrix(batch.column("x")), batch.column("y").to_numpy()
+
+
+def _cells(slots: np.ndarray, width: int, **values: np.ndarray):
+    """Slot by column matrices as rows ``(slot, feature, *values)``."""
+    step = max(1, 1_000_000 // width)
+    for i in range(0, len(slots), step):
+        part = slots[i : i + step]
+        yield pa.RecordBatch.from_pydict({
+            "slot": np.repeat(part, width),
+            "feature": np.tile(np.arange(width, dtype=np.int32), len(part)),
+            **{k: v[i : i + step].reshape(-1) for k, v in values.items()},
+        })
 
 
 def _portions(nodes: np.ndarray, most: int) -> list[np.ndarray]:

@@ -7,23 +7,29 @@ fitted on exactly the rows its model sees.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from varve.functions.columns import named
 from varve.operators.extra_trees import ExtraTreesLearner
 from varve.operators.scaling import ExactRobustScaler
 
+# Fits that run at a time; each is a series of jobs that leaves cores idle in between.
+PARALLEL_FITS = 8
+
+# Rows that keep a task of an iterative solver busy.
+ROWS_PER_TASK = 50_000
+
 # Defaults of the learners.
 MODEL_SEED = 42
 HUBER_EPSILON, HUBER_ITERATIONS, HUBER_ALPHA = 1.35, 1000, 1e-4
@@ -101,23 +107,32 @@ def _subset(share: str | float) -> str:
 BASE_LEARNERS = {"xgb": boosted, "rf": bagged_forest, "lgb": boosted_by_leaves, "et": randomised_trees}
 
 
-def scaled(learner: Estimator, features: Sequence[str]) -> Pipeline:
-    """Scaler, assembler and learner over the named feature columns."""
+def preparation(features: Sequence[str]) -> Pipeline:
+    """Scaler and assembler over the named feature columns."""
     scaled_names = [f"_scaled_{i}" for i in range(len(features))]
     return Pipeline(stages=[
         ExactRobustScaler(inputCols=list(features), outputCols=scaled_names),
         VectorAssembler(inputCols=scaled_names, outputCol="features", handleInvalid="error"),
-        learner,
     ])
 
 
+def scaled(learner: Estimator, features: Sequence[str]) -> Pipeline:
+    """Scaler, assembler and learner, fitted together."""
+    return Pipeline(stages=[*preparation(features).getStages(), learner])
+
+
 def base_learners(
     features: Sequence[str], label: str, params: dict[str, dict] | None = None, names: Sequence[str] | None = None
 ) -> dict[str, Pipeline]:
-    """The base learners, each predicting into a column of its own name."""
+    """The base learners, each predicting into a column of its own name.
+
+    They share one scaler and one assembler, which ``fit_all`` fits once per
+    set of rows.
+    """
     params = params or {}
+    shared = preparation(features).getStages()
     return {
-        name: scaled(BASE_LEARNERS[name](label, name, params.get(name)), features)
+        name: Pipeline(stages=[*shared, BASE_LEARNERS[name](label, name, params.get(name))])
         for name in (names or BASE_LEARNERS)
     }
 
@@ -134,12 +149,38 @@ def add_predictions(models: dict[str, Model], df: DataFrame) -> DataFrame:
     return df
 
 
-def fit_all(jobs: dict, parallelism: int = 4) -> dict:
-    """Fit independent (estimator, rows) pairs, several Spark jobs at a time."""
-    keys = list(jobs)
-    fit = inheritable_thread_target(lambda key: jobs[key][0].copy().fit(jobs[key][1]))
-    with ThreadPool(max(1, min(parallelism, len(keys)))) as pool:
-        return dict(zip(keys, pool.map(fit, keys)))
+def fit_all(jobs: dict, parallelism: int = PARALLEL_FITS) -> dict:
+    """Fit independent (pipeline, rows) pairs, several Spark jobs at a time.
+
+    Pipelines that share their first stages share the fit of these on the same
+    rows; the fitted models are complete pipelines all the same.
+    """
+
+    def shared(key) -> tuple:
+        pipeline, rows = jobs[key]
+        return (*[id(stage) for stage in pipeline.getStages()[:-1]], id(rows))
+
+    def fit_first(key) -> PipelineModel:
+        pipeline, rows = jobs[key]
+        return Pipeline(stages=pipeline.getStages()[:-1]).fit(rows)
+
+    first = {shared(key): key for key in jobs}
+    prepared = dict(zip(first, in_parallel(fit_first, list(first.values()), parallelism)))
+
+    def fit(key) -> PipelineModel:
+        pipeline, rows = jobs[key]
+        before = prepared[shared(key)]
+        learner = pipeline.getStages()[-1].copy()
+        return PipelineModel(stages=[*before.stages, learner.fit(before.transform(rows))])
+
+    return dict(zip(jobs, in_parallel(fit, list(jobs), parallelism)))
+
+
+def in_parallel(work: Callable, items: Sequence, parallelism: int = PARALLEL_FITS) -> list:
+    """Run driver-side steps, each a series of Spark jobs, on a few threads."""
+    session = SparkSession.getActiveSession()
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(session)(work), items)
 
 
 @contextmanager
@@ -178,8 +219,10 @@ class HuberLearner(
 
     def _fit(self, dataset: DataFrame):
         rows = dataset.select(named(self.getFeaturesCol()), named(self.getLabelCol()))
-        with held(rows):
+        with held(rows) as rows:
             n = rows.count()
+            # Each of many iterations costs a task per partition: join small ones.
+            rows = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
             return LinearRegression(
                 featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
                 predictionCol=self.getPredictionCol(), loss="huber",

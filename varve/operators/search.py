@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.hashing import uniform
 from varve.operators.evaluation import ErrorEvaluator
-from varve.operators.learners import BASE_LEARNERS, scaled
+from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, in_parallel, scaled
 from varve.operators.splitting import FOLDS
 
 
@@ -99,7 +97,7 @@ def candidates(trials: DataFrame, space: dict, trial: str = "trial", seed: objec
 
 def cross_validate(
     make: Callable[[dict], Estimator], settings: Sequence[dict], rows: DataFrame, label: str, prediction: str,
-    fold: str = "fold", folds: int = FOLDS, parallelism: int = 4,
+    fold: str = "fold", folds: int = FOLDS, parallelism: int = PARALLEL_FITS,
 ) -> list[float]:
     """Mean over folds of the negated MAE, for each setting.
 
@@ -114,15 +112,14 @@ def cross_validate(
         return -judge.evaluate(model.transform(rows.where(F.col(fold) == k)))
 
     jobs = [(s, k) for s in range(len(settings)) for k in range(folds)]
-    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
-        scores = pool.map(inheritable_thread_target(score), jobs)
+    scores = in_parallel(score, jobs, parallelism)
     return [sum(scores[s * folds : (s + 1) * folds]) / folds for s in range(len(settings))]
 
 
 def search(
     learner: str, rows: DataFrame, features: Sequence[str], label: str, trials: int | None = None,
     space: dict | None = None, fold: str = "fold", folds: int = FOLDS, seed: object = SEARCH_SEED,
-    parallelism: int = 4,
+    parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
     """Trial table ``(trial, params, score)`` of one learner.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varve.operators.evaluation import long_predictions
 from varve.operators.splitting import fold_index, split_label
-from varve.session import materialise, spread
+from varve.session import materialise
 from varve.sources.tables import read_table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -44,7 +44,7 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     A fit that leaves out a fold, and the scoring of that fold, read only the
     folders they need.
     """
-    return spread(materialise(labelled_net_price(spark, sf_dir), partition_by="fold"))
+    return materialise(labelled_net_price(spark, sf_dir), partition_by="fold")
 
 
 def closed_forms() -> dict:

@@ -86,10 +86,10 @@ def edges(column: str, bins: int) -> str:
     return f"""
 test AS (SELECT * FROM long WHERE split = 'test'),
 edge_lists AS (
-  SELECT model, list_sort(list_distinct(list_transform(quantile_cont({column}, [{at}]), e -> round(e, 6)))) AS edges
+  SELECT model, list_sort(list_distinct([round(e, 6) for e in quantile_cont({column}, [{at}])])) AS edges
   FROM test GROUP BY model),
 binned AS (
-  SELECT t.*, edges, CASE WHEN len(edges) > 1 THEN CAST(len(list_filter(edges[2:len(edges) - 1], e -> {column} > e))
+  SELECT t.*, edges, CASE WHEN len(edges) > 1 THEN CAST(len([e for e in edges[2:len(edges) - 1] if {column} > e])
          AS INTEGER) END AS bin
   FROM test t JOIN edge_lists USING (model))"""
 
@@ -127,7 +127,7 @@ FROM net, (VALUES {names}) AS m(model) WHERE {where} GROUP BY model, split"""
 def profile(columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_missing,
-min({c}) AS lowest, max({c}) AS highest FROM lineitem""" for c in columns
+min({c}) + 0.0::DOUBLE AS lowest, max({c}) + 0.0::DOUBLE AS highest FROM lineitem""" for c in columns
     )
 
 
@@ -259,7 +259,7 @@ SELECT row_key, {', '.join(f"round((net.{c} - {c}_m) / {c}_s, 6) AS scaled_{c}"
     "model_report": metrics(list(METRIC)),
     "cv_neg_mae": f"""WITH {LONG}, folds AS (
   SELECT model, fold, avg(abs(y - p)) AS mae FROM long WHERE split = 'train' GROUP BY model, fold)
-SELECT model, round(-avg(mae), 4) AS score, count(*) AS folds FROM folds GROUP BY model""",
+SELECT model, round(-avg(mae), 4) + 0.0::DOUBLE AS score, count(*) AS folds FROM folds GROUP BY model""",
     "parity_table": f"""WITH {LONG}, r AS (
   SELECT model, {METRIC['r2']} AS r2 FROM long WHERE split = 'test' GROUP BY model)
 SELECT row_key, model, round(y, 6) AS y_true, round(p, 6) AS y_pred, r2
@@ -297,7 +297,7 @@ SELECT model, feature, importance, rank FROM ranked WHERE rank <= 15""",
     "topk_global_permutation": leading_features(10),
     "permutation_shuffle": f"WITH {DONORS} SELECT row_key, repeat, d1 AS lent_price FROM paired",
     "permutation_importance": f"""WITH {SWAPPED}
-SELECT s.model, s.feature, round(any_value(b.r2) - avg(s.r2), 6) AS importance
+SELECT s.model, s.feature, round(any_value(b.r2) - avg(s.r2), 6) + 0.0::DOUBLE AS importance
 FROM scores s JOIN scores b ON b.model = s.model AND b.feature = '' WHERE s.feature <> '' GROUP BY s.model, s.feature""",
     "meta_features": f"WITH {LONG} SELECT row_key, "
     + ", ".join(f"round(max(p) FILTER (model = '{m}'), 6) AS \"{m}\"" for m in MODELS)

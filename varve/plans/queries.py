@@ -16,7 +16,7 @@ from varve.operators.scaling import ExactRobustScaler
 from varve.plans import fixtures
 from varve.plans.fixtures import FEATURES, KEY, TARGET
 from varve.plans.study import score
-from varve.session import new_path, spread
+from varve.session import new_path
 from varve.sources.model_store import load_models, save_models
 from varve.sources.tables import profile
 
@@ -27,10 +27,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 EDGE_DECIMALS = 6
 # Small learners: the queries show that a learner works, not how well it can do.
 SMALL = {
-    "xgb": {"n_estimators": 5, "max_depth": 5, "subsample": 0.9},
-    "rf": {"n_estimators": 10, "max_depth": 8},
-    "lgb": {"n_estimators": 5, "num_leaves": 31, "learning_rate": 0.3, "min_child_samples": 20},
-    "et": {"n_estimators": 10, "max_depth": 7},
+    "xgb": {"n_estimators": 3, "max_depth": 4, "subsample": 0.9},
+    "rf": {"n_estimators": 5, "max_depth": 6},
+    "lgb": {"n_estimators": 3, "num_leaves": 16, "learning_rate": 0.3, "min_child_samples": 20},
+    "et": {"n_estimators": 5, "max_depth": 6},
 }
 # A prediction that explains this share of the variance counts as learned.
 LEARNED = 0.9
@@ -285,7 +285,7 @@ def _long(df: DataFrame, names: list[str], keep=(KEY, "split")) -> DataFrame:
 
 def _learner(name: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = spread(fixtures.labelled_net_price(spark, sf))
+        rows = fixtures.training_table(spark, sf)
         model = base_learners(FEATURES, TARGET, SMALL, [name])[name].fit(rows.where("split = 'train'"))
         return _learned(_long(add_predictions({name: model}, rows), [name]))
 
@@ -293,7 +293,7 @@ def _learner(name: str) -> Query:
 
 
 def learner_huber(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spread(fixtures.labelled_net_price(spark, sf))
+    rows = fixtures.training_table(spark, sf)
     huber = scaled(HuberLearner(labelCol=TARGET, predictionCol="huber"), FEATURES)
     return _learned(_long(add_predictions({"huber": huber.fit(rows.where("split = 'train'"))}, rows), ["huber"]))
 

@@ -13,9 +13,9 @@ from varve.functions.columns import named
 from varve.operators import cleaning, diagnostics, importance, search
 from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend
 from varve.operators.evaluation import long_predictions, report
-from varve.operators.learners import BASE_LEARNERS, add_prediction, base_learners, fit_all
+from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, add_prediction, base_learners, fit_all
 from varve.operators.splitting import fold_index, split_label
-from varve.session import materialise, spread
+from varve.session import materialise
 from varve.sources.model_store import load_models, save_models
 from varve.sources.tables import write_tables
 
@@ -47,7 +47,7 @@ def prepare(df: DataFrame, target: str, reference: str | None = None, fence_on_t
     # Written once: the quartiles, and every fit after them, read the clean table.
     rows = materialise(rows.withColumns({"split": split_label(key), "fold": fold_index(key)}), partition_by="fold")
     fit_on = F.col("split") == "train" if fence_on_train else None
-    return spread(cleaning.within_fence(rows, target, fit_on=fit_on))
+    return cleaning.within_fence(rows, target, fit_on=fit_on)
 
 
 def score(models: dict[str, Model], rows: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def diagnose(
 
 def tune(
     rows: DataFrame, features: Sequence[str], target: str, trials: dict[str, int] | None = None,
-    learners: Sequence[str] = tuple(search.SPACES), parallelism: int = 4,
+    learners: Sequence[str] = tuple(search.SPACES), parallelism: int = PARALLEL_FITS,
 ) -> tuple[dict[str, dict], dict[str, DataFrame]]:
     """Best parameters and the trial table of each tuned learner."""
     best, tables = {}, {}
@@ -118,7 +118,7 @@ def tune(
 def run_study(
     df: DataFrame, target: str, reference: str | None = None, params: dict[str, dict] | None = None,
     trials: dict[str, int] | None = None, passthrough: bool = True, fence_on_train: bool = False,
-    repeats: int = importance.REPEATS, out: str | None = None, parallelism: int = 4,
+    repeats: int = importance.REPEATS, out: str | None = None, parallelism: int = PARALLEL_FITS,
 ) -> Study:
     """Fit the four base learners and both ensembles, and report on them.
 

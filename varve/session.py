@@ -41,13 +41,3 @@ def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small table at least one partition per core before heavy fits.
-
-    A table of many files already has them and passes as it is. Call this on
-    a plain scan: asking a plan with shuffles for its partitions would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

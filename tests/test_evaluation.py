@@ -11,15 +11,16 @@ def _table(spark, pairs, model="m"):
     return spark.createDataFrame([(model, float(y), float(p)) for y, p in pairs], "model string, y_true double, y_pred double")
 
 
-def _one(spark, pairs):
-    return report(_table(spark, pairs), by=["model"]).first().asDict()
+def _one(spark, pairs, **kw):
+    return report(_table(spark, pairs), by=["model"], **kw).first().asDict()
 
 
-def test_metrics_against_numpy(spark):
+@pytest.mark.parametrize("limit", [10**6, 50])
+def test_metrics_against_numpy(spark, limit):
     rng = np.random.default_rng(3)
     y = rng.normal(50, 10, 501)
     p = y + rng.normal(0, 3, 501)
-    got = _one(spark, zip(y, p))
+    got = _one(spark, zip(y, p), limit=limit)
     e = y - p
     want = {
         "r2": 1 - (e**2).sum() / ((y - y.mean()) ** 2).sum(), "mae": abs(e).mean(), "mse": (e**2).mean(),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from varve.functions import errors
 from varve.functions.columns import named
-from varve.operators.quantiles import exact_quantiles
+from varve.operators.quantiles import SMALL_GROUP, exact_quantiles
 
 METRICS = ["r2", "mae", "mse", "medae", "rmse", "mape"]
 _DIRECT = {
@@ -45,7 +45,8 @@ def long_predictions(
 
 
 def report(
-    predictions: DataFrame, by: Sequence[str] = ("model", "split"), metrics: Sequence[str] = METRICS
+    predictions: DataFrame, by: Sequence[str] = ("model", "split"), metrics: Sequence[str] = METRICS,
+    limit: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per group with the wanted metrics.
 
@@ -55,15 +56,15 @@ def report(
     """
     if not by:
         whole = predictions.withColumn("whole", F.lit(True))
-        return report(whole, ["whole"], metrics).drop("whole")
+        return report(whole, ["whole"], metrics, limit).drop("whole")
     by, y, p = list(by), F.col("y_true"), F.col("y_pred")
     direct = [_DIRECT[m](y, p).alias(m) for m in metrics if m != "medae"]
     out = predictions.groupBy(*[named(b) for b in by]).agg(F.count(F.lit(1)).alias("n"), *direct)
     if "medae" in metrics:
         off = predictions.select(*[named(b) for b in by], errors.absolute_error(y, p).alias("off"))
-        medians = exact_quantiles(off, ["off"], [0.5], by=by)
+        medians = exact_quantiles(off, ["off"], [0.5], by=by, limit=limit)
         medians = medians.select(*[named(b) for b in by], F.col("value").alias("medae"))
-        out = out.join(medians, by, "left")
+        out = out.join(F.broadcast(medians), by, "left")  # one row per group
     return out.select(*[named(b) for b in by], "n", *metrics)
 
 

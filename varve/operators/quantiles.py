@@ -1,14 +1,15 @@
 """Exact, linearly interpolated quantiles that hold at any table size.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. That is the fastest plan while a group is small, and it is
-what runs below ``limit`` values per group. Above it, the order statistics are
-found by narrowing: a quantile sketch over all rows gives, for each wanted
-rank, two data values that enclose it; one more pass counts what lies below
-and inside, and sketches the inside again. After a few passes only few
-distinct values are left inside, and these are counted exactly. Each pass is
-one aggregation with map-side combine whose result has a few rows per group,
-so no task ever holds a group, however hot one value is.
+aggregation buffer. Here a group of up to ``limit`` values is sorted inside its
+window partition, which may spill, and the wanted ranks are picked. For larger
+groups the order statistics are found by narrowing: a quantile sketch over all
+rows gives, for each wanted rank, two data values that enclose it; one more
+pass counts what lies below and inside, and sketches the inside again. After a
+few passes only few distinct values are left inside, and these are counted
+exactly. Each pass is one aggregation with map-side combine whose result has a
+few rows per group, so no task ever holds a large group, however hot one value
+is.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from varve.functions.columns import finite_or_null, named
 
-# Values per group up to which one aggregation buffer is fine.
+# Values that one task may sort.
 SMALL_GROUP = 1_000_000
 # The sketch answers at GRID + 1 ranks, each within 1/ACCURACY of the group;
 # two grid steps to either side of a rank therefore enclose it.
@@ -32,6 +33,10 @@ ACCURACY = 10_000
 MARGIN = 2
 
 
+# Linear interpolation between two neighbouring order statistics.
+_BETWEEN = "a + (b - a) * weight"
+
+
 @dataclass(frozen=True)
 class _Bracket:
     """Data values ``lo <= hi`` around the zero-based ranks ``first..last``."""
@@ -60,13 +65,13 @@ def exact_quantiles(
         *[named(b) for b in by],
         *[finite_or_null(named(c)).alias(f"v{i}") for i, c in enumerate(columns)],
     )
-    sizes = rows.groupBy(*[named(b) for b in by]).agg(
-        F.greatest(*[F.count(f"v{i}") for i in range(len(columns))], F.lit(0)).alias("n")
-    )
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= limit:
-        return _in_one_buffer(rows, columns, probabilities, by)
-    return _by_narrowing(rows, columns, probabilities, by, limit)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("v")) for i, c in enumerate(columns)])
+    values = rows.select(*[named(b) for b in by], F.inline(cells)).where(F.col("v").isNotNull())
+    # One row per group and column reaches the driver.
+    sizes = values.groupBy(*[named(b) for b in by], "column").agg(F.count(F.lit(1)).alias("n")).collect()
+    if all(r["n"] <= limit for r in sizes):
+        return _by_sorting(values, probabilities, by, sizes)
+    return _by_narrowing(values, probabilities, by, limit)
 
 
 def quantile_table(
@@ -78,29 +83,33 @@ def quantile_table(
     return {c: [by_key.get((c, float(p))) for p in probabilities] for c in columns}
 
 
-def _in_one_buffer(
-    rows: DataFrame, columns: list[str], probabilities: list[float], by: list[str]
-) -> DataFrame:
-    wanted = F.array(*[F.lit(p) for p in probabilities])
-    wide = rows.groupBy(*[named(b) for b in by]).agg(
-        *[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in range(len(columns))]
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.get(f"q{i}", F.lit(j)).alias("value"))
-            for i, c in enumerate(columns)
-            for j, p in enumerate(probabilities)
-        ]
+def _by_sorting(values: DataFrame, probabilities: list[float], by: list[str], sizes: list) -> DataFrame:
+    keys = [*by, "column"]
+    wanted = [
+        (*[r[k] for k in keys], rank + 1, p, b.weight, share)
+        for r in sizes
+        for p in probabilities
+        for b in [_start(r["n"], p)]
+        for rank, share in ((b.first, "a"), (b.last, "b"))
+    ]
+    table = values.sparkSession.createDataFrame(wanted, T.StructType([
+        *[T.StructField(f"k{i}", values.schema[k].dataType) for i, k in enumerate(keys)],
+        T.StructField("rank", T.IntegerType()), T.StructField("p", T.DoubleType()),
+        T.StructField("weight", T.DoubleType()), T.StructField("end", T.StringType()),
+    ]))
+    order = Window.partitionBy(*map(named, keys)).orderBy("v")
+    same = [named(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
+    ends = (
+        values.withColumn("i", F.row_number().over(order))
+        .join(F.broadcast(table), [*same, F.col("i") == F.col("rank")])  # two rows per answer
+        .groupBy(*map(named, keys), "p", "weight")
+        .agg(*[F.max(F.when(F.col("end") == e, F.col("v"))).alias(e) for e in ("a", "b")])
     )
-    return wide.select(*[named(b) for b in by], F.inline(cells))
+    return ends.select(*map(named, keys), "p", F.expr(_BETWEEN).alias("value"))
 
 
-def _by_narrowing(
-    rows: DataFrame, columns: list[str], probabilities: list[float], by: list[str], limit: int
-) -> DataFrame:
-    spark = rows.sparkSession
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("v")) for i, c in enumerate(columns)])
-    values = rows.select(*[named(b) for b in by], F.inline(cells)).where(F.col("v").isNotNull())
+def _by_narrowing(values: DataFrame, probabilities: list[float], by: list[str], limit: int) -> DataFrame:
+    spark = values.sparkSession
     keys = [*by, "column"]
 
     grid = F.lit([i / GRID for i in range(GRID + 1)])
@@ -198,9 +207,7 @@ def _by_narrowing(
             F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("b"),
         )
     )
-    return found.select(
-        *map(named, keys), "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("weight")).alias("value")
-    )
+    return found.select(*map(named, keys), "p", F.expr(_BETWEEN).alias("value"))
 
 
 def _start(n: int, p: float) -> _Bracket:

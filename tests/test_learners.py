@@ -165,14 +165,18 @@ def test_column_stack(spark):
     assert sorted(map(tuple, column_stack(long, ["m", "n"]).collect())) == [("a", 1.0, 2.0), ("b", 3.0, None)]
 
 
-def test_donors_lend_every_value_once(spark):
-    df = spark.range(50).select(F.concat(F.lit("r"), "id").alias("key"), F.col("id").cast("double").alias("v"))
+@pytest.mark.parametrize("size", [20_000, 60, 1])
+def test_donors_lend_every_value_once(spark, monkeypatch, size):
+    monkeypatch.setattr(importance, "BUCKET_ROWS", size)
+    df = spark.range(300).select(F.concat(F.lit("r"), "id").alias("key"), F.col("id").cast("double").alias("v"))
     found = importance.with_donors(df.repartition(6), "key", ["v"], repeats=4)
     pairs = found.groupBy("repeat").agg(
         F.sort_array(F.collect_list("donor_0")).alias("lent"), F.count_if(F.col("v") == F.col("donor_0")).alias("own")
     ).collect()
     assert len(pairs) == 4
-    assert all(r["lent"] == [float(i) for i in range(50)] and r["own"] == 0 for r in pairs)
+    assert all(r["lent"] == [float(i) for i in range(300)] for r in pairs)
+    if size > 1:
+        assert all(r["own"] == 0 for r in pairs)
     again = importance.with_donors(df.repartition(1), "key", ["v"], repeats=4)
     assert sorted(found.collect()) == sorted(again.collect())
 

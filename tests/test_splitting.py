@@ -40,11 +40,3 @@ def test_labels_do_not_depend_on_partitions(spark):
     assert labels(keys.repartition(1)) == labels(keys.repartition(17))
     share = sum(r[1] == "test" for r in labels(keys)) / 3000
     assert abs(share - 0.2) < 0.03
-
-
-def test_positions_are_a_permutation_in_digest_order(spark, monkeypatch):
-    monkeypatch.setattr(splitting, "BUCKET_ROWS", 10)
-    placed, n = splitting.positions(_keys(spark, 777), "key", 42)
-    rows = placed.select("pos", F.md5(F.concat(F.lit("42:"), "key")).alias("d")).orderBy("pos").collect()
-    assert n == 777 and [r["pos"] for r in rows] == list(range(777))
-    assert [r["d"] for r in rows] == sorted(r["d"] for r in rows)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varve.functions import errors
 from varve.functions.columns import named
-from varve.functions.hashing import hash32_of
+from varve.functions.hashing import digest, hash32, hash32_of
 from varve.operators.evaluation import long_predictions, report
-from varve.operators.splitting import positions
+
+# Rows that exchange values among themselves.
+BUCKET_ROWS = 20_000
 
 # Repeats and seed of a permutation, and lengths of the rankings.
 REPEATS, SHUFFLE_SEED = 20, 42
@@ -32,33 +38,41 @@ def impurity_importance(spark: SparkSession, models: dict[str, Model], features:
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def shift_of(repeat: int, n: int, seed: object = SHUFFLE_SEED) -> int:
-    """How far the values move in a repeat: between 1 and ``n - 1`` positions."""
-    return 1 + hash32_of(f"{seed}:{repeat}") % (n - 1) if n > 1 else 0
-
-
 def with_donors(
     df: DataFrame, key: str, columns: Sequence[str], repeats: int = REPEATS, seed: object = SHUFFLE_SEED
 ) -> DataFrame:
     """Pair each row with one other row per repeat, which lends it its values.
 
-    Rows stand in a seeded random order; in each repeat row ``i`` receives from
-    row ``i + shift``, so every value is lent exactly once. One ranking serves
-    all repeats and all columns. Adds ``repeat`` and ``donor_0``, ``donor_1``…
+    Rows fall into buckets of about ``BUCKET_ROWS`` and stand there in a random
+    order, both by a digest of the key. In a repeat row ``i`` of a bucket
+    receives from row ``i + shift``, so every value is lent exactly once. The
+    rows are shuffled once for all repeats and columns, and what the repeats
+    multiply never is; keys are unique, so no bucket is large. Adds ``repeat``
+    and ``donor_0``, ``donor_1``…
     """
-    placed, n = positions(df, key, seed)
-    lenders = placed.select(
-        F.col("pos").alias("from_pos"), *[named(c).alias(f"donor_{i}") for i, c in enumerate(columns)]
-    )
-    shifts = F.array(*[
-        F.struct(F.lit(r).alias("repeat"), F.lit(shift_of(r, n, seed)).cast("long").alias("shift"))
-        for r in range(1, repeats + 1)
+    buckets = max(1, math.ceil(df.count() / BUCKET_ROWS))
+    turns = [(r, hash32_of(f"{seed}:{r}")) for r in range(1, repeats + 1)]
+    columns, given = list(columns), df.columns
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).sort_by("_digest").combine_chunks()
+        n = rows.num_rows
+        own = [rows[c] for c in given]
+        for repeat, turn in turns:
+            shift = 1 + turn % (n - 1) if n > 1 else 0
+            lenders = pa.array((np.arange(n) + shift) % n)
+            borrowed = [rows[c].take(lenders) for c in columns]
+            names = [*given, "repeat", *[f"donor_{i}" for i in range(len(columns))]]
+            repeats_ = pa.array(np.full(n, repeat, np.int32))
+            yield from pa.table([*own, repeats_, *borrowed], names=names).to_batches()
+
+    out = T.StructType([
+        *df.schema.fields,
+        T.StructField("repeat", T.IntegerType()),
+        *[T.StructField(f"donor_{i}", df.schema[c].dataType) for i, c in enumerate(columns)],
     ])
-    lent = lenders.select("*", F.inline(shifts)).select(
-        F.pmod(F.col("from_pos") - F.col("shift"), F.lit(max(n, 1))).alias("pos"),
-        "repeat", *[f"donor_{i}" for i in range(len(columns))],
-    )
-    return placed.join(lent, "pos").drop("pos")
+    placed = df.withColumns({"_digest": digest(seed, named(key)), "_bucket": hash32(seed, named(key)) % buckets})
+    return placed.groupBy("_bucket").applyInArrow(lend, out)
 
 
 def permutation_importance(

@@ -46,30 +46,6 @@ def bucket_counts(df: DataFrame, key: str, seed: object) -> list[tuple[str, int]
     return sorted((r["prefix"], r["c"]) for r in counts.collect())
 
 
-def positions(df: DataFrame, key: str, seed: object, name: str = "pos") -> tuple[DataFrame, int]:
-    """Add each row's zero-based position in the digest order; also the row count.
-
-    Rows are sorted inside their bucket and the rows of earlier buckets are
-    added, so the order is global and yet no task sorts the table.
-    """
-    counts = bucket_counts(df, key, seed)
-    digits = len(counts[0][0]) if counts else 1
-    table, before = [], 0
-    for prefix, c in counts:
-        table.append((prefix, before))
-        before += c
-    offsets = df.sparkSession.createDataFrame(table, "prefix string, before long")
-    d = digest(seed, F.col(key))
-    inner = Window.partitionBy("prefix").orderBy("d")
-    placed = (
-        df.withColumn("d", d)
-        .withColumn("prefix", F.substring("d", 1, digits))
-        .join(F.broadcast(offsets), "prefix")  # at most 65,536 short rows
-        .withColumn(name, F.col("before") + F.row_number().over(inner) - 1)
-    )
-    return placed.drop("d", "prefix", "before"), before
-
-
 def digest_cuts(
     df: DataFrame, key: str, seed: object, counts: list[tuple[str, int]], ranks: Sequence[int]
 ) -> list[str]:

@@ -156,17 +156,20 @@ def drawn(cells: list[str]) -> str:
     return f"SELECT o_orderkey AS trial, {', '.join(cells)} FROM orders"
 
 
-# Rows of the test split in digest order, and the row that lends to each in each repeat.
+# Rows of the test split in digest order inside their bucket, and the row that
+# lends to each in each repeat.
 DONORS = NET + f""",
+test AS (SELECT *, CAST(ceil(count(*) OVER () / 20000.0::DOUBLE) AS BIGINT) AS buckets FROM net WHERE split = 'test'),
+bucketed AS (SELECT *, {hash32('42', 'row_key')} % buckets AS bucket FROM test),
 placed AS (
-  SELECT *, row_number() OVER (ORDER BY md5('42:' || row_key)) - 1 AS pos, count(*) OVER () AS n
-  FROM net WHERE split = 'test'),
-repeats AS (
-  SELECT r AS repeat, 1 + {hash32('42', 'r')} % ((SELECT max(n) FROM placed) - 1) AS shift
-  FROM (VALUES (1), (2), (3)) AS v(r)),
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || row_key)) - 1 AS pos,
+         count(*) OVER (PARTITION BY bucket) AS n
+  FROM bucketed),
+repeats AS (SELECT CAST(r AS INTEGER) AS repeat, {hash32('42', 'r')} AS turn FROM (VALUES (1), (2), (3)) AS v(r)),
 paired AS (
   SELECT o.*, repeat, d.l_quantity AS d0, d.l_extendedprice AS d1, d.l_discount AS d2, d.l_tax AS d3
-  FROM placed o CROSS JOIN repeats r JOIN placed d ON d.pos = (o.pos + r.shift) % o.n)"""
+  FROM placed o CROSS JOIN repeats r JOIN placed d
+  ON d.bucket = o.bucket AND d.pos = (o.pos + CASE WHEN o.n > 1 THEN 1 + r.turn % (o.n - 1) ELSE 0 END) % o.n)"""
 
 SWAPPED = DONORS + """,
 swapped AS (
@@ -185,9 +188,10 @@ scores AS (
   FROM predicted GROUP BY model, feature, repeat)"""
 
 
-def leading_features(k: int) -> str:
+def leading_features(k: int, value: str = "importance") -> str:
     return f"""WITH {IMPORTANCES},
-means AS (SELECT feature, avg(importance) AS mean_importance FROM imp GROUP BY feature),
+totals AS (SELECT model, sum(importance) AS total FROM imp GROUP BY model),
+means AS (SELECT feature, avg({value}) AS mean_importance FROM imp JOIN totals USING (model) GROUP BY feature),
 ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY mean_importance DESC, feature) AS INTEGER) AS rank FROM means)
 SELECT feature, model, importance, round(mean_importance, 6) AS mean_importance, rank
 FROM ranked JOIN imp USING (feature) WHERE rank <= {k}"""
@@ -209,6 +213,7 @@ SELECT trial, CAST(steps AS VARCHAR) AS steps, score FROM scores ORDER BY score
 
 ORACLES: dict[str, str] = {
     "scan_profile": profile(FEATURES),
+    "csv_scan": profile(FEATURES),
     "drop_null_rows": f"WITH {GAPPY} SELECT * FROM gappy WHERE v IS NOT NULL AND NOT isnan(v)",
     "distinct_rows": f"WITH {DUPLICATED} SELECT DISTINCT ref, event_type, v FROM duplicated",
     "clean_table": f"""WITH {DUPLICATED}, kept AS (SELECT DISTINCT ref, event_type, v FROM duplicated WHERE v IS NOT NULL)
@@ -223,6 +228,8 @@ SELECT event_id, value FROM events, q WHERE value BETWEEN q1 - 1.5 * (q3 - q1) A
 SELECT row_key, l_quantity, l_extendedprice, l_discount, l_tax, round(target, 6) AS target FROM net""",
     "winsorize": f"""WITH {GAPPY}, {fences(['v'], 'gappy', split(16, 'event_id') + " = 'train'")}
 SELECT event_id, round({clipped('v', 'gappy')}, 6) AS v FROM gappy, fences""",
+    "winsorize_numeric": f"""WITH {GAPPY}, {fences(['v'], 'gappy', 'TRUE')}
+SELECT event_type, round({clipped('v', 'gappy')}, 6) AS v FROM gappy, fences""",
     "winsorize_composition": f"""WITH {PARTS}, {fences(['a', 'b', 'c'], 'parts', "split = 'train'")},
 clipped AS (SELECT row_key, {', '.join(f"{clipped(c, 'parts')} AS {c}" for c in 'abc')} FROM parts, fences)
 {normalised('clipped')}""",
@@ -257,6 +264,7 @@ SELECT row_key, {', '.join(f"round((net.{c} - {c}_m) / {c}_s, 6) AS scaled_{c}"
 0.0::DOUBLE AS scaled_level FROM net, q""",
     **{f"metric_{m}": metrics([m]) for m in METRIC},
     "model_report": metrics(list(METRIC)),
+    "report_sink": metrics(list(METRIC)),
     "cv_neg_mae": f"""WITH {LONG}, folds AS (
   SELECT model, fold, avg(abs(y - p)) AS mae FROM long WHERE split = 'train' GROUP BY model, fold)
 SELECT model, round(-avg(mae), 4) + 0.0::DOUBLE AS score, count(*) AS folds FROM folds GROUP BY model""",
@@ -295,6 +303,7 @@ SELECT feature, round(avg(importance / total), 6) AS importance FROM imp JOIN to
 SELECT model, feature, importance, rank FROM ranked WHERE rank <= 15""",
     "topk_global": leading_features(12),
     "topk_global_permutation": leading_features(10),
+    "topk_global_normalised": leading_features(12, "importance / total"),
     "permutation_shuffle": f"WITH {DONORS} SELECT row_key, repeat, d1 AS lent_price FROM paired",
     "permutation_importance": f"""WITH {SWAPPED}
 SELECT s.model, s.feature, round(any_value(b.r2) - avg(s.r2), 6) + 0.0::DOUBLE AS importance

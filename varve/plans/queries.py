@@ -18,7 +18,7 @@ from varve.plans.fixtures import FEATURES, KEY, TARGET
 from varve.plans.study import score
 from varve.session import new_path
 from varve.sources.model_store import load_models, save_models
-from varve.sources.tables import profile
+from varve.sources.tables import numeric_schema, profile, read_table, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,13 @@ def scan_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile(fixtures.table(spark, sf, "lineitem"), FEATURES)
 
 
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same profile from a CSV copy of the table, read with a declared schema."""
+    folder = new_path(spark, "csv")
+    fixtures.table(spark, sf, "lineitem").select(*FEATURES).write.csv(folder, header=True)
+    return profile(read_table(spark, folder, numeric_schema(FEATURES), kind="csv"), FEATURES)
+
+
 def drop_null_rows(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.drop_null_rows(fixtures.gappy(spark, sf))
 
@@ -83,6 +90,12 @@ def winsorize(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(clipper.fit(train).transform(rows), v=6)
 
 
+def winsorize_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Without named columns every numeric one is clipped, and text is left alone."""
+    rows = fixtures.gappy(spark, sf).drop("event_id")
+    return rounded(cleaning.FenceClipper().fit(rows).transform(rows), v=6)
+
+
 def winsorize_composition(spark: SparkSession, sf: str) -> DataFrame:
     rows = fixtures.composition(spark, sf)
     train = rows.where(splitting.split_label(F.col(KEY)) == "train")
@@ -179,6 +192,13 @@ def model_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluation.report(fixtures.closed_form_predictions(spark, sf)), **METRIC_DECIMALS)
 
 
+def report_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """The report written as a table and read back."""
+    folder = new_path(spark, "tables")
+    write_tables({"report": model_report(spark, sf)}, folder)
+    return read_table(spark, f"{folder}/report")
+
+
 def cv_neg_mae(spark: SparkSession, sf: str) -> DataFrame:
     train = fixtures.closed_form_predictions(spark, sf).where("split = 'train'")
     return rounded(evaluation.cross_validated_score(train), score=4)
@@ -252,6 +272,11 @@ def topk_global_permutation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, mean_importance=6)
 
 
+def topk_global_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    found = importance.top_overall(fixtures.derived_importances(spark, sf), importance.TOP_BY_GAIN)
+    return rounded(found, mean_importance=6)
+
+
 SHUFFLES = 3
 
 
@@ -491,14 +516,15 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        scan_profile, drop_null_rows, distinct_rows, clean_table, iqr_filter, iqr_filter_train_fit, feature_target,
-        winsorize, winsorize_composition, normalize_composition, coerce_numeric,
+        scan_profile, csv_scan, drop_null_rows, distinct_rows, clean_table, iqr_filter, iqr_filter_train_fit, feature_target,
+        winsorize, winsorize_numeric, winsorize_composition, normalize_composition, coerce_numeric,
         train_test_split, exact_split, kfold_assign, exact_kfold, blend_holdout,
         quantiles, robust_scale_fit, robust_scale,
-        model_report, cv_neg_mae,
+        model_report, report_sink, cv_neg_mae,
         parity_table, parity_limits, calibration_limits, quantile_bins, calibration_deciles, mape_ranking,
         mape_by_bin,
-        mean_importance, topk_per_model, topk_global, topk_global_permutation, permutation_shuffle,
+        mean_importance, topk_per_model, topk_global, topk_global_permutation,
+        topk_global_normalised, permutation_shuffle,
         permutation_importance,
         learner_huber, base_predictions, impurity_importance, oof_predictions, meta_features, stacking,
         stacking_without_features, blending, loaded_scoring, model_roundtrip, permutation_importance_learners,

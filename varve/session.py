@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="varve-")
     spark.conf.set("spark.checkpoint.dir", folder)
+    # Long boosting runs cut their lineage here, too.
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

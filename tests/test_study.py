@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from varve.plans.study import rescore, run_study
+import varve.__main__ as cli
+from varve.plans.study import prepare, run_study
 from varve.sources.tables import numeric_schema, read_table
 
 PARAMS = {
@@ -24,24 +25,53 @@ def sheet(spark, tmp_path_factory):
     return read_table(spark, str(path), numeric_schema(["N2 (mol%)", "C7+", "pressure"], ["ref"]))
 
 
-def test_study_and_rescore(spark, sheet, tmp_path):
-    study = run_study(sheet, "pressure", "ref", params=PARAMS, repeats=2, out=str(tmp_path / "out"))
+def test_study_and_rescore(spark, sheet, tmp_path, monkeypatch, capsys):
+    """The command line runs a study, repeats it from the stored models, and shows it."""
+    studies = []
+
+    def small_study(*args, **kwargs):
+        studies.append(run_study(*args, **{**kwargs, "params": PARAMS}))
+        return studies[-1]
+
+    monkeypatch.setattr(cli, "run_study", small_study)
+    sheet.write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    common = ["--input", str(tmp_path / "in"), "--target", "pressure", "--reference", "ref", "--repeats", "2"]
+    for argv in (
+        ["study", *common, "--out", out],
+        ["rescore", *common, "--models", f"{out}/models", "--out", f"{out}2"],
+        ["tables", "--out", out],
+    ):
+        monkeypatch.setattr("sys.argv", ["varve", *argv])
+        cli.main()
+    assert "permutation_top" in capsys.readouterr().out
+
+    study = studies[0]
     assert study.features == ["N2 (mol%)", "C7+"]
     # 300 rows: the copy, the gap and the outlier are gone.
     assert study.rows.count() == 300
-    report = {(r["model"], r["split"]): r for r in study.tables["report"].collect()}
+    tables = {n: spark.read.parquet(f"{out}/tables/{n}") for n in study.tables}
+    report = {(r["model"], r["split"]): r for r in tables["report"].collect()}
     assert len(report) == 12 and report[("stack", "test")]["r2"] > 0.9
-    assert study.tables["parity"].count() == 6 * report[("rf", "test")]["n"]
-    top = study.tables["permutation_top"].where("rank = 1").collect()
+    assert tables["parity"].count() == 6 * report[("rf", "test")]["n"]
+    top = tables["permutation_top"].where("rank = 1").collect()
     assert {r["feature"] for r in top} == {"N2 (mol%)"} and len(top) == 6
+    assert tables["mape_ranking"].count() == 6
 
-    again = rescore(spark, str(tmp_path / "out/models"), sheet, "pressure", "ref", repeats=2)
-    for r in again.tables["report"].collect():
+    for r in spark.read.parquet(f"{out}2/tables/report").collect():
         assert r["r2"] == pytest.approx(report[(r["model"], "test")]["r2"], rel=1e-12)
-    stored = spark.read.parquet(str(tmp_path / "out/tables/mape_ranking"))
-    assert stored.count() == 6 and set(again.tables) <= set(study.tables)
+    assert spark.read.parquet(f"{out}2/tables/permutation_top").count() == tables["permutation_top"].count()
 
 
 def test_csv_needs_a_schema(spark):
     with pytest.raises(ValueError):
         read_table(spark, "/nowhere.csv")
+
+
+def test_exact_sizes(spark, sheet):
+    rows = prepare(sheet, "pressure", "ref", exact=True)
+    sizes = {(r["split"], r["fold"]): r["count"] for r in rows.groupBy("split", "fold").count().collect()}
+    assert sum(n for (s, _), n in sizes.items() if s == "test") == 60
+    assert [sizes[("train", k)] for k in range(5)] == [48] * 5
+    on_train = prepare(sheet, "pressure", "ref", fence_on_train=True)
+    assert on_train.where("pressure > 9000").count() == 0

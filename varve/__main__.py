@@ -30,6 +30,7 @@ def main() -> None:
     parser.add_argument("--repeats", type=int, default=REPEATS, help="repeats of the permutation importance")
     parser.add_argument("--no-passthrough", action="store_true", help="stack on the base predictions alone")
     parser.add_argument("--fence-on-train", action="store_true", help="take the outlier fence from training rows")
+    parser.add_argument("--exact", action="store_true", help="exact sizes of the test split and the folds")
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName("varve").getOrCreate()
@@ -45,13 +46,13 @@ def main() -> None:
     if args.action == "study":
         study = run_study(
             df, args.target, args.reference, trials={n: args.trials for n in TUNED} if args.trials else None,
-            passthrough=not args.no_passthrough, fence_on_train=args.fence_on_train, repeats=args.repeats,
+            passthrough=not args.no_passthrough, fence_on_train=args.fence_on_train, exact=args.exact, repeats=args.repeats,
             out=args.out,
         )
     else:
         study = rescore(
             spark, args.models, df, args.target, args.reference, repeats=args.repeats,
-            fence_on_train=args.fence_on_train,
+            fence_on_train=args.fence_on_train, exact=args.exact,
         )
         write_tables(study.tables, f"{args.out}/tables")
     study.tables["report"].orderBy("split", "mape").show(100, truncate=False)

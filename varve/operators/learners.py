@@ -178,7 +178,7 @@ def fit_all(jobs: dict, parallelism: int = PARALLEL_FITS) -> dict:
 
 def in_parallel(work: Callable, items: Sequence, parallelism: int = PARALLEL_FITS) -> list:
     """Run driver-side steps, each a series of Spark jobs, on a few threads."""
-    session = SparkSession.getActiveSession()
+    session = SparkSession.builder.getOrCreate()
     with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
         return pool.map(inheritable_thread_target(session)(work), items)
 

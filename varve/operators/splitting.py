@@ -93,14 +93,20 @@ def exact_split(
 
 
 def exact_folds(
-    df: DataFrame, key: str, folds: int = FOLDS, seed: object = FOLD_SEED, name: str = "fold"
+    df: DataFrame, key: str, folds: int = FOLDS, seed: object = FOLD_SEED, name: str = "fold",
+    among: Column | None = None,
 ) -> DataFrame:
-    """Folds whose sizes differ by at most one row, the larger ones first."""
-    counts = bucket_counts(df, key, seed)
+    """Folds whose sizes differ by at most one row, the larger ones first.
+
+    ``among`` says which rows the sizes are counted over (the training rows,
+    say); the others get a fold by the same cuts.
+    """
+    counted = df if among is None else df.where(among)
+    counts = bucket_counts(counted, key, seed)
     n = sum(c for _, c in counts)
     if n < folds:
         raise ValueError(f"{n} rows cannot fill {folds} folds")
     ends = [(i + 1) * (n // folds) + min(i + 1, n % folds) for i in range(folds - 1)]
-    cuts = digest_cuts(df, key, seed, counts, ends)
+    cuts = digest_cuts(counted, key, seed, counts, ends)
     d = digest(seed, F.col(key))
     return df.withColumn(name, sum(((d > c).cast("int") for c in cuts), F.lit(0)))

@@ -14,7 +14,7 @@ from varve.operators import cleaning, diagnostics, importance, search
 from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend
 from varve.operators.evaluation import long_predictions, report
 from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, add_prediction, base_learners, fit_all
-from varve.operators.splitting import fold_index, split_label
+from varve.operators.splitting import exact_folds, exact_split, fold_index, split_label
 from varve.session import materialise
 from varve.sources.model_store import load_models, save_models
 from varve.sources.tables import write_tables
@@ -32,11 +32,15 @@ class Study:
     tables: dict[str, DataFrame]
 
 
-def prepare(df: DataFrame, target: str, reference: str | None = None, fence_on_train: bool = False) -> DataFrame:
+def prepare(
+    df: DataFrame, target: str, reference: str | None = None, fence_on_train: bool = False, exact: bool = False
+) -> DataFrame:
     """Clean rows inside the target's fence, with key, split and fold.
 
     The key is a digest of the whole row, reference included, taken after
     duplicates are gone: rows that differ only in the reference stay apart.
+    ``exact`` makes the test split and the folds of the training rows exact in
+    size, at the price of four small jobs and a second write.
     """
     rows = cleaning.distinct_rows(cleaning.drop_null_rows(df))
     content = F.to_json(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(df.columns)]))
@@ -47,7 +51,11 @@ def prepare(df: DataFrame, target: str, reference: str | None = None, fence_on_t
     # Written once: the quartiles, and every fit after them, read the clean table.
     rows = materialise(rows.withColumns({"split": split_label(key), "fold": fold_index(key)}), partition_by="fold")
     fit_on = F.col("split") == "train" if fence_on_train else None
-    return cleaning.within_fence(rows, target, fit_on=fit_on)
+    rows = cleaning.within_fence(rows, target, fit_on=fit_on)
+    if not exact:
+        return rows
+    rows = exact_split(rows.drop("split", "fold"), KEY)
+    return materialise(exact_folds(rows, KEY, among=F.col("split") == "train"), partition_by="fold")
 
 
 def score(models: dict[str, Model], rows: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def tune(
 
 def run_study(
     df: DataFrame, target: str, reference: str | None = None, params: dict[str, dict] | None = None,
-    trials: dict[str, int] | None = None, passthrough: bool = True, fence_on_train: bool = False,
+    trials: dict[str, int] | None = None, passthrough: bool = True, fence_on_train: bool = False, exact: bool = False,
     repeats: int = importance.REPEATS, out: str | None = None, parallelism: int = PARALLEL_FITS,
 ) -> Study:
     """Fit the four base learners and both ensembles, and report on them.
@@ -126,7 +134,7 @@ def run_study(
     the learners it names. Each base learner is fitted on the training rows
     once; both ensembles, the report and the importances share it.
     """
-    rows = prepare(df, target, reference, fence_on_train)
+    rows = prepare(df, target, reference, fence_on_train, exact)
     features = cleaning.feature_columns(rows, target, keys=[KEY, "split", "fold"])
     train = rows.where("split = 'train'")
     params, trial_tables = dict(params or {}), {}
@@ -157,11 +165,11 @@ def run_study(
 
 def rescore(
     spark: SparkSession, folder: str, df: DataFrame, target: str, reference: str | None = None,
-    repeats: int = importance.REPEATS, fence_on_train: bool = False,
+    repeats: int = importance.REPEATS, fence_on_train: bool = False, exact: bool = False,
 ) -> Study:
     """Load stored models and repeat the report and diagnostics on the test rows."""
     models = load_models(spark, folder)
-    rows = prepare(df, target, reference, fence_on_train)
+    rows = prepare(df, target, reference, fence_on_train, exact)
     features = cleaning.feature_columns(rows, target, keys=[KEY, "split", "fold"])
     test = rows.where("split = 'test'")
     tables = {

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from varve.functions.labels import interval_labels
 from varve.operators import diagnostics
 from varve.operators.evaluation import METRICS, ErrorEvaluator, cross_validated_score, report
 
@@ -80,6 +81,12 @@ def test_close_edges_get_more_decimals(spark):
     assert labels[0] == str(pd.qcut(pd.Series([1.0001, 1.0002, 1.0003, 1.0004]), 2).iloc[0])
 
 
+def test_label_rounds_ties_to_even():
+    values = [860.8045, 2000.0, 3000.0, 4000.0]
+    cells = pd.qcut(pd.Series(values), 1)
+    assert interval_labels([860.8045, 4000.0]) == [str(cells.iloc[0])] == ["(860.803, 4000.0]"]
+
+
 def test_constant_predictions_have_no_deciles(spark):
     df = _table(spark, [(v, 5) for v in range(6)])
     out = diagnostics.with_quantile_bins(df, "y_pred", 10, ["model"]).collect()

@@ -290,11 +290,12 @@ SELECT model, bin, round(avg(p), 4) AS mean_pred, round(avg(y), 4) AS mean_true
 FROM binned WHERE bin IS NOT NULL GROUP BY model, bin""",
     "mape_ranking": f"""WITH {LONG}, r AS (SELECT model, {METRIC['mape']} AS mape FROM long WHERE split = 'test' GROUP BY model)
 SELECT model, mape, CAST(row_number() OVER (ORDER BY mape, model) AS INTEGER) AS rank FROM r""",
+    # Labels round ties to even, as pandas does: an edge at 860.8045 reads 860.804.
     "mape_by_bin": f"""WITH {LONG}, {edges('y', 5)}, cells AS (
   SELECT model, bin, {METRIC['mape']} AS mape, any_value(edges) AS edges FROM binned WHERE bin IS NOT NULL GROUP BY model, bin)
 SELECT model, bin, mape,
-  '(' || CAST(CASE WHEN bin = 0 THEN round(edges[1], 3) - 0.001::DOUBLE ELSE round(edges[bin + 1], 3) END AS VARCHAR)
-  || ', ' || CAST(round(edges[bin + 2], 3) AS VARCHAR) || ']' AS label
+  '(' || CAST(CASE WHEN bin = 0 THEN round_even(edges[1], 3) - 0.001::DOUBLE ELSE round_even(edges[bin + 1], 3) END AS VARCHAR)
+  || ', ' || CAST(round_even(edges[bin + 2], 3) AS VARCHAR) || ']' AS label
 FROM cells""",
     "mean_importance": f"""WITH {IMPORTANCES}, totals AS (SELECT model, sum(importance) AS total FROM imp GROUP BY model)
 SELECT feature, round(avg(importance / total), 6) AS importance FROM imp JOIN totals USING (model) GROUP BY feature""",

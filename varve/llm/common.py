@@ -7,16 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve import session
 from varve.functions.columns import named
 
 # The letters that contracts on equal texts fold, and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Spark removes the shuffle files of a query at its end where this is set.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """A written table in the shared folder; the shuffles behind it are given back at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        return session.materialise(df)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z and leave every other character alone."""
     return F.translate(text, UPPER, UPPER.lower())

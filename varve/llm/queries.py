@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import exact_dedup, line_dedup, mixing, oracles, url_rules
+from varve.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, oracles, url_rules
 from varve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,19 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 2 of 7 is not learned from; fold 6 teaches the mixture weights."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = lm_score.fold_of(F.col("doc_id"))
+    return lm_score.score_texts(docs, training=fold != 2, held_out=fold == 6)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.coverage(docs, read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "coverage", F.col("covered_item").alias("item_id"), "n_tiles", "contaminated")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs)
@@ -45,6 +58,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_line_dedup, op4_exact_dedup, op5_url_filters, op10_mixing)
+    for f in (
+        op3_line_dedup, op4_exact_dedup, op5_url_filters, op7_lm_scoring, op9_decontamination, op10_mixing,
+    )
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, oracles, url_rules
+from varve.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, oracles, shingle_join, url_rules
 from varve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(docs, training=fold != 2, held_out=fold == 6)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.coverage(docs, read(spark, sf_dir, "benchmark"))
@@ -59,7 +63,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_line_dedup, op4_exact_dedup, op5_url_filters, op7_lm_scoring, op9_decontamination, op10_mixing,
+        op3_line_dedup, op4_exact_dedup, op5_url_filters, op7_lm_scoring, op8_ngram_jaccard_join,
+        op9_decontamination, op10_mixing,
     )
 }
 ORACLES: dict[str, str] = oracles.ORACLES

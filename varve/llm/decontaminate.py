@@ -21,7 +21,7 @@ documents clean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +140,8 @@ class Block:
     def best(self, text: str | None, enough: float) -> tuple[float, object, int]:
         """Highest coverage, its item (None for 0) and its number of tiles.
 
-        Coverage below ``enough`` may be reported as what the seeds cover of it
-        only where no tile could reach ``enough``; it is then reported as 0.
+        Items of which the seeds cover less than ``enough`` are not tiled, as
+        each tile consists of seeds.
         """
         get = self.numbers.get
         ids = np.array([get(w, -1) for w in plain_words(text)], dtype=np.int64)
@@ -173,9 +173,8 @@ class Block:
         for k in sorted(candidates):
             item = self.items[k]
             tiles = lay_tiles(ids, item, min(self.seed, len(item)))
-            share = sum(t[2] for t in tiles) / len(item)
-            if share > best[0] or (share == best[0] and best[1] is not None and self.keys[k] < best[1]):
-                best = (share, self.keys[k], len(tiles))
+            if tiles:
+                best = _better(best, (sum(t[2] for t in tiles) / len(item), self.keys[k], len(tiles)))
         return best
 
 
@@ -191,38 +190,50 @@ def _blocks(bench: DataFrame, key: str, text: str, seed: int, block_bytes: int)
 def coverage(
     docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     seed: int = SEED, enough: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
+    names: tuple[str, str, str, str] = ("coverage", "covered_item", "n_tiles", "contaminated"),
 ) -> DataFrame:
-    """``docs`` with coverage, covered_item, n_tiles and contaminated.
+    """``docs`` with the best coverage, its item, its number of tiles, and whether it reaches ``enough``.
 
     Coverage is exact where it reaches ``enough``; items that cannot reach it
-    are not tiled and count as 0. Columns of ``docs`` with these names are replaced.
+    are not tiled and count as 0. ``names`` are the new columns; columns of
+    ``docs`` with these names are replaced. Items with a NULL id are left out.
     """
-    made = ("coverage", "covered_item", "n_tiles", "contaminated")
-    out = docs.drop(*made)
+    out = docs.drop(*names)
     kind = bench.schema[item].dataType
-    out = out.select("*", F.lit(0.0).alias("coverage"), F.lit(None).cast(kind).alias("covered_item"), F.lit(0).cast("long").alias("n_tiles"))
+    empty = [F.lit(0.0), F.lit(None).cast(kind), F.lit(0).cast("long")]
+    out = out.select("*", *[e.alias(n) for e, n in zip(empty, names)])
     sc = docs.sparkSession.sparkContext
-    previous = None
-    for block in _blocks(bench.where(named(item).isNotNull()), item, item_text, seed, block_bytes):
-        if previous is not None:
+    for i, block in enumerate(_blocks(bench.where(named(item).isNotNull()), item, item_text, seed, block_bytes)):
+        if i:
             out = materialise(out)  # one block in memory at a time
-        previous = held = sc.broadcast(block)
-
-        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names
-                texts, old = batch.column(names.index(text)), batch.column(names.index("coverage")).to_pylist()
-                olds = [batch.column(names.index(c)).to_pylist() for c in ("covered_item", "n_tiles")]
-                rows = []
-                for i, t in enumerate(texts):
-                    share, k, n = held.value.best(t.as_py(), enough)
-                    before = (old[i], olds[0][i], olds[1][i])
-                    better = share > before[0] or (share == before[0] and k is not None and k < before[1])
-                    rows.append((share, k, n) if better else before)
-                columns = dict(zip(names, batch.columns))
-                for j, c in enumerate(("coverage", "covered_item", "n_tiles")):
-                    columns[c] = pa.array([r[j] for r in rows], type=batch.schema.field(c).type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
-
-        out = out.mapInArrow(work, out.schema)
-    return out.withColumn("contaminated", F.col("coverage") >= enough)
+        out = out.mapInArrow(_compared(sc.broadcast(block), text, names[:3], enough), out.schema)
+    return out.withColumn(names[3], named(names[0]) >= enough)
+
+
+def _compared(held, text: str, names: tuple[str, ...], enough: float) -> Callable:
+    """Replaces what earlier blocks found by what this one has, where that covers more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [batch.schema.names.index(n) for n in (text, *names)]
+            before = zip(*(batch.column(k).to_pylist() for k in at[1:]))
+            found = [_better(old, held.value.best(t.as_py(), enough)) for t, old in zip(batch.column(at[0]), before)]
+            columns = list(batch.columns)
+            for k, values in zip(at[1:], zip(*found)):
+                columns[k] = pa.array(values, type=batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return work
+
+
+def _better(a: tuple, b: tuple) -> tuple:
+    """The one that covers more; the smaller item of two that cover as much."""
+    if a[1] is None or b[1] is None:
+        return a if b[1] is None else b
+    return min(a, b, key=lambda x: (-x[0], x[1]))
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose coverage stays below the threshold."""
+    names = fresh(docs, "coverage", "covered_item", "n_tiles", "contaminated")
+    return coverage(docs, bench, names=tuple(names), **how).where(~named(names[3])).drop(*names)

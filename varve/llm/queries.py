@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, oracles, shingle_join, url_rules
+import corpus_pipeline
+from varve.llm import (
+    chat, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, oracles, quality, shingle_join, url_rules,
+)
 from varve.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +25,16 @@ RULES = [
 ]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with the trigrams of all documents of a known language."""
+    return langid.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "votes", "label", "quality", "accepted")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = line_dedup.drop_boilerplate(docs)
@@ -38,6 +51,17 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renderings with a digest of their text and their spans as ``start-end`` pairs."""
+    out = chat.rotate(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return out.select(
+        "conv_id", "perspective", F.col("part.turn").alias("part_turn"), F.col("part.piece").alias("part_piece"),
+        F.col("n_turns").cast("long").alias("n_turns"), F.length("text").cast("long").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"), spans.alias("spans"),
+    )
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold 2 of 7 is not learned from; fold 6 teaches the mixture weights."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,10 +85,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
+} | {
     f.__name__: f
     for f in (
-        op3_line_dedup, op4_exact_dedup, op5_url_filters, op7_lm_scoring, op8_ngram_jaccard_join,
+        op1_language_id, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_url_filters,
+        op6_chat_formatting, op7_lm_scoring, op8_ngram_jaccard_join,
         op9_decontamination, op10_mixing,
     )
 }
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

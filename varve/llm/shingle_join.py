@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.columns import named
-from varve.llm.common import materialise, whole_text
+from varve.llm.common import fresh, materialise, whole_text
 from varve.llm.components import connected_components
 from varve.llm.words import WordHashes, mixed, windows, words_of
 
@@ -326,5 +326,6 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     Rows without a key cannot be told apart and stay.
     """
     found = near_copies(docs, key, text, **how)
-    gone = found.where(named(key) != F.col("class_id")).select(named(key).alias("gone")).distinct()
-    return docs.join(gone, named(key) == F.col("gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    dropped = found.where(named(key) != F.col("class_id")).select(named(key).alias(gone)).distinct()
+    return docs.join(dropped, named(key) == named(gone), "left_anti")

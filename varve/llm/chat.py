@@ -12,8 +12,8 @@ instead, and a turn number with more rows than that is split by a hash of
 speaker and text. So a dialogue that fills a third of the table is many parts,
 in order of their column ``part``, and spans count from the start of a part.
 
-NULL is a dialogue, a turn number (the first) and a speaker (named "unknown")
-of its own; NULL text is empty. Rows that repeat are rendered as often. Marks
+NULL is a dialogue, a turn number (just before 0) and a speaker (named
+"unknown") of its own; NULL text is empty. Rows that repeat are rendered as often. Marks
 inside a text are broken up by a space. Dialogues without a participant have
 no rendering.
 """
@@ -37,7 +37,7 @@ UNKNOWN = "unknown"
 
 def _parts(turns: DataFrame, part_turns: int, crowded: int) -> DataFrame:
     """``turns`` with the column ``part``: (first number, hash part)."""
-    block = F.floor(F.col("turn") / part_turns)
+    block = F.floor(F.coalesce("turn", F.lit(0)) / part_turns)
     sizes = turns.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("rows"))
     full = sizes.groupBy("conv", block.alias("block")).agg(F.sum("rows").alias("rows")).where(F.col("rows") > crowded)
     out = turns.withColumn("block", block)

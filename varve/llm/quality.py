@@ -36,10 +36,10 @@ FIT_ROWS = 20_000
 # Slots of the hashed features, as a power of two.
 SLOT_BITS = 14
 # Passes over its share of the sample in each task, rounds of averaging, step and decay of weights.
-EPOCHS, ROUNDS, SHARES = 3, 3, 8
+EPOCHS, ROUNDS, SHARES = 8, 3, 8
 STEP, DECAY = 0.5, 1e-5
-# Weight of words and of measures beside the trigrams, whose length is 1.
-WORDS_LENGTH, MEASURES_LENGTH = 0.5, 1.0
+# Lengths of the words and of the measures beside the trigrams, whose length is 1.
+WORDS_LENGTH, MEASURES_LENGTH = 0.5, 2.0
 # A document is kept when its score reaches this probability.
 KEEP = 0.5
 LABEL_ROUNDS = 100

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from varve.operators import quantiles
 from varve.operators.quantiles import exact_quantiles, quantile_table
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
@@ -17,7 +18,7 @@ def _rows():
     return groups + [("a", None), ("b", math.nan)]
 
 
-@pytest.mark.parametrize("limit", [10**6, 20])
+@pytest.mark.parametrize("limit", [10**6, 10_000, 20])
 def test_equals_numpy(spark, limit):
     rows = _rows()
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
@@ -52,3 +53,27 @@ def test_narrowing_through_several_passes(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "v double")
     assert quantile_table(df, ["v"], [0.5])["v"] == [None]
+
+
+def test_a_bracket_whose_ends_hold_nearly_all_rows(spark):
+    # The median lies among a few thousand values between two hot ones.
+    values = np.concatenate([np.zeros(30_000), np.linspace(0.25, 0.75, 3001), np.ones(30_000)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for p in (0.1, 0.4, 0.5, 0.52, 0.9):
+        assert quantile_table(df, ["v"], [p], limit=50)["v"] == pytest.approx([np.quantile(values, p)], rel=1e-12)
+
+
+@pytest.mark.parametrize("accuracy", [10, 40])
+def test_a_sketch_that_misses(spark, monkeypatch, accuracy):
+    # A sketch this coarse errs by more than the first brackets allow for.
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.lognormal(0, 3, 20_000), np.full(10_000, 1.5)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(7)
+    wanted = [0.01, 0.3, 0.5, 0.7, 0.99]
+    assert quantile_table(df, ["v"], wanted, limit=100)["v"] == pytest.approx(list(np.quantile(values, wanted)), rel=1e-12)
+
+
+def test_groups_with_null_keys_and_without_values(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("b", 5.0)], "g string, v double")
+    assert {r["g"]: r["value"] for r in exact_quantiles(df, ["v"], [0.5], ["g"]).collect()} == {None: 1.5, "b": 5.0}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from varve.functions import errors
 from varve.functions.columns import named
-from varve.operators.quantiles import SMALL_GROUP, exact_quantiles
+from varve.operators.quantiles import LIMIT, exact_quantiles
 
 METRICS = ["r2", "mae", "mse", "medae", "rmse", "mape"]
 _DIRECT = {
@@ -46,7 +46,7 @@ def long_predictions(
 
 def report(
     predictions: DataFrame, by: Sequence[str] = ("model", "split"), metrics: Sequence[str] = METRICS,
-    limit: int = SMALL_GROUP,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """One row per group with the wanted metrics.
 

@@ -1,81 +1,69 @@
-"""Exact, linearly interpolated quantiles that hold at any table size.
+"""Exact, linearly interpolated quantiles, by one path for tables of any size.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here a group of up to ``limit`` values is sorted inside its
-window partition, which may spill, and the wanted ranks are picked. For larger
-groups the order statistics are found by narrowing: a quantile sketch over all
-rows gives, for each wanted rank, two data values that enclose it; one more
-pass counts what lies below and inside, and sketches the inside again. After a
-few passes only few distinct values are left inside, and these are counted
-exactly. Each pass is one aggregation with map-side combine whose result has a
-few rows per group, so no task ever holds a large group, however hot one value
-is.
+aggregation buffer. Here each wanted quantile has a bracket of two data values
+around it. A sketch of the whole column gives the first brackets, one wide
+aggregation counts what lies below and inside each, and brackets that still
+hold much are narrowed by a sketch of their inside. When few values, or few
+distinct ones, are left inside, these are counted and the wanted ranks picked.
+All passes are aggregations with map-side combine; the last one sorts about
+``limit`` distinct values per quantile, however many rows carry each.
+
+Brackets are a table with a row per group, column and quantile. It is joined
+to the rows on the group; without groups it is read back as literals.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.functions.columns import finite_or_null, named
+from varve.session import materialise
 
-# Values that one task may sort.
-SMALL_GROUP = 1_000_000
-# The sketch answers at GRID + 1 ranks, each within 1/ACCURACY of the group;
-# two grid steps to either side of a rank therefore enclose it.
-GRID = 1_000
+# Values, or distinct values, that may be left in a bracket at the end.
+LIMIT = 10_000
+# A sketch answers within 1/ACCURACY of its rows. The first brackets reach FIRST to either side
+# of a probability; later ones are cut at the steps of a grid, MARGIN steps away from the ranks.
 ACCURACY = 10_000
-MARGIN = 2
-
-
-# Linear interpolation between two neighbouring order statistics.
-_BETWEEN = "a + (b - a) * weight"
-
-
-@dataclass(frozen=True)
-class _Bracket:
-    """Data values ``lo <= hi`` around the zero-based ranks ``first..last``."""
-
-    first: int
-    last: int
-    weight: float
-    lo: float = -math.inf
-    hi: float = math.inf
-    settled: bool = False
+FIRST = 0.002
+GRID, MARGIN = 100, 2
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    limit: int = SMALL_GROUP,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (), limit: int = LIMIT
 ) -> DataFrame:
     """Rows ``(*by, column, p, value)``; NULL and NaN are ignored.
 
-    The result has one row per group, column and probability.
+    The result has one row per group, column and probability, but none for a
+    group whose column has no value.
     """
     columns, probabilities, by = list(columns), [float(p) for p in probabilities], list(by)
+    groups = [f"g{i}" for i in range(len(by))]
     rows = df.select(
-        *[named(b) for b in by],
+        *[named(b).alias(g) for b, g in zip(by, groups)],
         *[finite_or_null(named(c)).alias(f"v{i}") for i, c in enumerate(columns)],
     )
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("v")) for i, c in enumerate(columns)])
-    values = rows.select(*[named(b) for b in by], F.inline(cells)).where(F.col("v").isNotNull())
-    # One row per group and column reaches the driver.
-    sizes = values.groupBy(*[named(b) for b in by], "column").agg(F.count(F.lit(1)).alias("n")).collect()
-    if all(r["n"] <= limit for r in sizes):
-        return _by_sorting(values, probabilities, by, sizes)
-    return _by_narrowing(values, probabilities, by, limit)
+    brackets = materialise(_first_brackets(rows, groups, len(columns), probabilities, limit))
+    while not brackets.where("not settled").isEmpty():
+        brackets = materialise(_counted(rows, groups, brackets, len(columns), len(probabilities), limit))
+        if not brackets.where("not settled").isEmpty():
+            brackets = materialise(_narrowed(rows, groups, brackets, len(columns), len(probabilities), limit))
+    found = _picked(rows, groups, brackets, len(columns), len(probabilities))
+    names, wanted = F.array(*map(F.lit, columns)), F.array(*map(F.lit, probabilities))
+    return found.select(
+        *[F.col(g).alias(b) for g, b in zip(groups, by)],
+        F.get(names, F.floor(F.col("k") / len(probabilities)).cast("int")).alias("column"),
+        F.get(wanted, F.col("k") % len(probabilities)).alias("p"), "value",
+    )
 
 
 def quantile_table(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = SMALL_GROUP
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = LIMIT
 ) -> dict[str, list[float]]:
     """Whole-table quantiles as driver values: a few numbers per column."""
     found = exact_quantiles(df, columns, probabilities, limit=limit).collect()
@@ -83,144 +71,144 @@ def quantile_table(
     return {c: [by_key.get((c, float(p))) for p in probabilities] for c in columns}
 
 
-def _by_sorting(values: DataFrame, probabilities: list[float], by: list[str], sizes: list) -> DataFrame:
-    keys = [*by, "column"]
-    wanted = [
-        (*[r[k] for k in keys], rank + 1, p, b.weight, share)
-        for r in sizes
-        for p in probabilities
-        for b in [_start(r["n"], p)]
-        for rank, share in ((b.first, "a"), (b.last, "b"))
+def _first_brackets(rows: DataFrame, groups: list[str], columns: int, probabilities: list[float], limit: int) -> DataFrame:
+    """Brackets from a sketch of each column; a column with few distinct values keeps them all inside."""
+    sides = F.lit([min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-FIRST, FIRST)])
+    measures = []
+    for c in range(columns):
+        v = F.col(f"v{c}")
+        measures += [
+            F.count(v).alias(f"n{c}"), F.approx_count_distinct(v).alias(f"d{c}"),
+            F.percentile_approx(v, sides, ACCURACY).alias(f"q{c}"),
+        ]
+    cells = [
+        F.struct(
+            F.lit(c * len(probabilities) + j).alias("k"), F.lit(p).alias("p"), F.col(f"n{c}").alias("n"),
+            (F.col(f"d{c}") <= limit).alias("settled"),
+            (F.lit(-math.inf) if p <= FIRST else F.get(f"q{c}", F.lit(2 * j))).alias("lo"),
+            (F.lit(math.inf) if p >= 1 - FIRST else F.get(f"q{c}", F.lit(2 * j + 1))).alias("hi"),
+        )
+        for c in range(columns) for j, p in enumerate(probabilities)
     ]
-    table = values.sparkSession.createDataFrame(wanted, T.StructType([
-        *[T.StructField(f"k{i}", values.schema[k].dataType) for i, k in enumerate(keys)],
-        T.StructField("rank", T.IntegerType()), T.StructField("p", T.DoubleType()),
-        T.StructField("weight", T.DoubleType()), T.StructField("end", T.StringType()),
-    ]))
-    order = Window.partitionBy(*map(named, keys)).orderBy("v")
-    same = [named(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
-    ends = (
-        values.withColumn("i", F.row_number().over(order))
-        .join(F.broadcast(table), [*same, F.col("i") == F.col("rank")])  # two rows per answer
-        .groupBy(*map(named, keys), "p", "weight")
-        .agg(*[F.max(F.when(F.col("end") == e, F.col("v"))).alias(e) for e in ("a", "b")])
+    long = rows.groupBy(*groups).agg(*measures).select(*groups, F.inline(F.array(*cells))).where("n > 0")
+    least, most = F.lit(-math.inf), F.lit(math.inf)
+    return long.select(
+        *groups, "k", F.floor((F.col("n") - 1) * F.col("p")).alias("first"),
+        F.ceil((F.col("n") - 1) * F.col("p")).alias("last"),
+        ((F.col("n") - 1) * F.col("p") - F.floor((F.col("n") - 1) * F.col("p"))).alias("weight"),
+        F.when(F.col("settled"), least).otherwise(F.col("lo")).alias("lo"),
+        F.when(F.col("settled"), most).otherwise(F.col("hi")).alias("hi"),
+        # Where a sketch misses, the search goes back to what is known to enclose the ranks, and leaves more room.
+        least.alias("known_lo"), most.alias("known_hi"), F.lit(1).alias("room"),
+        F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "settled",
     )
-    return ends.select(*map(named, keys), "p", F.expr(_BETWEEN).alias("value"))
-
 
-def _by_narrowing(values: DataFrame, probabilities: list[float], by: list[str], limit: int) -> DataFrame:
-    spark = values.sparkSession
-    keys = [*by, "column"]
 
-    grid = F.lit([i / GRID for i in range(GRID + 1)])
-    first = values.groupBy(*map(named, keys)).agg(
-        F.count("v").alias("n"), F.percentile_approx("v", grid, ACCURACY).alias("grid")
-    )
-    brackets: dict[tuple, list[_Bracket]] = {}
-    for r in first.collect():
-        start = [_start(r["n"], p) for p in probabilities]
-        brackets[tuple(r[k] for k in keys)] = [_tighten(b, 0, r["n"], r["grid"]) for b in start]
-
-    key_fields = [values.schema[k] for k in keys]
-    pairs = T.ArrayType(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
-
-    def with_brackets() -> DataFrame:
-        # One row per group and column, a pair of numbers per probability.
-        table = spark.createDataFrame(
-            [(*k, [(b.lo, b.hi) for b in bs]) for k, bs in brackets.items()],
-            T.StructType([*[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(key_fields)],
-                          T.StructField("brackets", pairs)]),
-        )
-        same = [named(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
-        return values.join(F.broadcast(table), same, "inner").select(*map(named, keys), "v", "brackets")
-
-    def inside(bracket: Column) -> Column:
-        return F.col("v").between(bracket["lo"], bracket["hi"])
-
-    counted: dict[tuple, list[tuple[int, int]]] = {}
-    previous = {k: [replace(b, lo=-math.inf, hi=math.inf) for b in bs] for k, bs in brackets.items()}
-    while True:
-        measures = []
-        for j in range(len(probabilities)):
-            pair = F.get("brackets", F.lit(j))
-            measures += [
-                F.count_if(F.col("v") < pair["lo"]).alias(f"below{j}"),
-                F.count_if(inside(pair)).alias(f"inside{j}"),
-                F.approx_count_distinct(F.when(inside(pair), F.col("v"))).alias(f"distinct{j}"),
-                F.percentile_approx(F.when(inside(pair), F.col("v")), grid, ACCURACY).alias(f"grid{j}"),
-            ]
-        open_brackets = False
-        nxt: dict[tuple, list[_Bracket]] = {}
-        for r in with_brackets().groupBy(*map(named, keys)).agg(*measures).collect():
-            key = tuple(r[k] for k in keys)
-            nxt[key], counted[key] = [], counted.get(key, [(0, 0)] * len(probabilities))[:]
-            for j, b in enumerate(brackets[key]):
-                below, n_inside = r[f"below{j}"], r[f"inside{j}"]
-                if not (below <= b.first and b.last < below + n_inside):
-                    # The sketch missed: fall back to the last enclosing pair.
-                    nxt[key].append(replace(previous[key][j], settled=True))
-                    continue
-                counted[key][j] = (below, n_inside)
-                tight = b
-                if not b.settled and r[f"distinct{j}"] > limit:
-                    tight = _tighten(b, below, n_inside, r[f"grid{j}"])
-                if (tight.lo, tight.hi) == (b.lo, b.hi):
-                    nxt[key].append(replace(b, settled=True))
-                else:
-                    open_brackets = True
-                    nxt[key].append(tight)
-        previous, brackets = brackets, nxt
-        if not open_brackets:
-            break
-
-    ranks = spark.createDataFrame(
-        [
-            (*k, j, p, b.first - counted[k][j][0], b.last - counted[k][j][0], b.weight)
-            for k, bs in brackets.items()
-            for j, (p, b) in enumerate(zip(probabilities, bs))
-        ],
-        T.StructType([
-            *[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(key_fields)],
-            T.StructField("which", T.IntegerType()), T.StructField("p", T.DoubleType()),
-            T.StructField("first", T.LongType()), T.StructField("last", T.LongType()),
-            T.StructField("weight", T.DoubleType()),
-        ]),
-    )
-    hits = F.array_compact(F.array(*[
-        F.when(inside(F.get("brackets", F.lit(j))), F.lit(j)) for j in range(len(probabilities))
+def _with_brackets(rows: DataFrame, groups: list[str], brackets: DataFrame, quantiles: int):
+    """``rows`` and, per quantile, the Columns (lo, hi, settled) of their group."""
+    if not groups:
+        known = {r["k"]: r for r in brackets.collect()}  # columns times probabilities
+        none = {"lo": math.inf, "hi": -math.inf, "settled": True}
+        pick = lambda k: tuple(F.lit(known.get(k, none)[x]) for x in ("lo", "hi", "settled"))
+        return rows, pick
+    kind = T.MapType(T.IntegerType(), T.StructType([
+        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("settled", T.BooleanType()),
     ]))
-    counts = (
-        with_brackets()
-        .select(*map(named, keys), "v", F.explode(hits).alias("which"))
-        .groupBy(*map(named, keys), "which", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
+    wide = brackets.groupBy(*[F.col(g).alias(f"of_{g}") for g in groups]).agg(
+        F.map_from_entries(F.collect_list(F.struct("k", F.struct("lo", "hi", "settled")))).cast(kind).alias("known")
     )
-    # At most ``limit`` distinct values remain per window partition.
-    upto = F.sum("c").over(Window.partitionBy(*map(named, keys), "which").orderBy("v"))
-    same = [named(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]
-    found = (
-        counts.withColumn("upto", upto)
-        .join(F.broadcast(ranks.withColumnRenamed("which", "w")), [*same, F.col("which") == F.col("w")])
-        .groupBy(*map(named, keys), "p", "weight")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("a"),
-            F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("b"),
-        )
+    every = [F.try_element_at("known", F.lit(k)).alias(f"b{k}") for k in range(quantiles)]
+    wide = wide.select(*[f"of_{g}" for g in groups], *every)
+    on = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups]
+    return rows.join(wide, on), lambda k: tuple(F.col(f"b{k}")[x] for x in ("lo", "hi", "settled"))
+
+
+def _counted(rows: DataFrame, groups: list[str], brackets: DataFrame, columns: int, per_column: int, limit: int) -> DataFrame:
+    """Count below and inside each bracket; settle those that hold little."""
+    joined, pick = _with_brackets(rows, groups, brackets, columns * per_column)
+    measures, cells = [], []
+    for k in range(columns * per_column):
+        v, (lo, hi, _) = F.col(f"v{k // per_column}"), pick(k)
+        measures += [F.count_if(v < lo).alias(f"below{k}"), F.count_if(v.between(lo, hi)).alias(f"inside{k}")]
+        cells.append(F.struct(F.lit(k).alias("k2"), F.col(f"below{k}").alias("now_below"), F.col(f"inside{k}").alias("now_inside")))
+    found = joined.groupBy(*groups).agg(*measures)
+    found = found.select(*[F.col(g).alias(f"m_{g}") for g in groups], F.inline(F.array(*cells)))
+    both = brackets.join(found, [F.col("k") == F.col("k2"), *[F.col(g).eqNullSafe(F.col(f"m_{g}")) for g in groups]])
+    hit = (F.col("now_below") <= F.col("first")) & (F.col("last") < F.col("now_below") + F.col("now_inside"))
+    missed = ~hit
+    return both.select(
+        *groups, "k", "first", "last", "weight",
+        F.when(missed, F.col("known_lo")).otherwise(F.col("lo")).alias("lo"),
+        F.when(missed, F.col("known_hi")).otherwise(F.col("hi")).alias("hi"),
+        F.when(missed, F.col("known_lo")).otherwise(F.col("lo")).alias("known_lo"),
+        F.when(missed, F.col("known_hi")).otherwise(F.col("hi")).alias("known_hi"),
+        F.when(missed, F.col("room") * 2).otherwise(F.col("room")).alias("room"),
+        F.when(missed, F.col("below")).otherwise(F.col("now_below")).alias("below"),
+        F.when(missed, F.col("inside")).otherwise(F.col("now_inside")).alias("inside"),
+        (F.col("settled") | (hit & (F.col("now_inside") <= limit))).alias("settled"),
     )
-    return found.select(*map(named, keys), "p", F.expr(_BETWEEN).alias("value"))
-
 
-def _start(n: int, p: float) -> _Bracket:
-    position = (n - 1) * p
-    first = math.floor(position)
-    return _Bracket(first, min(first + 1, n - 1), position - first)
 
+def _narrowed(rows: DataFrame, groups: list[str], brackets: DataFrame, columns: int, per_column: int, limit: int) -> DataFrame:
+    """Cut open brackets at a sketch of their inside; settle those with few distinct values.
 
-def _tighten(b: _Bracket, below: int, n_inside: int, grid: Sequence[float]) -> _Bracket:
-    left = math.floor((b.first - below) / n_inside * GRID) - MARGIN
-    right = math.ceil((b.last - below + 1) / n_inside * GRID) + MARGIN
-    return replace(
-        b,
-        lo=grid[left] if left >= 0 else b.lo,
-        hi=grid[right] if right <= GRID else b.hi,
+    A bracket that the sketch cannot cut has most of its rows at its two ends:
+    then the ranks are at an end, or the ends are left out.
+    """
+    joined, pick = _with_brackets(rows, groups, brackets, columns * per_column)
+    hits = []
+    for k in range(columns * per_column):
+        v, (lo, hi, settled) = F.col(f"v{k // per_column}"), pick(k)
+        hits.append(F.when(~settled & v.between(lo, hi), F.struct(
+            F.lit(k).alias("k2"), v.alias("v"), (v == lo).alias("at_lo"), (v == hi).alias("at_hi")
+        )))
+    inner = joined.select(*[F.col(g).alias(f"m_{g}") for g in groups], F.inline(F.array_compact(F.array(*hits))))
+    found = inner.groupBy(*[f"m_{g}" for g in groups], "k2").agg(
+        F.approx_count_distinct("v").alias("kinds"),
+        F.percentile_approx("v", F.lit([i / GRID for i in range(GRID + 1)]), ACCURACY).alias("grid"),
+        F.count_if("at_lo").alias("n_lo"), F.count_if("at_hi").alias("n_hi"),
+        F.min(F.when(~F.col("at_lo"), F.col("v"))).alias("above_lo"), F.max(F.when(~F.col("at_hi"), F.col("v"))).alias("below_hi"),
+    )
+    on = [F.col("k") == F.col("k2"), *[F.col(g).eqNullSafe(F.col(f"m_{g}")) for g in groups]]
+    both = brackets.join(found, on, "left").withColumns({
+        "left": F.expr(f"floor((first - below) / inside * {GRID}) - {MARGIN} * room"),
+        "right": F.expr(f"ceil((last - below + 1) / inside * {GRID}) + {MARGIN} * room"),
+    }).withColumns({
+        "cut_lo": F.expr("case when left < 0 then lo else get(grid, cast(left as int)) end"),
+        "cut_hi": F.expr(f"case when right > {GRID} then hi else get(grid, cast(right as int)) end"),
+    })
+    uncut = "cut_lo = lo and cut_hi = hi"
+    new_lo = F.expr(f"""case when not ({uncut}) then cut_lo when first < below + n_lo then lo
+        when first >= below + inside - n_hi then hi when last >= below + inside - n_hi then below_hi else above_lo end""")
+    new_hi = F.expr(f"""case when not ({uncut}) then cut_hi when last < below + n_lo then lo
+        when first < below + n_lo then above_lo when last >= below + inside - n_hi then hi else below_hi end""")
+    done = F.col("settled") | (F.col("kinds") <= limit)
+    return both.select(
+        *groups, "k", "first", "last", "weight",
+        F.when(done, F.col("lo")).otherwise(new_lo).alias("lo"), F.when(done, F.col("hi")).otherwise(new_hi).alias("hi"),
+        "known_lo", "known_hi", "room", "below", "inside", done.alias("settled"),
     )
+
+
+def _picked(rows: DataFrame, groups: list[str], brackets: DataFrame, columns: int, per_column: int) -> DataFrame:
+    """Count the values inside and interpolate between the wanted ranks."""
+    joined, pick = _with_brackets(rows, groups, brackets, columns * per_column)
+    cells = []
+    for c in range(columns):
+        v = F.col(f"v{c}")
+        inside: Column = F.lit(False)
+        for k in range(c * per_column, (c + 1) * per_column):
+            lo, hi, _ = pick(k)
+            inside = inside | v.between(lo, hi)
+        cells.append(F.when(inside, F.struct(F.lit(c).alias("c"), v.alias("v"))))
+    inner = joined.select(*[F.col(g).alias(f"m_{g}") for g in groups], F.inline(F.array_compact(F.array(*cells))))
+    counts = inner.groupBy(*[f"m_{g}" for g in groups], "c", "v").agg(F.count(F.lit(1)).alias("times"))
+    wanted = brackets.withColumn("of", F.floor(F.col("k") / per_column).cast("int"))
+    on = [F.col("c") == F.col("of"), *[F.col(g).eqNullSafe(F.col(f"m_{g}")) for g in groups], F.col("v").between(F.col("lo"), F.col("hi"))]
+    near = counts.join(wanted, on)
+    # About ``limit`` distinct values per window partition.
+    upto = F.col("below") + F.sum("times").over(Window.partitionBy(*groups, "k").orderBy("v"))
+    return near.withColumn("upto", upto).groupBy(*groups, "k", "weight").agg(
+        F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("b"),
+    ).select(*groups, "k", F.expr("a + (b - a) * weight").alias("value"))

@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.columns import named
-from varve.llm.common import ascii_lower, fresh, pick, whole_text
-from varve.session import materialise
+from varve.llm.common import ascii_lower, fresh, materialise, pick, whole_text
 
 # Positions per text, and bits of the filter: 2**27 bits are 2**21 words.
 HASHES = 2
@@ -89,10 +88,11 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", filter
         "text_sha256",
     )
     rows = marks.where("may_repeat").select("key", "text_sha256", "row")
-    # Combined before the shuffle, so a text that fills a third of the table is one row per task.
-    groups = rows.groupBy("text_sha256").agg(
+    # Combined before the shuffle, so a text that fills a third of the table is one row per task. As a
+    # written table the groups leave the join its own shuffles, whose large partitions Spark can split.
+    groups = materialise(rows.groupBy("text_sha256").agg(
         F.max(F.struct("key", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")
-    )
+    ))
     several = rows.join(groups, "text_sha256").select(
         "key", F.col("last.key").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"),
         "text_sha256",

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.columns import named
-from varve.llm.common import ascii_lower, fresh
+from varve.llm.common import ascii_lower, fresh, materialise
 
 # Hex digits of a digest that take part in the join: 32 bits.
 SHORT = 8
@@ -94,6 +94,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     )
     k1, k2, rule, verdict = fresh(made, "k1", "k2", "found_rule", "found_verdict")
     best = best.toDF(k1, k2, rule, verdict)
+    # As a written table the verdicts are either small enough to be broadcast, or leave the join its
+    # own shuffles, whose large partitions Spark can split.
+    best = materialise(best)
     out = made.join(best, (named(end) == named(k1)) & (named(start) == named(k2)), "left")
     return out.withColumns({
         "rule": named(rule), "verdict": F.coalesce(named(verdict), F.lit(default))

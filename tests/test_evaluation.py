@@ -37,6 +37,19 @@ def test_zero_and_constant_targets(spark):
     assert _one(spark, [(3, 3), (3, 4)])["r2"] == 0.0
 
 
+def test_missing_values_take_part_in_no_metric(spark):
+    rows = [("m", 1.0, 1.5), ("m", 2.0, 2.0), ("m", 4.0, 3.0), ("m", 50.0, None), ("m", 60.0, float("nan")), ("m", None, 7.0)]
+    df = spark.createDataFrame(rows, "model string, y_true double, y_pred double")
+    got = report(df, by=["model"]).first()
+    want = report(df.limit(3), by=["model"]).first()
+    assert (got["n"], got["n_missing"], want["n_missing"]) == (3, 3, 0)
+    assert [got[m] for m in METRICS] == pytest.approx([want[m] for m in METRICS]) and got["r2"] < 1
+    with pytest.raises(ValueError, match="lack"):
+        ErrorEvaluator(metric="mae", labelCol="y_true", predictionCol="y_pred").evaluate(df)
+    folds = df.withColumn("fold", F.lit(0))
+    assert cross_validated_score(folds).first()["score"] is None
+
+
 def test_evaluator(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 1.0)], "label double, prediction double")
     assert ErrorEvaluator(metric="medae").evaluate(df) == 1.0

@@ -10,6 +10,7 @@ from varve.operators import importance, search
 from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend, column_stack, out_of_fold
 from varve.operators.extra_trees import ExtraTreesLearner, ExtraTreesModel
 from varve.operators.learners import HuberLearner, add_prediction, base_learners, fit_all, scaled
+from varve.operators.scaling import ExactRobustScaler
 from varve.sources.model_store import load_models, save_models
 
 SMALL = {
@@ -78,6 +79,22 @@ def test_extra_trees_learn_and_do_not_depend_on_partitions(spark, tmp_path):
     assert np.array_equal(again["prediction"], scored["prediction"])
 
 
+def test_portions_do_not_change_the_forest(spark, monkeypatch):
+    x, y = _data(200)
+    df = _vectors(spark, x, y).repartition(3).cache()
+    whole = ExtraTreesLearner(numTrees=3, maxDepth=6).fit(df).forest
+    monkeypatch.setattr("varve.operators.extra_trees.PORTION_NUMBERS", 7)
+    parts = ExtraTreesLearner(numTrees=3, maxDepth=6).fit(df).forest
+    assert np.array_equal(whole.feature, parts.feature) and whole.threshold == pytest.approx(parts.threshold, rel=1e-12)
+
+
+def test_extra_trees_score_empty_batches(spark):
+    x, y = _data(50)
+    df = _vectors(spark, x, y)
+    model = ExtraTreesLearner(numTrees=2, maxDepth=3).fit(df.where("label > 0").repartition(30))
+    assert model.transform(df.where("label < -1000")).count() == 0
+
+
 def test_extra_trees_stop_on_constant_rows(spark):
     constant = _vectors(spark, np.ones((5, 2)), np.arange(5.0))
     model = ExtraTreesLearner(numTrees=2, maxDepth=3).fit(constant)
@@ -165,20 +182,23 @@ def test_column_stack(spark):
     assert sorted(map(tuple, column_stack(long, ["m", "n"]).collect())) == [("a", 1.0, 2.0), ("b", 3.0, None)]
 
 
-@pytest.mark.parametrize("size", [20_000, 60, 1])
-def test_donors_lend_every_value_once(spark, monkeypatch, size):
-    monkeypatch.setattr(importance, "BUCKET_ROWS", size)
+@pytest.mark.parametrize("buckets", [1, 5, 1000])
+def test_donors_lend_every_value_once(spark, buckets):
     df = spark.range(300).select(F.concat(F.lit("r"), "id").alias("key"), F.col("id").cast("double").alias("v"))
-    found = importance.with_donors(df.repartition(6), "key", ["v"], repeats=4)
-    pairs = found.groupBy("repeat").agg(
-        F.sort_array(F.collect_list("donor_0")).alias("lent"), F.count_if(F.col("v") == F.col("donor_0")).alias("own")
-    ).collect()
-    assert len(pairs) == 4
-    assert all(r["lent"] == [float(i) for i in range(300)] for r in pairs)
-    if size > 1:
-        assert all(r["own"] == 0 for r in pairs)
-    again = importance.with_donors(df.repartition(1), "key", ["v"], repeats=4)
-    assert sorted(found.collect()) == sorted(again.collect())
+    df = df.withColumn("w", F.col("v"))
+    found = importance.with_donors(df.repartition(6), "key", ["v", "w"], repeats=4, buckets=buckets)
+    assert found.columns == ["v", "w", "repeat", "donor_0", "donor_1"]
+    rows = found.collect()
+    pairings = {}
+    for r in rows:
+        for c in (0, 1):
+            pairings.setdefault((r["repeat"], c), []).append((r["v"], r[f"donor_{c}"]))
+    assert len(pairings) == 8
+    assert all(sorted(d for _, d in p) == [float(i) for i in range(300)] for p in pairings.values())
+    if buckets < 10:  # every feature and repeat has a draw of its own
+        assert len({tuple(sorted(p)) for p in pairings.values()}) == 8
+    again = importance.with_donors(df.repartition(1), "key", ["v", "w"], repeats=4, buckets=buckets)
+    assert sorted(rows) == sorted(again.collect())
 
 
 def test_permutation_importance_ranks_the_used_feature_first(spark, rows):
@@ -221,6 +241,30 @@ def test_search_finds_the_better_setting(spark, rows):
     assert search.read_params(best["params"])["n_estimators"] == 2
 
 
+def test_search_scales_each_fold_once(spark, rows, monkeypatch):
+    fits = []
+    before = ExactRobustScaler._fit
+    monkeypatch.setattr(ExactRobustScaler, "_fit", lambda self, df: fits.append(1) or before(self, df))
+    space = {"n_estimators": search.Whole(1, 1), "max_depth": search.Whole(0, 2), "reg_alpha": search.Real(0, 1)}
+    trials = search.search("xgb", rows, FEATURES, "y", trials=4, space=space).collect()
+    assert len(fits) == 5 and [r["unused"] for r in trials] == [["reg_alpha"]] * 4
+
+
+def test_search_with_an_empty_fold_and_without_trials(spark, rows):
+    space = {"n_estimators": search.Whole(1, 1), "max_depth": search.Whole(0, 0)}
+    (some,) = search.search("xgb", rows.where("fold <> 3"), FEATURES, "y", trials=1, space=space).collect()
+    assert some["score"] < 0
+    assert search.search("xgb", rows, FEATURES, "y", trials=0, space=space).count() == 0
+
+
+def test_trials_without_a_score_are_passed_over(spark):
+    schema = "trial long, params map<string,string>, score double"
+    table = [(0, {"a": "x"}, float("nan")), (1, {"a": "y"}, None), (2, {"a": "z"}, -5.0)]
+    assert search.best_candidate(spark.createDataFrame(table, schema)).first()["trial"] == 2
+    with pytest.raises(Exception, match="no trial has a score"):
+        search.best_candidate(spark.createDataFrame(table[:2], schema)).collect()
+
+
 def test_equal_scores_go_to_the_lowest_trial(spark):
     df = spark.createDataFrame(
         [(2, {"a": "x"}, -1.0), (1, {"a": "y"}, -1.0), (0, {"a": "z"}, -2.0)],

@@ -14,6 +14,7 @@ from varve.plans.queries import QUERIES
 # These fit many models; check.py runs them at a larger scale.
 SLOW = {
     "base_predictions", "oof_predictions", "stacking", "stacking_without_features", "blending", "loaded_scoring",
+    "study_report", "study_tables", "rescore_report", "ensemble_score", "learner_extra_trees", "learner_gbt_bagged",
     "model_roundtrip", "impurity_importance", "permutation_importance_learners", "cv_search",
 }
 
@@ -43,6 +44,6 @@ def test_query_equals_sql(spark, sf, con, name):
 
 def test_entry_reports_each_model_and_split(spark):
     out = entry.entry(spark)
-    assert out.columns == ["model", "split", "n", "r2", "mae", "mse", "medae", "rmse", "mape"]
+    assert out.columns == ["model", "split", "n", "n_missing", "r2", "mae", "mse", "medae", "rmse", "mape"]
     found = {(r["model"], r["split"]): r for r in out.collect()}
     assert len(found) == 14 and found[("exact", "test")]["r2"] == 1.0 and found[("rf", "test")]["r2"] > 0.9

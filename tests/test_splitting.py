@@ -29,6 +29,12 @@ def test_many_buckets_give_the_same_cut(spark, monkeypatch):
     assert sorted(few) == sorted(many)
 
 
+def test_keys_that_repeat_across_a_cut_are_an_error(spark):
+    keys = spark.range(100).select(F.concat(F.lit("k"), (F.col("id") / 7).cast("int")).alias("key"))
+    with pytest.raises(ValueError, match="unique"):
+        splitting.exact_split(keys, "key")
+
+
 def test_labels_do_not_depend_on_partitions(spark):
     def labels(df):
         return sorted(map(tuple, df.select(

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import varve.__main__ as cli
 from varve.plans.study import prepare, run_study
@@ -63,6 +64,21 @@ def test_study_and_rescore(spark, sheet, tmp_path, monkeypatch, capsys):
     assert spark.read.parquet(f"{out}2/tables/permutation_top").count() == tables["permutation_top"].count()
 
 
+def test_names_that_the_study_needs_and_other_wrong_inputs(spark, sheet, tmp_path):
+    for name in ("split", "fold", "rf", "stack", "_row_key"):
+        with pytest.raises(ValueError, match=name):
+            prepare(sheet.withColumnRenamed("C7+", name), "pressure", "ref")
+    with pytest.raises(ValueError, match="no column"):
+        prepare(sheet, "absent")
+    with pytest.raises(ValueError, match="no value"):
+        prepare(sheet.limit(0), "pressure", "ref")
+    (tmp_path / "out").mkdir()
+    with pytest.raises(FileExistsError):
+        run_study(sheet, "pressure", "ref", params=PARAMS, out=str(tmp_path / "out"))
+    keyed = prepare(sheet.withColumn("id", F.monotonically_increasing_id()), "pressure", "ref", key="id")
+    assert "id" not in keyed.columns and keyed.select("_row_key").distinct().count() == keyed.count()
+
+
 def test_csv_needs_a_schema(spark):
     with pytest.raises(ValueError):
         read_table(spark, "/nowhere.csv")

@@ -42,6 +42,8 @@ def clean_table(df: DataFrame, reference: str = "ref") -> DataFrame:
 def fence(df: DataFrame, column: str, whisker: float = WHISKER) -> tuple[float, float]:
     """Ends of [Q1 - k IQR, Q3 + k IQR] from exact quartiles."""
     q1, q3 = quantile_table(df, [column], [0.25, 0.75])[column]
+    if q1 is None or q3 is None:
+        raise ValueError(f"no value in {column!r} to take a fence from")
     return q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasPredictionCol
-from pyspark.ml.regression import LinearRegressionModel
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +170,7 @@ class _EnsembleReader(DefaultParamsReader):
     def load(self, path: str) -> EnsembleModel:
         model = super().load(path)
         names = model.getOrDefault(model.baseNames) if model.getOrDefault(model.ownBases) else []
-        model.bases = {n: PipelineModel.load(f"{path}/bases/{n}") for n in names}
-        model.meta = LinearRegressionModel.load(f"{path}/meta")
+        # The class of each part is in its own metadata.
+        model.bases = {n: self.loadParamsInstance(f"{path}/bases/{n}", self.sparkSession) for n in names}
+        model.meta = self.loadParamsInstance(f"{path}/meta", self.sparkSession)
         return model

@@ -6,8 +6,8 @@ keeps the feature whose threshold lowers the squared error most.
 
 A level of all trees costs two aggregations over the rows: the value ranges of
 the open nodes, then the sums to the left of the drawn thresholds. Each task
-combines its own rows first, so what is shuffled depends on nodes and features
-and not on rows, and the plan is the same for any number of features. Rows
+combines its own rows first, so a task shuffles one row per open node and
+feature that it has met, and the plan is the same for any number of features. Rows
 carry no state between levels: a task finds the node of a row by walking the
 trees grown so far, which are a broadcast of arrays, so lineage stays one step
 long and a lost executor costs only its own tasks. Open nodes are worked off
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.functions.columns import named
+from varve.session import ship
 
 # Most numbers (open nodes times columns, 8 bytes each) in an array of a task.
 PORTION_NUMBERS = 4_000_000
@@ -100,9 +101,25 @@ class Forest:
         return np.arange(len(self.feature) - 2 * k, len(self.feature))
 
 
-def _matrix(x: pa.Array) -> np.ndarray:
+def _matrix(x: pa.Array, width: int) -> np.ndarray:
     """Feature arrays of a batch as one matrix."""
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
+
+
+# Odd multipliers that spread bits (golden ratio, and the two of a well-known 64-bit mixer).
+_SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def draws(seed: int, nodes: np.ndarray, width: int) -> np.ndarray:
+    """A number in [0, 1) per (seed, node, feature), whatever other nodes are drawn with it."""
+    x = nodes.astype(np.uint64)[:, None] * np.uint64(width) + np.arange(width, dtype=np.uint64)
+    start = np.uint64((seed * int(_SPREAD[1]) + 1) % (1 << 64))
+    x = (x + start) * _SPREAD[0]
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(30))) * _SPREAD[1]
+        x = (x ^ (x >> np.uint64(27))) * _SPREAD[2]
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)) / float(1 << 53)
 
 
 class _TreeParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
@@ -125,6 +142,7 @@ class ExtraTreesLearner(Estimator, _TreeParams, DefaultParamsReadable, DefaultPa
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "ExtraTreesModel":
+        ship(dataset.sparkSession)
         rows = dataset.select(
             vector_to_array(named(self.getFeaturesCol())).alias("x"), named(self.getLabelCol()).cast("double").alias("y")
         ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -171,7 +189,7 @@ class ExtraTreesLearner(Estimator, _TreeParams, DefaultParamsReadable, DefaultPa
 
         def ranges_of(batches):
             lo, hi = np.full((len(nodes), width + 1), np.inf), np.full((len(nodes), width + 1), -np.inf)
-            for x, y in map(_numbers, batches):
+            for x, y in (_numbers(b, width) for b in batches):
                 row, slots, starts = walk.value.group(x)
                 if len(slots):
                     values = np.column_stack([x, y])[row]
@@ -192,14 +210,14 @@ class ExtraTreesLearner(Estimator, _TreeParams, DefaultParamsReadable, DefaultPa
         lo[at], hi[at] = ranges["lo"].to_numpy(), ranges["hi"].to_numpy()
         can = (lo[:, :-1] < hi[:, :-1]) & (lo[:, -1:] < hi[:, -1:])
         # Node numbers follow from the rows alone, so the draws do, too.
-        share = np.random.default_rng([seed, int(nodes[0])]).random((len(nodes), width))
+        share = draws(seed, nodes, width)
         thresholds = context.broadcast(np.where(can, lo[:, :-1] + share * (hi - lo)[:, :-1], np.nan))
 
         def sums_of(batches):
             cut = thresholds.value
             n, s = np.zeros(len(nodes), np.int64), np.zeros(len(nodes))
             left_n, left_s = np.zeros(cut.shape, np.int64), np.zeros(cut.shape)
-            for x, y in map(_numbers, batches):
+            for x, y in (_numbers(b, width) for b in batches):
                 row, slots, starts = walk.value.group(x)
                 if len(slots):
                     sizes = np.diff(np.append(starts, len(row)))
@@ -256,8 +274,8 @@ class _Walk:
         return row[order], met, starts
 
 
-def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return _matrix(batch.column("x")), batch.column("y").to_numpy()
+def _numbers(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return _matrix(batch.column("x"), width), batch.column("y").to_numpy()
 
 
 def _cells(slots: np.ndarray, width: int, **values: np.ndarray):
@@ -286,11 +304,12 @@ class ExtraTreesModel(Model, _TreeParams, MLReadable, MLWritable):
         self.forest = forest
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        shared = dataset.sparkSession.sparkContext.broadcast(self.forest)
+        ship(dataset.sparkSession)
+        shared, width = dataset.sparkSession.sparkContext.broadcast(self.forest), self.getOrDefault(self.numFeatures)
 
         @F.arrow_udf(T.DoubleType())
         def predict(x: pa.Array) -> pa.Array:
-            return pa.array(shared.value.predict(_matrix(x)))
+            return pa.array(shared.value.predict(_matrix(x, width)))
 
         return dataset.withColumn(self.getPredictionCol(), predict(vector_to_array(named(self.getFeaturesCol()))))
 

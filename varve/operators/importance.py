@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from varve.functions import errors
 from varve.functions.columns import named
-from varve.functions.hashing import digest, hash32, hash32_of
+from varve.functions.hashing import hash32
 from varve.operators.evaluation import long_predictions, report
 
-# Rows that exchange values among themselves.
-BUCKET_ROWS = 20_000
+# Groups of rows that exchange values among themselves; a task holds one of them.
+BUCKETS = 8
 
 # Repeats and seed of a permutation, and lengths of the rankings.
 REPEATS, SHUFFLE_SEED = 20, 42
@@ -39,39 +39,46 @@ def impurity_importance(spark: SparkSession, models: dict[str, Model], features:
 
 
 def with_donors(
-    df: DataFrame, key: str, columns: Sequence[str], repeats: int = REPEATS, seed: object = SHUFFLE_SEED
+    df: DataFrame, key: str, columns: Sequence[str], repeats: int = REPEATS, seed: object = SHUFFLE_SEED,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Pair each row with one other row per repeat, which lends it its values.
-
-    Rows fall into buckets of about ``BUCKET_ROWS`` and stand there in a random
-    order, both by a digest of the key. In a repeat row ``i`` of a bucket
-    receives from row ``i + shift``, so every value is lent exactly once. The
-    rows are shuffled once for all repeats and columns, and what the repeats
-    multiply never is; keys are unique, so no bucket is large. Adds ``repeat``
-    and ``donor_0``, ``donor_1``…
+    """Pair each row, per repeat and column, with a row that lends it its value.
+
+    Rows fall into buckets by a digest of the key, which are chosen so that one
+    task can hold a bucket. Inside a bucket the rows stand in the order of
+    their digests; the lenders of a column in a repeat stand in the order of a
+    digest of (seed, column, repeat, key). So each pairing is a shuffle of its
+    own and every value is lent exactly once. The table is shuffled once for
+    all repeats and columns, and what the repeats multiply never is. Rows that
+    share a key fall into one bucket. The key is replaced by ``repeat`` and
+    ``donor_0``, ``donor_1``...
     """
-    buckets = max(1, math.ceil(df.count() / BUCKET_ROWS))
-    turns = [(r, hash32_of(f"{seed}:{r}")) for r in range(1, repeats + 1)]
-    columns, given = list(columns), df.columns
+    columns = list(columns)
+    given = [c for c in df.columns if c != key]
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches).sort_by("_digest").combine_chunks()
-        n = rows.num_rows
-        own = [rows[c] for c in given]
-        for repeat, turn in turns:
-            shift = 1 + turn % (n - 1) if n > 1 else 0
-            lenders = pa.array((np.arange(n) + shift) % n)
-            borrowed = [rows[c].take(lenders) for c in columns]
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        keys = rows["_key"].to_pylist()
+
+        def order(tag: str) -> pa.Array:
+            digests = [hashlib.md5(f"{tag}:{k}".encode()).digest() for k in keys]
+            return pa.array(sorted(range(len(keys)), key=lambda i: digests[i]))
+
+        base = order(str(seed))
+        own = [rows[c].take(base) for c in given]
+        for repeat in range(1, repeats + 1):
+            borrowed = [rows[c].take(order(f"{seed}:{c}:{repeat}")) for c in columns]
             names = [*given, "repeat", *[f"donor_{i}" for i in range(len(columns))]]
-            repeats_ = pa.array(np.full(n, repeat, np.int32))
-            yield from pa.table([*own, repeats_, *borrowed], names=names).to_batches()
+            yield from pa.table([*own, pa.array(np.full(len(keys), repeat, np.int32)), *borrowed], names=names).to_batches()
 
+    fields = [df.schema[c] for c in given]
     out = T.StructType([
-        *df.schema.fields,
-        T.StructField("repeat", T.IntegerType()),
+        *fields, T.StructField("repeat", T.IntegerType()),
         *[T.StructField(f"donor_{i}", df.schema[c].dataType) for i, c in enumerate(columns)],
     ])
-    placed = df.withColumns({"_digest": digest(seed, named(key)), "_bucket": hash32(seed, named(key)) % buckets})
+    placed = df.select(
+        *map(named, given), named(key).cast("string").alias("_key"), (hash32(seed, named(key)) % buckets).alias("_bucket")
+    )
     return placed.groupBy("_bucket").applyInArrow(lend, out)
 
 
@@ -84,6 +91,7 @@ def permutation_importance(
     key: str,
     repeats: int = REPEATS,
     seed: object = SHUFFLE_SEED,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Mean drop of R² when one feature at a time is permuted.
 
@@ -95,10 +103,10 @@ def permutation_importance(
     features, models = list(features), list(models)
     rows = df.select(named(key), named(label), *map(named, features))
     long = lambda d, keep: long_predictions(predict(d), {m: named(m) for m in models}, keep, label)
-    baseline = report(long(rows, []), by=["model"], metrics=["r2"]).select("model", F.col("r2").alias("baseline"))
+    baseline = report(long(rows, []), by=["model"], metrics=["r2"]).select(F.col("model").alias("of"), F.col("r2").alias("baseline"))
 
     which = F.explode(F.array(*[F.lit(i) for i in range(len(features))])).alias("which")
-    swapped = with_donors(rows, key, features, repeats, seed).select("*", which).select(
+    swapped = with_donors(rows, key, features, repeats, seed, buckets).select("*", which).select(
         "which", "repeat", named(label),
         *[
             F.when(F.col("which") == i, F.col(f"donor_{i}")).otherwise(named(f)).alias(f)
@@ -113,7 +121,7 @@ def permutation_importance(
         .groupBy("model", F.get(names, F.col("which")).alias("feature"))
         .agg(F.avg("r2").alias("permuted"))
     )
-    return scores.join(F.broadcast(baseline), "model").select(  # one row per model
+    return scores.join(F.broadcast(baseline), F.col("model") == F.col("of")).select(  # one row per model
         "model", "feature", (F.col("baseline") - F.col("permuted")).alias("importance")
     )
 

@@ -7,6 +7,7 @@ fitted on exactly the rows its model sees.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
@@ -27,9 +28,6 @@ from varve.operators.scaling import ExactRobustScaler
 # Fits that run at a time; each is a series of jobs that leaves cores idle in between.
 PARALLEL_FITS = 8
 
-# Rows that keep a task of an iterative solver busy.
-ROWS_PER_TASK = 50_000
-
 # Defaults of the learners.
 MODEL_SEED = 42
 HUBER_EPSILON, HUBER_ITERATIONS, HUBER_ALPHA = 1.35, 1000, 1e-4
@@ -103,6 +101,9 @@ def _subset(share: str | float) -> str:
     return "all" if float(share) >= 1.0 else str(float(share))
 
 
+# Parameters of the search spaces that these learners have no use for.
+UNUSED = {"xgb": ("reg_lambda", "reg_alpha"), "lgb": ("bagging_freq", "reg_alpha", "reg_lambda")}
+
 # The four base learners by name.
 BASE_LEARNERS = {"xgb": boosted, "rf": bagged_forest, "lgb": boosted_by_leaves, "et": randomised_trees}
 
@@ -184,9 +185,12 @@ def in_parallel(work: Callable, items: Sequence, parallelism: int = PARALLEL_FIT
 
 
 @contextmanager
-def held(df: DataFrame):
-    """Keep rows at hand for the jobs of one fit, on disk where memory ends."""
-    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+def held(df: DataFrame, source: DataFrame):
+    """Keep rows at hand for the jobs of one fit, on disk where memory ends.
+
+    Rows that are a projection of a ``source`` that is kept already are not kept twice.
+    """
+    if source.storageLevel.useMemory or source.storageLevel.useDisk:
         yield df
         return
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -219,13 +223,16 @@ class HuberLearner(
 
     def _fit(self, dataset: DataFrame):
         rows = dataset.select(named(self.getFeaturesCol()), named(self.getLabelCol()))
-        with held(rows) as rows:
+        with held(rows, dataset) as rows:
             n = rows.count()
-            # Each of many iterations costs a task per partition: join small ones.
-            rows = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
-            return LinearRegression(
+            # Each of many iterations costs a task per partition: no more than run at a time.
+            rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+            model = LinearRegression(
                 featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
                 predictionCol=self.getPredictionCol(), loss="huber",
                 epsilon=self.getOrDefault(self.epsilon), maxIter=self.getMaxIter(), tol=1e-9,
-                standardization=False, regParam=self.getOrDefault(self.alpha) / n,
+                standardization=False, regParam=self.getOrDefault(self.alpha) / max(1, n),
             ).fit(rows)
+        if model.hasSummary and model.summary.totalIterations >= self.getMaxIter():
+            warnings.warn(f"the Huber fit stopped after {self.getMaxIter()} iterations", stacklevel=2)
+        return model

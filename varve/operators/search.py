@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -9,10 +10,12 @@ from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varve.functions.columns import finite_or_null, named
 from varve.functions.hashing import uniform
 from varve.operators.evaluation import ErrorEvaluator
-from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, in_parallel, scaled
+from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, UNUSED, in_parallel, preparation
 from varve.operators.splitting import FOLDS
+from varve.session import materialise
 
 
 @dataclass(frozen=True)
@@ -97,23 +100,39 @@ def candidates(trials: DataFrame, space: dict, trial: str = "trial", seed: objec
 
 def cross_validate(
     make: Callable[[dict], Estimator], settings: Sequence[dict], rows: DataFrame, label: str, prediction: str,
-    fold: str = "fold", folds: int = FOLDS, parallelism: int = PARALLEL_FITS,
+    fold: str = "fold", folds: int = FOLDS, parallelism: int = PARALLEL_FITS, before: Estimator | None = None,
 ) -> list[float]:
-    """Mean over folds of the negated MAE, for each setting.
+    """Mean of the negated MAE over the folds that have rows, for each setting; NaN if none has.
 
-    Every (setting, fold) is an independent fit and score, several at a time;
-    the folds are a filter on a column, so rows stay where they are.
+    ``before`` (say, scaler and assembler) is fitted once per fold, on the rows
+    outside it, and what it makes of the rows is written once for all settings.
+    Every (setting, fold) is then an independent fit and score, several at a time.
     """
     judge = ErrorEvaluator(metric="mae", labelCol=label, predictionCol=prediction)
 
+    def prepared(k: int) -> tuple[DataFrame, DataFrame]:
+        train, test = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
+        if before is None:
+            return train, test
+        model = before.fit(train)
+        return tuple(materialise(model.transform(x).select("features", named(label))) for x in (train, test))
+
+    kept = in_parallel(prepared, range(folds) if settings else [], parallelism)
+
     def score(job: tuple[int, int]) -> float:
         setting, k = job
-        model = make(settings[setting]).fit(rows.where(F.col(fold) != k))
-        return -judge.evaluate(model.transform(rows.where(F.col(fold) == k)))
+        train, test = kept[k]
+        if test.isEmpty():
+            return math.nan
+        return -judge.evaluate(make(settings[setting]).fit(train).transform(test))
 
     jobs = [(s, k) for s in range(len(settings)) for k in range(folds)]
     scores = in_parallel(score, jobs, parallelism)
-    return [sum(scores[s * folds : (s + 1) * folds]) / folds for s in range(len(settings))]
+    found = []
+    for s in range(len(settings)):
+        own = [x for x in scores[s * folds : (s + 1) * folds] if not math.isnan(x)]
+        found.append(sum(own) / len(own) if own else math.nan)
+    return found
 
 
 def search(
@@ -121,20 +140,22 @@ def search(
     space: dict | None = None, fold: str = "fold", folds: int = FOLDS, seed: object = SEARCH_SEED,
     parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
-    """Trial table ``(trial, params, score)`` of one learner.
+    """Trial table ``(trial, params, score, unused)`` of one learner.
 
+    ``unused`` names the drawn parameters that Spark's learner has no use for.
     ``params`` maps names to text, as the categorical choice mixes words and
     numbers; ``read_params`` turns it back.
     """
     spark = rows.sparkSession
     space = SPACES[learner] if space is None else space
-    drawn = candidates(spark.range(trials or TRIALS[learner]).withColumnRenamed("id", "trial"), space, seed=seed)
+    drawn = candidates(spark.range(TRIALS[learner] if trials is None else trials).withColumnRenamed("id", "trial"), space, seed=seed)
     picked = sorted(drawn.collect(), key=lambda r: r["trial"])
     settings = [{n: r[n] for n in space} for r in picked]
-    make = lambda p: scaled(BASE_LEARNERS[learner](label, learner, read_params(p)), features)
-    scores = cross_validate(make, settings, rows, label, learner, fold, folds, parallelism)
-    table = [(r["trial"], {n: str(r[n]) for n in space}, s) for r, s in zip(picked, scores)]
-    return spark.createDataFrame(table, "trial long, params map<string,string>, score double")
+    make = lambda p: BASE_LEARNERS[learner](label, learner, read_params(p))
+    scores = cross_validate(make, settings, rows, label, learner, fold, folds, parallelism, preparation(features))
+    unused = [n for n in UNUSED.get(learner, ()) if n in space]
+    table = [(r["trial"], {n: str(r[n]) for n in space}, s, unused) for r, s in zip(picked, scores)]
+    return spark.createDataFrame(table, "trial long, params map<string,string>, score double, unused array<string>")
 
 
 def read_params(params: dict) -> dict:
@@ -156,6 +177,11 @@ def read_params(params: dict) -> dict:
 
 
 def best_candidate(trials: DataFrame) -> DataFrame:
-    """The trial with the highest score; among equals the lowest number."""
+    """The trial with the highest score; among equals the lowest number.
+
+    Trials without a score (NULL or NaN) are passed over; it is an error if none is left.
+    """
+    scored = trials.where(finite_or_null(F.col("score")).isNotNull())
     best = F.max_by(F.struct("trial", "params", "score"), F.struct("score", -F.col("trial")))
-    return trials.agg(best.alias("best")).select("best.*")
+    none = F.raise_error(F.lit("no trial has a score"))
+    return scored.agg(F.coalesce(best, none).alias("best")).select("best.*")

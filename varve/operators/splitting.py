@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -15,9 +16,9 @@ TEST_FRACTION, TEST_SEED = 0.2, 16
 FOLDS, FOLD_SEED = 5, 48
 HOLDOUT_FRACTION, HOLDOUT_SEED = 0.2, 42
 
-# Rows aimed at per bucket of the digest order, and the most leading hex digits
-# that name a bucket: 65,536 buckets keep every list of buckets small.
-BUCKET_ROWS, MOST_DIGITS = 50_000, 4
+# Leading hex digits of the digest that name a bucket at first, digits that are added to a bucket
+# that is still too large, and the rows of a bucket that one task sorts.
+DIGITS, MORE_DIGITS, BUCKET_ROWS = 3, 3, 50_000
 
 
 def in_fraction(key: Column, fraction: float, seed: object) -> Column:
@@ -37,12 +38,11 @@ def is_holdout(key: Column, fraction: float = HOLDOUT_FRACTION, seed: object = H
     return in_fraction(key, fraction, seed)
 
 
-def bucket_counts(df: DataFrame, key: str, seed: object) -> list[tuple[str, int]]:
-    """Rows per leading digits of the digest, ascending: at most 65,536 pairs."""
-    n = df.count()
-    digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16))))
-    prefix = F.substring(digest(seed, F.col(key)), 1, digits)
-    counts = df.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("c"))
+def bucket_counts(df: DataFrame, key: str, seed: object, prefix: str = "", digits: int = DIGITS) -> list[tuple[str, int]]:
+    """Rows per leading digits of the digest below ``prefix``, ascending: at most 16**DIGITS pairs."""
+    d = digest(seed, F.col(key))
+    rows = df.where(d.startswith(prefix)) if prefix else df
+    counts = rows.groupBy(F.substring(d, 1, len(prefix) + digits).alias("prefix")).agg(F.count(F.lit(1)).alias("c"))
     return sorted((r["prefix"], r["c"]) for r in counts.collect())
 
 
@@ -51,28 +51,41 @@ def digest_cuts(
 ) -> list[str]:
     """Digests at the given one-based ranks of the digest order.
 
-    Only the rows of the buckets that hold a rank are sorted; a global
-    ``row_number`` would send the whole table to one task. Keys are unique.
+    A bucket that holds a rank is counted again by more digits until it is
+    small; only the rows of such small buckets are sorted, while a global
+    ``row_number`` would send the whole table to one task. Where a key repeats
+    across a cut no exact size exists, which is an error.
     """
-    wanted: dict[tuple[str, int], int] = {}
+    wanted: dict[str, list[tuple[int, int]]] = {}
     for i, rank in enumerate(ranks):
-        before = 0
-        for prefix, c in counts:
-            if before < rank <= before + c:
-                wanted[(prefix, rank - before)] = i
+        found, place = counts, rank
+        while True:
+            for prefix, c in found:
+                if place <= c:
+                    break
+                place -= c
+            if c <= BUCKET_ROWS or len(prefix) >= 30:
                 break
-            before += c
-    buckets = sorted({prefix for prefix, _ in wanted})
-    digits = len(buckets[0])
-    inner = Window.partitionBy("prefix").orderBy("d")
+            found = bucket_counts(df, key, seed, prefix, MORE_DIGITS)
+        wanted.setdefault(prefix, []).append((place, i))
+    digits = {len(p) for p in wanted}
     d = digest(seed, F.col(key))
+    inside = functools.reduce(
+        lambda a, b: a | b, (F.substring(d, 1, n).isin([p for p in wanted if len(p) == n]) for n in digits)
+    )
+    named_by = F.coalesce(*[F.when(F.col("d").startswith(p), F.lit(p)) for p in wanted])
+    order = Window.partitionBy("prefix").orderBy("d")
     near = (
-        df.select(d.alias("d"), F.substring(d, 1, digits).alias("prefix"))
-        .where(F.col("prefix").isin(buckets))
-        .withColumn("rn", F.row_number().over(inner))
-        .where(F.struct("prefix", "rn").isin([F.struct(F.lit(p), F.lit(r)) for p, r in wanted]))
+        df.select(d.alias("d")).where(inside)
+        .withColumn("prefix", named_by)
+        .withColumns({"rn": F.row_number().over(order), "next": F.lead("d").over(order)})
+        .where(F.struct("prefix", "rn").isin([F.struct(F.lit(p), F.lit(n)) for p, at in wanted.items() for n, _ in at]))
     )
-    cuts = {wanted[(r["prefix"], r["rn"])]: r["d"] for r in near.collect()}
+    cuts = {}
+    for r in near.collect():
+        if r["d"] == r["next"]:
+            raise ValueError(f"{key!r} has equal values on both sides of a cut; exact sizes need unique keys")
+        cuts.update({i: r["d"] for n, i in wanted[r["prefix"]] if n == r["rn"]})
     return [cuts[i] for i in range(len(ranks))]
 
 

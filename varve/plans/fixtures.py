@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.functions.hashing import hash32
 from varve.operators.evaluation import long_predictions
 from varve.operators.splitting import fold_index, split_label
 from varve.session import materialise
@@ -65,6 +66,23 @@ def closed_form_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_predictions(rows, closed_forms(), [KEY, "split", "fold"], TARGET)
 
 
+def gappy_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of which some are NULL and some NaN, and observed values that are missing."""
+    rows = closed_form_predictions(spark, sf_dir)
+    draw = hash32("gap", F.col(KEY)) % 20
+    return rows.withColumns({
+        "y_pred": F.when(draw == 0, F.lit(None)).when(draw == 1, F.lit(float("nan"))).otherwise(F.col("y_pred")),
+        "y_true": F.when(draw == 2, F.lit(None)).otherwise(F.col("y_true")),
+    })
+
+
+def study_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net prices with a reference column, gaps in a feature, and rows that occur twice."""
+    rows = net_price(spark, sf_dir).withColumn("ref", hash32("ref", F.col(KEY)) % 3)
+    gaps = rows.withColumn("l_tax", F.when(hash32("gap", F.col(KEY)) % 17 != 0, F.col("l_tax")))
+    return gaps.unionByName(gaps.where(hash32("twice", F.col(KEY)) % 10 == 0))
+
+
 def duplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a reference number, few distinct values, and missing ones."""
     return table(spark, sf_dir, "events").select(

@@ -77,7 +77,23 @@ METRIC = {
 
 def metrics(names: list[str]) -> str:
     wanted = ", ".join(f"{METRIC[n]} AS {n}" for n in names)
-    return f"WITH {LONG} SELECT model, split, count(*) AS n, {wanted} FROM long GROUP BY model, split"
+    return f"WITH {LONG} SELECT model, split, count(*) AS n, 0::BIGINT AS n_missing, {wanted} FROM long GROUP BY model, split"
+
+
+def metrics_with_gaps() -> str:
+    wanted = ", ".join(f"{METRIC[n]} AS {n}" for n in METRIC)
+    return f"""WITH {LONG}, drawn AS (SELECT *, {hash32('gap', 'row_key')} % 20 AS draw FROM long),
+sizes AS (SELECT model, split, count(*) FILTER (draw < 3) AS n_missing FROM drawn GROUP BY model, split),
+found AS (SELECT model, split, count(*) AS n, {wanted} FROM drawn WHERE draw >= 3 GROUP BY model, split)
+SELECT * FROM found JOIN sizes USING (model, split)"""
+
+
+def study_net() -> str:
+    """Rows of the study: complete, distinct, and inside the fence of the target."""
+    return f"""{NET},
+clean AS (SELECT * FROM net WHERE {hash32('gap', 'row_key')} % 17 <> 0),
+q AS (SELECT quantile_cont(target, 0.25) AS q1, quantile_cont(target, 0.75) AS q3 FROM clean),
+inside AS (SELECT clean.* FROM clean, q WHERE target BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))"""
 
 
 def edges(column: str, bins: int) -> str:
@@ -156,33 +172,37 @@ def drawn(cells: list[str]) -> str:
     return f"SELECT o_orderkey AS trial, {', '.join(cells)} FROM orders"
 
 
-# Rows of the test split in digest order inside their bucket, and the row that
-# lends to each in each repeat.
+# Rows of the test split in digest order inside their bucket, and the value that each borrows per
+# repeat and feature.
 DONORS = NET + f""",
-test AS (SELECT *, CAST(ceil(count(*) OVER () / 20000.0::DOUBLE) AS BIGINT) AS buckets FROM net WHERE split = 'test'),
-bucketed AS (SELECT *, {hash32('42', 'row_key')} % buckets AS bucket FROM test),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || row_key)) - 1 AS pos,
-         count(*) OVER (PARTITION BY bucket) AS n
-  FROM bucketed),
-repeats AS (SELECT CAST(r AS INTEGER) AS repeat, {hash32('42', 'r')} AS turn FROM (VALUES (1), (2), (3)) AS v(r)),
-paired AS (
-  SELECT o.*, repeat, d.l_quantity AS d0, d.l_extendedprice AS d1, d.l_discount AS d2, d.l_tax AS d3
-  FROM placed o CROSS JOIN repeats r JOIN placed d
-  ON d.bucket = o.bucket AND d.pos = (o.pos + CASE WHEN o.n > 1 THEN 1 + r.turn % (o.n - 1) ELSE 0 END) % o.n)"""
+test AS (SELECT *, {hash32('42', 'row_key')} % 8 AS bucket FROM net WHERE split = 'test'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || row_key)) AS pos FROM test),
+cells AS (
+  SELECT bucket, row_key, 'l_quantity' AS feature, l_quantity::DOUBLE AS v FROM test
+  UNION ALL SELECT bucket, row_key, 'l_extendedprice', l_extendedprice FROM test
+  UNION ALL SELECT bucket, row_key, 'l_discount', l_discount FROM test
+  UNION ALL SELECT bucket, row_key, 'l_tax', l_tax FROM test),
+lent AS (
+  SELECT bucket, feature, CAST(r AS INTEGER) AS repeat, v,
+         row_number() OVER (PARTITION BY bucket, feature, r
+                            ORDER BY md5('42:' || feature || ':' || CAST(r AS VARCHAR) || ':' || row_key)) AS pos
+  FROM cells, range(1, 21) AS repeats(r))"""
 
 SWAPPED = DONORS + """,
 swapped AS (
-  SELECT 'l_quantity' AS feature, repeat, target AS y, l_extendedprice AS e, l_discount AS d, l_tax AS t FROM paired
-  UNION ALL SELECT 'l_extendedprice', repeat, target, d1, l_discount, l_tax FROM paired
-  UNION ALL SELECT 'l_discount', repeat, target, l_extendedprice, d2, l_tax FROM paired
-  UNION ALL SELECT 'l_tax', repeat, target, l_extendedprice, l_discount, d3 FROM paired
+  SELECT feature, repeat, target AS y,
+         CASE WHEN feature = 'l_extendedprice' THEN v ELSE l_extendedprice END AS e,
+         CASE WHEN feature = 'l_discount' THEN v ELSE l_discount END AS d,
+         CASE WHEN feature = 'l_tax' THEN v ELSE l_tax END AS t
+  FROM placed JOIN lent USING (bucket, pos)
   UNION ALL SELECT '', 0, target, l_extendedprice, l_discount, l_tax FROM placed),
 predicted AS (
   SELECT 'list' AS model, feature, repeat, y, e AS p FROM swapped
   UNION ALL SELECT 'disc', feature, repeat, y, e * (1 - d) FROM swapped
   UNION ALL SELECT 'tax', feature, repeat, y, e * (1 + t) FROM swapped
-  UNION ALL SELECT 'flat', feature, repeat, y, e * 0.95::DOUBLE * 1.04::DOUBLE FROM swapped),
+  UNION ALL SELECT 'flat', feature, repeat, y, e * 0.95::DOUBLE * 1.04::DOUBLE FROM swapped
+  UNION ALL SELECT 'const', feature, repeat, y, 50000.0::DOUBLE FROM swapped
+  UNION ALL SELECT 'exact', feature, repeat, y, y FROM swapped),
 scores AS (
   SELECT model, feature, repeat, 1.0 - avg((y-p)*(y-p)) / var_pop(y) AS r2
   FROM predicted GROUP BY model, feature, repeat)"""
@@ -264,6 +284,7 @@ SELECT row_key, {', '.join(f"round((net.{c} - {c}_m) / {c}_s, 6) AS scaled_{c}"
 0.0::DOUBLE AS scaled_level FROM net, q""",
     **{f"metric_{m}": metrics([m]) for m in METRIC},
     "model_report": metrics(list(METRIC)),
+    "report_with_gaps": metrics_with_gaps(),
     "report_sink": metrics(list(METRIC)),
     "cv_neg_mae": f"""WITH {LONG}, folds AS (
   SELECT model, fold, avg(abs(y - p)) AS mae FROM long WHERE split = 'train' GROUP BY model, fold)
@@ -305,7 +326,10 @@ SELECT model, feature, importance, rank FROM ranked WHERE rank <= 15""",
     "topk_global": leading_features(12),
     "topk_global_permutation": leading_features(10),
     "topk_global_normalised": leading_features(12, "importance / total"),
-    "permutation_shuffle": f"WITH {DONORS} SELECT row_key, repeat, d1 AS lent_price FROM paired",
+    "permutation_shuffle": f"""WITH {DONORS}
+SELECT row_key, p.repeat, p.v AS lent_price, q.v AS lent_quantity FROM placed
+JOIN lent p ON p.bucket = placed.bucket AND p.pos = placed.pos AND p.feature = 'l_extendedprice'
+JOIN lent q ON q.bucket = placed.bucket AND q.pos = placed.pos AND q.feature = 'l_quantity' AND q.repeat = p.repeat""",
     "permutation_importance": f"""WITH {SWAPPED}
 SELECT s.model, s.feature, round(any_value(b.r2) - avg(s.r2), 6) + 0.0::DOUBLE AS importance
 FROM scores s JOIN scores b ON b.model = s.model AND b.feature = '' WHERE s.feature <> '' GROUP BY s.model, s.feature""",
@@ -349,5 +373,33 @@ FROM lineitem, (VALUES {', '.join(f"('{m}')" for m in BASES)}) AS m(model) GROUP
 FROM (VALUES {', '.join(f"('{m}')" for m in BASES)}) AS m(model), range(4) AS r(i) GROUP BY model""",
     "permutation_importance_learners": f"""SELECT model, count(DISTINCT i) AS n_features, 'l_extendedprice' AS leading
 FROM (VALUES {', '.join(f"('{m}')" for m in BASES)}) AS m(model), range(4) AS r(i) GROUP BY model""",
-    "cv_search": "SELECT 2::BIGINT AS n_trials, TRUE AS negative, TRUE AS with_params",
+    "cv_search": f"""WITH {NET}, train AS (SELECT * FROM net WHERE split = 'train'),
+means AS (SELECT f.fold, avg(target) AS mean FROM (SELECT DISTINCT fold FROM train) f JOIN train t ON t.fold <> f.fold GROUP BY f.fold),
+maes AS (SELECT fold, avg(abs(target - mean)) AS mae FROM train JOIN means USING (fold) GROUP BY fold)
+SELECT trial, round(-avg(mae), 4) AS score, '0' AS max_depth, 'reg_lambda,reg_alpha' AS unused
+FROM maes, range(3) AS t(trial) GROUP BY trial""",
+    "best_candidate_unscored": """SELECT o_orderkey AS trial, o_orderstatus AS status, round(-o_totalprice, 2) AS score
+FROM orders WHERE o_orderkey % 3 = 2 ORDER BY o_totalprice, o_orderkey LIMIT 1""",
+    "oof_fold_means": f"""WITH {NET}, train AS (SELECT * FROM net WHERE split = 'train'),
+means AS (SELECT f.fold, avg(target) AS mean FROM (SELECT DISTINCT fold FROM train) f JOIN train t ON t.fold <> f.fold GROUP BY f.fold)
+SELECT fold, count(*) AS n, round(any_value(mean), 4) AS lowest, round(any_value(mean), 4) AS highest
+FROM train JOIN means USING (fold) GROUP BY fold""",
+    **{f"learner_{m}_exact": f"""WITH {NET},
+means AS (SELECT l_tax, avg(target) AS mean FROM net WHERE split = 'train' GROUP BY l_tax)
+SELECT l_tax, count(*) AS n, round(any_value(mean), 4) AS lowest, round(any_value(mean), 4) AS highest
+FROM net JOIN means USING (l_tax) WHERE split = 'test' GROUP BY l_tax""" for m in ("gbt", "extra_trees")},
+    "study_report": f"""WITH {study_net()}
+SELECT model, split, count(*) AS n, 0::BIGINT AS n_missing, TRUE AS learned
+FROM inside, (VALUES {', '.join(f"('{m}')" for m in [*BASES, 'stack', 'blend'])}) AS m(model) GROUP BY model, split""",
+    "study_tables": f"""WITH {study_net()}, t AS (SELECT count(*) AS n FROM inside WHERE split = 'test')
+SELECT name, CASE WHEN name = 'parity' THEN 6 * t.n ELSE rows END AS n FROM t,
+(VALUES ('report', 12), ('parity', 0), ('parity_limits', 7), ('calibration', 60), ('calibration_limits', 7),
+        ('gain_importance', 16), ('gain_top_per_model', 16), ('gain_top', 16), ('permutation_importance', 24),
+        ('permutation_top_per_model', 24), ('permutation_top', 24), ('mape_ranking', 6), ('mape_by_range', 30))
+  AS v(name, rows)""",
+    "rescore_report": f"""WITH {study_net()}
+SELECT model, split, count(*) AS n, TRUE AS same
+FROM inside, (VALUES {', '.join(f"('{m}')" for m in [*BASES, 'stack', 'blend'])}) AS m(model)
+WHERE split = 'test' GROUP BY model, split""",
+    "ensemble_score": f"WITH {NET} SELECT count(*) AS n, TRUE AS same FROM net WHERE split = 'test'",
 }

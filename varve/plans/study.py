@@ -20,6 +20,7 @@ from varve.sources.model_store import load_models, save_models
 from varve.sources.tables import write_tables
 
 KEY = "_row_key"
+ENSEMBLES = ("stack", "blend")
 
 
 @dataclass
@@ -32,24 +33,43 @@ class Study:
     tables: dict[str, DataFrame]
 
 
+def check_names(df: DataFrame, target: str, key: str | None) -> None:
+    """Columns that the study adds must not be there yet."""
+    own = {KEY, "split", "fold", "features", *BASE_LEARNERS, *ENSEMBLES}
+    taken = sorted(c for c in df.columns if c in own or c.startswith(("_scaled_", "_m")))
+    if taken:
+        raise ValueError(f"rename the columns {taken}: the study needs these names")
+    for c in (target, key):
+        if c is not None and c not in df.columns:
+            raise ValueError(f"no column {c!r}")
+
+
 def prepare(
-    df: DataFrame, target: str, reference: str | None = None, fence_on_train: bool = False, exact: bool = False
+    df: DataFrame, target: str, reference: str | None = None, fence_on_train: bool = False, exact: bool = False,
+    key: str | None = None,
 ) -> DataFrame:
     """Clean rows inside the target's fence, with key, split and fold.
 
-    The key is a digest of the whole row, reference included, taken after
+    ``key`` names a column that identifies rows and is no feature. Without one
+    the key is a hash of all values of the row, reference included, taken after
     duplicates are gone: rows that differ only in the reference stay apart.
     ``exact`` makes the test split and the folds of the training rows exact in
     size, at the price of four small jobs and a second write.
     """
+    check_names(df, target, key)
     rows = cleaning.distinct_rows(cleaning.drop_null_rows(df))
-    content = F.to_json(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(df.columns)]))
-    rows = rows.withColumn(KEY, F.md5(content))
+    values = [named(c) for c in df.columns]
+    # The hash takes the bits of a double, not its text.
+    rows = rows.withColumn(KEY, named(key).cast("string") if key else F.concat(
+        F.lower(F.hex(F.xxhash64(*values))), F.lit(":"), F.lower(F.hex(F.xxhash64(F.lit(1), *values)))
+    ))
+    if key:
+        rows = rows.drop(named(key))
     if reference:
         rows = rows.drop(named(reference))
-    key = F.col(KEY)
+    by = F.col(KEY)
     # Written once: the quartiles, and every fit after them, read the clean table.
-    rows = materialise(rows.withColumns({"split": split_label(key), "fold": fold_index(key)}), partition_by="fold")
+    rows = materialise(rows.withColumns({"split": split_label(by), "fold": fold_index(by)}), partition_by="fold")
     fit_on = F.col("split") == "train" if fence_on_train else None
     rows = cleaning.within_fence(rows, target, fit_on=fit_on)
     if not exact:
@@ -81,16 +101,20 @@ def predictions_of(models: dict[str, Model], rows: DataFrame, target: str, key:
 
 def diagnose(
     models: dict[str, Model], test: DataFrame, features: Sequence[str], target: str, key: str = KEY,
-    repeats: int = importance.REPEATS,
+    repeats: int = importance.REPEATS, long: DataFrame | None = None, buckets: int = importance.BUCKETS,
 ) -> dict[str, DataFrame]:
-    """All result tables on the test rows, the same for new and loaded models."""
+    """All result tables on the test rows, the same for new and loaded models.
+
+    ``long`` are the predictions of the test rows, if they are written already.
+    """
     spark = test.sparkSession
-    long = materialise(predictions_of(models, test, target, key))
+    long = materialise(predictions_of(models, test, target, key)) if long is None else long
     bases = {n: m for n, m in models.items() if not isinstance(m, EnsembleModel)}
     gains = importance.impurity_importance(spark, bases, features)
-    calibrated = diagnostics.calibration(long)
+    calibrated = materialise(diagnostics.calibration(long))  # bins times models
     drops = materialise(importance.permutation_importance(
-        test, lambda d: score(models, d), list(models), features, target, key, repeats=repeats
+        test, lambda d: score(models, d), list(models), features, target, key, repeats=repeats,
+        buckets=buckets,
     ))
     return {
         "parity": diagnostics.parity_table(long),
@@ -108,6 +132,13 @@ def diagnose(
     }
 
 
+def check_folder(spark: SparkSession, out: str, mode: str) -> None:
+    """Refuse at the start what the last step would refuse."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if mode == "errorifexists" and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileExistsError(f"{out} exists; choose another folder or mode='overwrite'")
+
+
 def tune(
     rows: DataFrame, features: Sequence[str], target: str, trials: dict[str, int] | None = None,
     learners: Sequence[str] = tuple(search.SPACES), parallelism: int = PARALLEL_FITS,
@@ -126,15 +157,20 @@ def tune(
 def run_study(
     df: DataFrame, target: str, reference: str | None = None, params: dict[str, dict] | None = None,
     trials: dict[str, int] | None = None, passthrough: bool = True, fence_on_train: bool = False, exact: bool = False,
-    repeats: int = importance.REPEATS, out: str | None = None, parallelism: int = PARALLEL_FITS,
+    repeats: int = importance.REPEATS, out: str | None = None, parallelism: int = PARALLEL_FITS, key: str | None = None,
+    buckets: int = importance.BUCKETS, mode: str = "errorifexists",
 ) -> Study:
     """Fit the four base learners and both ensembles, and report on them.
 
     ``params`` fixes the parameters of some learners; ``trials`` asks to tune
     the learners it names. Each base learner is fitted on the training rows
-    once; both ensembles, the report and the importances share it.
+    once; both ensembles, the report and the importances share it. Rows are
+    scored once, for the report and all tables. Models and tables below ``out``
+    are written with one ``mode``.
     """
-    rows = prepare(df, target, reference, fence_on_train, exact)
+    if out:
+        check_folder(df.sparkSession, out, mode)
+    rows = prepare(df, target, reference, fence_on_train, exact, key)
     features = cleaning.feature_columns(rows, target, keys=[KEY, "split", "fold"])
     train = rows.where("split = 'train'")
     params, trial_tables = dict(params or {}), {}
@@ -154,27 +190,31 @@ def run_study(
     tables = {
         "report": report(everything),
         **{f"trials_{n}": t for n, t in trial_tables.items()},
-        **diagnose(models, rows.where("split = 'test'"), features, target, repeats=repeats),
+        **diagnose(
+            models, rows.where("split = 'test'"), features, target, repeats=repeats,
+            long=everything.where("split = 'test'"), buckets=buckets,
+        ),
     }
     if out:
-        spark = df.sparkSession
-        save_models(spark, models, f"{out}/models")
-        write_tables(tables, f"{out}/tables")
+        save_models(df.sparkSession, models, f"{out}/models")
+        write_tables(tables, f"{out}/tables", mode)
     return Study(models, rows, features, tables)
 
 
 def rescore(
     spark: SparkSession, folder: str, df: DataFrame, target: str, reference: str | None = None,
-    repeats: int = importance.REPEATS, fence_on_train: bool = False, exact: bool = False,
+    repeats: int = importance.REPEATS, fence_on_train: bool = False, exact: bool = False, key: str | None = None,
+    buckets: int = importance.BUCKETS,
 ) -> Study:
     """Load stored models and repeat the report and diagnostics on the test rows."""
     models = load_models(spark, folder)
-    rows = prepare(df, target, reference, fence_on_train, exact)
+    rows = prepare(df, target, reference, fence_on_train, exact, key)
     features = cleaning.feature_columns(rows, target, keys=[KEY, "split", "fold"])
     test = rows.where("split = 'test'")
+    long = materialise(predictions_of(models, test, target))
     tables = {
-        "report": report(materialise(predictions_of(models, test, target))),
-        **diagnose(models, test, features, target, repeats=repeats),
+        "report": report(long),
+        **diagnose(models, test, features, target, repeats=repeats, long=long, buckets=buckets),
     }
     return Study(models, rows, features, tables)
 

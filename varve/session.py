@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; they may not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_varve_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # else it came as an archive already
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='varve-')}/varve", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+    context._varve_shipped = True
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     """A path below the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -27,12 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.columns import named
 from varve.llm.common import materialise, whole_text
-from varve.llm.words import GOLDEN, WordHashes, mixed, words_of
+from varve.llm.words import GOLDEN, mixed, words_of
 
 ORDER = 2
 # Text per chunk, and distinct n-grams per part, that one task holds.
@@ -58,22 +59,44 @@ class Mixture:
     weights: np.ndarray | None = None  # bucket x (floor, order 1, 2, ...)
 
 
-def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Keys per order and position, the first position of each text, its length."""
+@dataclass
+class _Chunk:
+    """The n-grams of some texts: distinct keys per order, and which one stands at each position."""
+
+    distinct: list[np.ndarray]
+    place: list[np.ndarray]
+    starts: np.ndarray
+    lengths: np.ndarray
+
+
+def _grams(texts: list[str | None], order: int) -> _Chunk:
     rows = [words_of(t) for t in texts]
     lengths = np.array([len(r) + 1 for r in rows], dtype=np.int64)
     starts = np.cumsum(lengths) - lengths
-    tokens = np.full(int(lengths.sum()), END, dtype=np.uint64)
-    inside = np.ones(len(tokens), dtype=bool)
+    # Words are numbered as they come; the end is number 0.
+    numbers: dict[bytes | None, int] = {None: 0}
+    ids = np.zeros(int(lengths.sum()), dtype=np.int64)
+    inside = np.ones(len(ids), dtype=bool)
     inside[starts + lengths - 1] = False
-    tokens[inside] = WordHashes()([w for r in rows for w in r])
-    keys = [mixed(tokens)]
+    ids[inside] = [numbers.setdefault(w, len(numbers)) for r in rows for w in r]
+    del rows
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers if w is not None), np.uint64, len(numbers) - 1)
+    hashes = np.concatenate([np.array([END]), hashes])
+    words = mixed(hashes)
+    ranked = np.argsort(words)
+    rank = np.empty_like(ranked)
+    rank[ranked] = np.arange(len(ranked))
+    distinct, place, tokens = [words[ranked]], [rank[ids]], hashes[ids]
+    keys = words[ids]
     for _ in range(order - 1):
         before = np.empty_like(tokens)
-        before[1:] = keys[-1][:-1]
+        before[1:] = keys[:-1]
         before[starts] = START
-        keys.append(mixed(before * GOLDEN + tokens))
-    return keys, starts, lengths
+        keys = mixed(before * GOLDEN + tokens)
+        found, at = np.unique(keys, return_inverse=True)
+        distinct.append(found)
+        place.append(at)
+    return _Chunk(distinct, place, starts, lengths)
 
 
 def _shift(parts: int) -> np.uint64:
@@ -111,11 +134,10 @@ def _ask(order: int, parts: int) -> Callable[[pa.Table], pa.Table]:
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        keys, _, lengths = _grams(table.column("text").to_pylist(), order)
-        use = np.repeat(np.array(table.column("use").to_pylist(), dtype=np.int8), lengths)
+        found = _grams(table.column("text").to_pylist(), order)
+        use = np.repeat(np.array(table.column("use").to_pylist(), dtype=np.int8), found.lengths)
         rows = []
-        for level, k in enumerate(keys, 1):
-            distinct, place = np.unique(k, return_inverse=True)
+        for level, (distinct, place) in enumerate(zip(found.distinct, found.place), 1):
             counts = [np.bincount(place[use == u], minlength=len(distinct)) for u in (_FIRST, _SECOND)]
             part = _parts_of(distinct, parts)
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -148,12 +170,11 @@ def _answer(table: pa.Table) -> pa.Table:
     return _table(rows, _schema(_ANSWER))
 
 
-def _counts_at(keys: list[np.ndarray], answers: pa.Table, column: str) -> list[np.ndarray]:
+def _counts_at(grams: _Chunk, answers: pa.Table, column: str) -> list[np.ndarray]:
     """For each order, the count of the n-gram at each position."""
     out = []
     levels, parts, blobs = (answers.column(c).to_pylist() for c in ("level", "part", column))
-    for level, k in enumerate(keys, 1):
-        distinct, place = np.unique(k, return_inverse=True)
+    for level, (distinct, place) in enumerate(zip(grams.distinct, grams.place), 1):
         mine = sorted((p, b) for lv, p, b in zip(levels, parts, blobs) if lv == level)
         counts = np.concatenate([_unpacked(b) for _, b in mine])
         if len(counts) != len(distinct):
@@ -183,9 +204,9 @@ def _cells(model: Mixture) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def cells(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table([], schema)
-        keys, starts, _ = _grams(docs.column("text").to_pylist(), model.order)
-        counts = _counts_at(keys, answers, "first")
-        shares, bucket = _estimates(counts, starts, model.tokens, model.texts)
+        grams = _grams(docs.column("text").to_pylist(), model.order)
+        counts = _counts_at(grams, answers, "first")
+        shares, bucket = _estimates(counts, grams.starts, model.tokens, model.texts)
         with np.errstate(divide="ignore"):
             step = np.where(shares > 0, np.floor(-np.log10(shares) * STEPS), -1).astype(np.int64)
         found, n = np.unique(np.vstack([bucket, step]), axis=1, return_counts=True)
@@ -219,14 +240,15 @@ def _scores(model: Mixture, floor: float) -> Callable[[pa.Table, pa.Table], pa.T
         schema = pa.schema([docs.schema.field("key"), *_schema("use int, n_tokens long, n_known long, base_score double, score double")])
         if not docs.num_rows:
             return schema.empty_table()
-        keys, starts, lengths = _grams(docs.column("text").to_pylist(), model.order)
-        counts = _counts_at(keys, answers, "total")
+        grams = _grams(docs.column("text").to_pylist(), model.order)
+        starts = grams.starts
+        counts = _counts_at(grams, answers, "total")
         shares, bucket = _estimates(counts, starts, model.tokens, model.texts)
         weights = model.weights[bucket]
         mix = weights[:, 0] * floor + (weights[:, 1:] * shares.T).sum(axis=1)
         base = np.log10((counts[0] + 1) / (model.tokens + model.distinct + 1))
         return pa.table([
-            docs.column("key"), docs.column("use"), pa.array(lengths),
+            docs.column("key"), docs.column("use"), pa.array(grams.lengths),
             pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), starts)),
             pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(mix), starts)),
         ], schema=schema)

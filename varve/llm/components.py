@@ -13,12 +13,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     A large star ties the larger neighbours of a node to its smallest one, a
     small star the smaller neighbours; the rounds, logarithmic in number, end
-    when the edges stay as they are. Each round is a written table. The
+    when the edges stay as they are. Each round is a written table, and so are
+    the smallest neighbours: the join with them then has shuffles of its own,
+    and Spark can split the edges of a node that has a great part of them. The
     smallest node itself has no row.
     """
     now, before = _sorted_out(edges.select("a", "b")), None
     while True:
-        now = materialise(_small_star(_large_star(now)))
+        now = materialise(_small_star(materialise(_large_star(now))))
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return now
@@ -31,12 +33,12 @@ def _sorted_out(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("lo")).select("a", F.least("a", "lo").alias("lo"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("lo")).select("a", F.least("a", "lo").alias("lo")))
     # Pairs of a larger neighbour and the smallest node that the middle one knows.
     return _sorted_out(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("lo").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("lo"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("lo")))
     others = edges.join(least, "a").select(F.col("b").alias("a"), F.col("lo").alias("b"))
     return _sorted_out(others.unionByName(least.select("a", F.col("lo").alias("b"))))

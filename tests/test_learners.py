@@ -4,6 +4,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from varve.operators import importance, search
@@ -175,6 +176,20 @@ def test_blend_and_store(spark, rows, tmp_path):
     assert sorted(loaded["blend"].transform(rows).collect()) == sorted(blend.transform(rows).collect())
 
 
+def test_unfitted_ensembles_are_saved_copied_and_tuned(spark, rows, tmp_path):
+    bases = base_learners(FEATURES, "y", SMALL, ["rf", "xgb"])
+    for est in (FoldStack(bases, FEATURES, "y", passthrough=False), HoldoutBlend(bases, "key", "y", fraction=0.3)):
+        path = str(tmp_path / type(est).__name__)
+        est.write().save(path)
+        again = type(est).load(path)
+        assert list(again.bases) == ["rf", "xgb"] and again.meta.getOrDefault("epsilon") == 1.35
+        assert {p.name: v for p, v in again.extractParamMap().items()} == {p.name: v for p, v in est.extractParamMap().items()}
+        assert again.fit(rows).evaluate(rows) == pytest.approx(est.fit(rows).evaluate(rows), abs=1e-3)
+    stack = FoldStack(bases, FEATURES, "y")
+    grid = ParamGridBuilder().addGrid(stack.passthrough, [True, False]).build()
+    assert [len(m.getInputCols()) for m in stack.fit(rows, grid)] == [4, 2]
+
+
 def test_column_stack(spark):
     long = spark.createDataFrame(
         [("a", "m", 1.0), ("a", "n", 2.0), ("b", "m", 3.0)], "row_key string, model string, y_pred double"

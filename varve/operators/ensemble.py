@@ -57,7 +57,45 @@ def _assemble(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=plain, outputCol=META).transform(renamed)
 
 
-class FoldStack(Estimator):
+class _Ensemble(Estimator, HasPredictionCol, MLReadable, MLWritable):
+    """Base learners and a meta-learner, which are estimators themselves, and params for the rest.
+
+    ``copy`` (and so a param grid) reaches the parts, too, and all is saved and
+    loaded. ``fitted`` are base models that exist already; they are not saved.
+    """
+
+    labelName = Param(Params._dummy(), "labelName", "observed column", TypeConverters.toString)
+    baseNames = Param(Params._dummy(), "baseNames", "base learners, in order", TypeConverters.toListString)
+    ownBases = Param(Params._dummy(), "ownBases", "whether base learners are stored with it", TypeConverters.toBoolean)
+    parallelism = Param(Params._dummy(), "parallelism", "fits at a time", TypeConverters.toInt)
+
+    def __init__(self, bases, label, prediction, meta, fitted, parallelism):
+        super().__init__()
+        self.bases, self.meta, self.fitted = dict(bases or {}), meta or HuberLearner(), fitted
+        self._set(
+            labelName=label, predictionCol=prediction, parallelism=parallelism, baseNames=list(self.bases), ownBases=True
+        )
+
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.bases = {n: b.copy(extra) for n, b in self.bases.items()}
+        that.meta = self.meta.copy(extra)
+        return that
+
+    def write(self) -> MLWriter:
+        return _EnsembleWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _EnsembleReader(cls)
+
+    def _model(self, final: dict[str, Model], meta: Model, inputs: Sequence[str]) -> "EnsembleModel":
+        return EnsembleModel(final, meta)._set(
+            inputCols=inputs, labelName=self.getOrDefault("labelName"), predictionCol=self.getPredictionCol()
+        )
+
+
+class FoldStack(_Ensemble):
     """Stacking: the meta-learner learns from out-of-fold predictions.
 
     With ``passthrough`` it also sees the unscaled features. The base learners
@@ -65,53 +103,58 @@ class FoldStack(Estimator):
     they exist already.
     """
 
+    featureNames = Param(Params._dummy(), "featureNames", "feature columns", TypeConverters.toListString)
+    foldCol = Param(Params._dummy(), "foldCol", "column with the fold of a row", TypeConverters.toString)
+    folds = Param(Params._dummy(), "folds", "number of folds", TypeConverters.toInt)
+    passthrough = Param(Params._dummy(), "passthrough", "show the features to the meta-learner", TypeConverters.toBoolean)
+
     def __init__(
-        self, bases: dict[str, Estimator], features: Sequence[str], label: str, prediction: str = "stack",
-        fold: str = "fold", folds: int = FOLDS, passthrough: bool = True, meta: HuberLearner | None = None,
-        fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS,
+        self, bases: dict[str, Estimator] | None = None, features: Sequence[str] = (), label: str = "label",
+        prediction: str = "stack", fold: str = "fold", folds: int = FOLDS, passthrough: bool = True,
+        meta: HuberLearner | None = None, fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS,
     ):
-        super().__init__()
-        self.bases, self.features, self.label, self.prediction = dict(bases), list(features), label, prediction
-        self.fold, self.folds, self.passthrough = fold, folds, passthrough
-        self.meta, self.fitted, self.parallelism = meta or HuberLearner(), fitted, parallelism
+        super().__init__(bases, label, prediction, meta, fitted, parallelism)
+        self._set(featureNames=list(features), foldCol=fold, folds=folds, passthrough=passthrough)
 
     def _fit(self, dataset: DataFrame) -> "EnsembleModel":
-        rows, _ = out_of_fold(self.bases, dataset, self.fold, self.folds, self.parallelism)
-        inputs = [*self.bases, *(self.features if self.passthrough else [])]
-        meta = fit_meta(rows, inputs, self.label, self.meta, self.prediction)
-        final = self.fitted or fit_all({n: (e, dataset) for n, e in self.bases.items()}, self.parallelism)
-        return EnsembleModel(final, meta)._set(inputCols=inputs, labelName=self.label, predictionCol=self.prediction)
+        at_a_time = self.getOrDefault("parallelism")
+        rows, _ = out_of_fold(self.bases, dataset, self.getOrDefault("foldCol"), self.getOrDefault("folds"), at_a_time)
+        inputs = [*self.bases, *(self.getOrDefault("featureNames") if self.getOrDefault("passthrough") else [])]
+        meta = fit_meta(rows, inputs, self.getOrDefault("labelName"), self.meta, self.getPredictionCol())
+        final = self.fitted or fit_all({n: (e, dataset) for n, e in self.bases.items()}, at_a_time)
+        return self._model(final, meta, inputs)
 
 
-class HoldoutBlend(Estimator):
+class HoldoutBlend(_Ensemble):
     """Blending: the meta-learner learns from predictions on a held-out share.
 
     It is fitted on the output of models that saw the other rows, and applied
     to models fitted on all rows (``fitted`` when they exist already).
     """
 
+    keyName = Param(Params._dummy(), "keyName", "column that identifies rows", TypeConverters.toString)
+    fraction = Param(Params._dummy(), "fraction", "share that is held out", TypeConverters.toFloat)
+    holdoutSeed = Param(Params._dummy(), "holdoutSeed", "seed of the held-out share", TypeConverters.toString)
+
     def __init__(
-        self, bases: dict[str, Estimator], key: str, label: str, prediction: str = "blend",
+        self, bases: dict[str, Estimator] | None = None, key: str = "key", label: str = "label", prediction: str = "blend",
         fraction: float = HOLDOUT_FRACTION, seed: object = HOLDOUT_SEED, meta: HuberLearner | None = None,
         fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS,
     ):
-        super().__init__()
-        self.bases, self.key, self.label, self.prediction = dict(bases), key, label, prediction
-        self.fraction, self.seed = fraction, seed
-        self.meta, self.fitted, self.parallelism = meta or HuberLearner(), fitted, parallelism
+        super().__init__(bases, label, prediction, meta, fitted, parallelism)
+        self._set(keyName=key, fraction=fraction, holdoutSeed=str(seed))
 
     def _fit(self, dataset: DataFrame) -> "EnsembleModel":
-        held_out = is_holdout(named(self.key), self.fraction, self.seed)
+        key, share = self.getOrDefault("keyName"), self.getOrDefault("fraction")
+        held_out = is_holdout(named(key), share, self.getOrDefault("holdoutSeed"))
         seen = dataset.where(~held_out)
         partial = {("part", n): (e, seen) for n, e in self.bases.items()}
         whole = {} if self.fitted else {("all", n): (e, dataset) for n, e in self.bases.items()}
-        fits = fit_all({**partial, **whole}, self.parallelism)
+        fits = fit_all({**partial, **whole}, self.getOrDefault("parallelism"))
         rows = add_predictions({n: fits[("part", n)] for n in self.bases}, dataset.where(held_out))
-        meta = fit_meta(rows, list(self.bases), self.label, self.meta, self.prediction)
+        meta = fit_meta(rows, list(self.bases), self.getOrDefault("labelName"), self.meta, self.getPredictionCol())
         final = self.fitted or {n: fits[("all", n)] for n in self.bases}
-        return EnsembleModel(final, meta)._set(
-            inputCols=list(self.bases), labelName=self.label, predictionCol=self.prediction
-        )
+        return self._model(final, meta, list(self.bases))
 
 
 class EnsembleModel(Model, HasInputCols, HasPredictionCol, MLReadable, MLWritable):
@@ -167,7 +210,9 @@ class _EnsembleWriter(DefaultParamsWriter):
 
 
 class _EnsembleReader(DefaultParamsReader):
-    def load(self, path: str) -> EnsembleModel:
+    """For ensembles and for their models."""
+
+    def load(self, path: str):
         model = super().load(path)
         names = model.getOrDefault(model.baseNames) if model.getOrDefault(model.ownBases) else []
         # The class of each part is in its own metadata.

@@ -549,13 +549,18 @@ def best_candidate_unscored(spark: SparkSession, sf: str) -> DataFrame:
 # --- the study -----------------------------------------------------------------
 
 STUDY_REPEATS = 5
+_STUDIES: dict[tuple[str, str], tuple[str, DataFrame, Study]] = {}
 
 
 def _study(spark: SparkSession, sf: str) -> tuple[str, DataFrame, Study]:
-    rows, folder = fixtures.study_rows(spark, sf), new_path(spark, "study")
-    return folder, rows, run_study(
-        rows, TARGET, reference="ref", params=SMALL, key=KEY, repeats=STUDY_REPEATS, out=folder
-    )
+    """One written study per application and folder, which its queries read back."""
+    at = spark.sparkContext.applicationId, sf
+    if at not in _STUDIES:
+        rows, folder = fixtures.study_rows(spark, sf), new_path(spark, "study")
+        _STUDIES[at] = folder, rows, run_study(
+            rows, TARGET, reference="ref", params=SMALL, key=KEY, repeats=STUDY_REPEATS, out=folder
+        )
+    return _STUDIES[at]
 
 
 def study_report(spark: SparkSession, sf: str) -> DataFrame:

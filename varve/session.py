@@ -50,10 +50,11 @@ def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
     This ends the lineage: later jobs read files, so the loss of an executor
     costs a re-read and not a re-computation. With ``partition_by`` a filter on
-    that column reads only the folders it needs.
+    that column reads only the folders it needs; rows are dealt out by it first,
+    in partitions of even size, so a folder has few files.
     """
     spark = df.sparkSession
     path = new_path(spark, "table")
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

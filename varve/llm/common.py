@@ -12,8 +12,13 @@ from varve.functions.columns import named
 
 # The letters that contracts on equal texts fold, and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Spark removes the shuffle files of a query at its end where this is set.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: Spark removes the shuffle files of the query at its end, and hands texts
+# to Python in small batches, of which JVM and Python each hold one or two per core.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216b",
+}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,12 +28,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """A written table in the shared folder; the shuffles behind it are given back at once."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
+    before = {k: conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        conf.set(k, v)
     try:
         return session.materialise(df)
     finally:
-        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def ascii_lower(text: Column) -> Column:

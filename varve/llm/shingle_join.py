@@ -34,6 +34,7 @@ from varve.functions.columns import named
 from varve.llm.common import fresh, materialise, whole_text
 from varve.llm.components import connected_components
 from varve.llm.words import WordHashes, mixed, windows, words_of
+from varve.session import ship
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -43,7 +44,7 @@ DEEPEST = 6
 RECALL = 0.9999
 # Members and shingles of a block.
 BLOCK = 512
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 # Pairs whose signatures agree less than the threshold by this many standard errors are not links.
 ERRORS = 6.0
 
@@ -86,12 +87,19 @@ def _columns(spec: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in spec.split(", "))])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, as shingles take more room than texts."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _signed(values: int, width: int) -> Callable:
     schema = _columns("class binary, n long, signature binary")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(words_of(t.as_py()), hashes, width) for t in batch.column("text")]
             made = [
                 pa.array([_class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
@@ -107,7 +115,7 @@ def _shingled(width: int) -> Callable:
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(words_of(t.as_py()), hashes, width) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([
                 pa.array([_class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
@@ -259,6 +267,7 @@ def near_copies(
     ``n_links`` the number of other documents whose similarity to this one
     reaches the threshold, copies included.
     """
+    ship(docs.sparkSession)
     depth = matched_depth(similarity, trees, deepest, recall)
     values = trees * deepest
     kind = docs.schema[key].dataType.simpleString()

@@ -42,7 +42,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 class WordHashes:
     """Hashes of words, each computed once while a task runs (the memory is given back when it is full)."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self):
         self._known: dict[bytes, int] = {}

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from varve.functions.columns import named
 from varve.llm.common import ascii_lower, materialise, whole_text
 from varve.llm.words import GOLDEN, plain_words
+from varve.session import ship
 
 LANGUAGES = ("de", "en", "es", "fr")
 # Slots of the trigram models, as a power of two.
@@ -136,6 +137,7 @@ def identify(
     """One row per page: key, host, suffix, declared, text_language, language, confidence."""
     languages, n = sorted(languages), len(languages)
     spark = pages.sparkSession
+    ship(spark)
     held = spark.sparkContext.broadcast(trigram_models(labelled, text, language, languages).astype(np.float32))
     host = F.coalesce(ascii_lower(F.regexp_extract(named(url), _ADDRESS, 1)), F.lit(""))
     host = F.regexp_replace(host, r":\d*$", "")

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from varve.functions.columns import named
 from varve.functions.hashing import digest
-from varve.llm.common import fresh
-from varve.session import materialise
+from varve.llm.common import fresh, materialise
 
 SEED = 16
 # Mean rate up to which one inversion does.

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from varve.functions.columns import named
 from varve.llm.common import materialise, whole_text
 from varve.llm.words import GOLDEN, mixed, words_of
+from varve.session import ship
 
 ORDER = 2
 # Text per chunk, and distinct n-grams per part, that one task holds.
@@ -116,6 +117,16 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=np.dtype(blob[:1].decode()), offset=1).astype(np.int64)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, byte plane by byte plane: the upper planes are nearly empty."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 _ASK = "level int, part int, chunk int, keys binary, first binary, second binary"
 _ANSWER = "chunk int, level int, part int, total binary, first binary, tokens long, kinds long, texts long"
 
@@ -142,7 +153,7 @@ def _ask(order: int, parts: int) -> Callable[[pa.Table], pa.Table]:
             part = _parts_of(distinct, parts)
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                rows.append((level, int(part[a]), chunk, distinct[a:b].tobytes(), *(_packed(c[a:b]) for c in counts)))
+                rows.append((level, int(part[a]), chunk, _packed_keys(distinct[a:b]), *(_packed(c[a:b]) for c in counts)))
         return _table(rows, schema)
 
     return ask
@@ -150,7 +161,7 @@ def _ask(order: int, parts: int) -> Callable[[pa.Table], pa.Table]:
 
 def _answer(table: pa.Table) -> pa.Table:
     level, part = table.column("level")[0].as_py(), table.column("part")[0].as_py()
-    keys = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    keys = [_unpacked_keys(x) for x in table.column("keys").to_pylist()]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     sums = []
     for name in ("first", "second"):
@@ -266,6 +277,7 @@ def score_texts(
     that teach the weights. Scores are log10 probabilities. The column
     ``held_out`` of the result is true for documents outside the training set.
     """
+    ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(whole_text(named(text))) + 1)).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     parts = 1 << max(0, (max(1, size // (6 * part_keys)) - 1).bit_length())

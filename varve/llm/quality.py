@@ -30,14 +30,17 @@ from pyspark.sql import functions as F
 from varve.functions.columns import named
 from varve.llm.common import fresh, materialise, whole_text
 from varve.llm.words import GOLDEN, WordHashes
+from varve.session import ship
 
-# Rows that the scorer is trained on, at most: those with the smallest hash of (key, text).
+# Rows that the scorer is trained on: all of a table up to this size, and of a larger one about as
+# many, those whose hash of (key, text) falls below that share of its range.
 FIT_ROWS = 20_000
 # Slots of the hashed features, as a power of two.
 SLOT_BITS = 14
-# Passes over its share of the sample in each task, rounds of averaging, step and decay of weights.
-EPOCHS, ROUNDS, SHARES = 8, 3, 8
-STEP, DECAY = 0.5, 1e-5
+# Rows that each task visits between averages (its share again and again), rounds of averaging, tasks.
+VISITS, ROUNDS, SHARES = 20_000, 3, 8
+# First step, what it is divided by at the end of a round, and decay of the weights.
+STEP, COOLING, DECAY = 0.5, 8, 1e-5
 # Lengths of the words and of the measures beside the trigrams, whose length is 1.
 WORDS_LENGTH, MEASURES_LENGTH = 0.5, 2.0
 # A document is kept when its score reaches this probability.
@@ -48,9 +51,12 @@ LONG = 20
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#$%&*+<=>@[\\]^_`{|}~")] = True
+_BLANK = list(b" \t\n\r\x0b\x0c")
+_PLAIN = ~_SYMBOLS
+_PLAIN[33] = False
 
 
-def measures(data: bytes, words: list[bytes]) -> dict[str, float]:
+def measures(data: bytes, words: list[bytes], times: Counter) -> dict[str, float]:
     """What the heuristics look at; a measure that a text does not have is absent."""
     out: dict[str, float] = {}
     n = len(words)
@@ -60,15 +66,15 @@ def measures(data: bytes, words: list[bytes]) -> dict[str, float]:
     capitals, small = int(counts[65:91].sum()), int(counts[97:123].sum())
     out["symbols"] = float(counts[_SYMBOLS].sum()) / n
     out["shouts"] = float(counts[33]) / n
-    out["word_bytes"] = sum(map(len, words)) / n
-    out["plain"] = float(capitals + small + counts[32] + counts[10] + counts[128:].sum()) / len(data)
+    out["word_bytes"] = float(len(data) - counts[_BLANK].sum()) / n
+    out["plain"] = float(counts[_PLAIN].sum()) / len(data)
     if capitals + small >= LONG:
         out["capitals"] = capitals / (capitals + small)
     if n >= LONG:
         out["echoes"] = sum(map(operator.eq, words, islice(words, 1, None))) / n
-        out["commonest"] = Counter(words).most_common(1)[0][1] / n
+        out["commonest"] = max(times.values()) / n
         out["sentence"] = n / (1.0 + float(counts[46] + counts[33] + counts[63]))
-        out["variety"] = len(set(words)) / n**0.7
+        out["variety"] = len(times) / n**0.7
     return out
 
 
@@ -138,33 +144,35 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = LABE
     return model
 
 
-def features(data: bytes, words: list[bytes], found: dict[str, float], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of the hashed features."""
+def features(data: bytes, times: Counter, found: dict[str, float], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of the hashed features: square roots of counts, each kind scaled to its length."""
     shift = np.uint64(64 - SLOT_BITS)
     b = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
     parts = []
     if len(b) >= 3:
         grams = (b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:]
-        parts.append(((grams * GOLDEN) >> shift, 1.0))
-    if words:
-        parts.append((hashes(words) >> shift, WORDS_LENGTH))
-    slots, values = [], []
-    for at, length in parts:
-        counts = np.bincount(at.astype(np.int64), minlength=1 << SLOT_BITS)
+        counts = np.bincount(((grams * GOLDEN) >> shift).astype(np.int64), minlength=1 << SLOT_BITS)
         slot = np.flatnonzero(counts)
-        value = np.sqrt(counts[slot])
+        parts.append((slot, counts[slot], 1.0))
+    if times:
+        counts = np.fromiter(times.values(), dtype=np.int64, count=len(times))
+        parts.append(((hashes(list(times)) >> shift).astype(np.int64), counts, WORDS_LENGTH))
+    slots, values = [], []
+    for slot, counts, length in parts:
         slots.append(slot)
-        values.append(value * (length / np.linalg.norm(value)))
+        values.append(np.sqrt(counts) * (length / np.sqrt(counts.sum())))
     steps = [f"{k}:{np.floor(np.log2(v + 2.0**-8)):.0f}".encode() for k, v in found.items()] + [b"bias:"]
     slots.append((hashes(steps) >> shift).astype(np.int64))
     values.append(np.full(len(steps), MEASURES_LENGTH / np.sqrt(len(steps))))
     return np.concatenate(slots), np.concatenate(values)
 
 
-def _seen(text: str | None) -> tuple[bytes, list[bytes], dict[str, float]]:
+def _seen(text: str | None) -> tuple[bytes, Counter, dict[str, float]]:
+    """The bytes of a text, how often each of its words occurs, and its measures."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
-    return data, words, measures(data, words)
+    times = Counter(words)
+    return data, times, measures(data, words, times)
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +185,25 @@ def _patterns(rows: list[str]) -> np.ndarray:
     return np.array([[int(v) for v in r] for r in rows], dtype=np.int64).reshape(len(rows), len(LABELLERS))
 
 
-def learn_labels(docs: DataFrame, text: str = "text") -> LabelModel:
-    """Label model of all documents."""
+def learn_labels(docs: DataFrame, text: str = "text") -> tuple[LabelModel, int]:
+    """Label model of all documents, and their number."""
     votes = docs.select(whole_text(named(text)).alias("text")).mapInArrow(_voted, "votes string")
     # At most three to the power of the labellers.
     counted = sorted(map(tuple, votes.groupBy("votes").agg(F.count(F.lit(1))).collect()))
-    return fit_label_model(_patterns([r[0] for r in counted]), np.array([r[1] for r in counted], dtype=float))
+    counts = np.array([r[1] for r in counted], dtype=float)
+    return fit_label_model(_patterns([r[0] for r in counted]), counts), int(counts.sum())
 
 
 def _trained(model: LabelModel, start: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     def train(table: pa.Table) -> pa.Table:
         hashes, rows = WordHashes(), []
         for t in table.sort_by([("order", "ascending"), ("text", "ascending")]).column("text").to_pylist():
-            data, words, found = _seen(t)
-            rows.append((*features(data, words, found, hashes), model.posterior(_patterns([votes_of(found)]))[0]))
+            data, times, found = _seen(t)
+            rows.append((*features(data, times, found, hashes), model.posterior(_patterns([votes_of(found)]))[0]))
         weights = start.copy()
-        for epoch in range(EPOCHS):
-            step = STEP / (1 + epoch)
+        epochs = -(-VISITS // len(rows))
+        for epoch in range(epochs):
+            step = STEP / (1 + (COOLING - 1) * epoch / epochs)
             for slots, values, label in rows:
                 score = 1.0 / (1.0 + np.exp(-np.clip(weights[slots] @ values, -40, 40)))
                 weights[slots] += step * ((label - score) * values - DECAY * weights[slots])
@@ -202,10 +212,14 @@ def _trained(model: LabelModel, start: np.ndarray) -> Callable[[pa.Table], pa.Ta
     return train
 
 
-def learn_scorer(docs: DataFrame, model: LabelModel, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> np.ndarray:
+def learn_scorer(
+    docs: DataFrame, model: LabelModel, n_rows: int, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS
+) -> np.ndarray:
     """Weights of the linear scorer: shares of the sample are trained apart and averaged, a few times over."""
     rows = docs.select(whole_text(named(text)).alias("text"), F.xxhash64(named(key), named(text)).alias("order"))
-    sample = materialise(rows.orderBy("order").limit(fit_rows))
+    if n_rows > fit_rows:
+        rows = rows.where(F.col("order") < int((2 * fit_rows / n_rows - 1) * 2**63))
+    sample = materialise(rows)
     weights = np.zeros(1 << SLOT_BITS)
     for _ in range(ROUNDS):
         share = F.pmod(F.col("order"), F.lit(SHARES)).alias("share")
@@ -225,8 +239,9 @@ def score(
     ``names`` are the new columns; columns of ``docs`` with these names are replaced.
     """
     docs = docs.drop(*names)
-    model = learn_labels(docs, text)
-    weights = learn_scorer(docs, model, key, text, fit_rows)
+    ship(docs.sparkSession)
+    model, n_rows = learn_labels(docs, text)
+    weights = learn_scorer(docs, model, n_rows, key, text, fit_rows)
     held = docs.sparkSession.sparkContext.broadcast((model, weights.astype(np.float32)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +250,11 @@ def score(
         for batch in batches:
             votes, labels, scores = [], [], []
             for t in batch.column(batch.schema.names.index(text)):
-                data, words, found = _seen(t.as_py())
+                data, times, found = _seen(t.as_py())
                 v = votes_of(found)
                 if v not in posterior:
                     posterior[v] = float(model.posterior(_patterns([v]))[0])
-                slots, values = features(data, words, found, hashes)
+                slots, values = features(data, times, found, hashes)
                 votes.append(v)
                 labels.append(posterior[v])
                 scores.append(float(1.0 / (1.0 + np.exp(-np.clip(weights[slots] @ values, -40, 40)))))

@@ -65,7 +65,7 @@ def with_quantile_bins(
         whole = df.withColumn("whole", F.lit(True))
         return with_quantile_bins(whole, column, bins, ["whole"], decimals).drop("whole")
     by = list(by)
-    edges = F.broadcast(quantile_edges(df, column, bins, by, decimals))  # one short row per group
+    edges = quantile_edges(df, column, bins, by, decimals)  # one short row per group
     joined = df.join(edges, by, "left")
     index = F.when(F.col("edges").isNotNull() & named(column).isNotNull(),
                    bin_index(named(column), F.col("edges"), bins))

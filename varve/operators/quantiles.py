@@ -48,6 +48,8 @@ def exact_quantiles(
         *[named(b).alias(g) for b, g in zip(by, groups)],
         *[finite_or_null(named(c)).alias(f"v{i}") for i, c in enumerate(columns)],
     )
+    # The passes read a written table of the values alone, so what stands before it (a hash, a model) runs once.
+    rows = materialise(rows)
     brackets = materialise(_first_brackets(rows, groups, len(columns), probabilities, limit))
     while not brackets.where("not settled").isEmpty():
         brackets = materialise(_counted(rows, groups, brackets, len(columns), len(probabilities), limit))

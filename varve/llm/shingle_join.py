@@ -43,7 +43,7 @@ DEEPEST = 6
 # Share of the links at exactly the threshold that must meet.
 RECALL = 0.9999
 # Members and shingles of a block.
-BLOCK = 512
+BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
 # Pairs whose signatures agree less than the threshold by this many standard errors are not links.
 ERRORS = 6.0

@@ -64,6 +64,22 @@ def test_equals_brute_force_on_the_tables(spark, sf):
     assert found(docs) == brute_force([tuple(r) for r in docs.collect()])
 
 
+def test_a_key_that_repeats_with_different_texts_loses_only_its_near_copies(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    one, near = " ".join(a), " ".join([*a[:-1], "z"])
+    other, like = " ".join(b), " ".join([*b[:-1], "z"])
+    # Key 3 loses a near copy of key 1, holds the smallest key of a second group, and texts of its own.
+    rows = [(1, one), (3, near), (3, other), (4, like), (3, "alone " * 9), (3, None), (5, ""), (None, one), (3, near)]
+    left = shingle_join.drop_near_copies(documents(spark, rows))
+    assert sorted((tuple(r) for r in left.select("doc_id", "text").collect()), key=str) == sorted(
+        [(1, one), (3, other), (3, "alone " * 9), (3, None), (None, one)], key=str
+    )
+    # A hot key of different texts, of which one is a near copy.
+    hot = [(7, f"text {i} of the hot key and nothing like {i}") for i in range(200)]
+    left = shingle_join.drop_near_copies(documents(spark, [(1, one), (7, near), *hot]))
+    assert sorted(tuple(r) for r in left.select("doc_id", "text").collect()) == sorted([(1, one), *hot])
+
+
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert found(docs) == [] and shingle_join.drop_near_copies(docs).count() == 0

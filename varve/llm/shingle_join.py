@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.columns import named
@@ -105,7 +105,8 @@ def _signed(values: int, width: int) -> Callable:
                 pa.array([_class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([signature(s, values).tobytes() if len(s) else b"" for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *made], schema=pa.schema([batch.schema.field("key"), *schema]))
+            kept = [f for f in batch.schema if f.name != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *made], schema=pa.schema([*kept, *schema]))
 
     return sign
 
@@ -267,12 +268,29 @@ def near_copies(
     ``n_links`` the number of other documents whose similarity to this one
     reaches the threshold, copies included.
     """
+    found = _near_copies(docs, key, text, similarity, width, trees, deepest, recall)
+    return found.select(F.col("key").alias(key), "class_id", "class_size", "n_links")
+
+
+def _text_mark(text: str) -> Column:
+    """16 bytes that tell texts apart; equal texts are of one class."""
+    return F.substring(F.unhex(F.sha2(whole_text(named(text)), 256)), 1, 16)
+
+
+def _near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH,
+    trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, marked: bool = False,
+) -> DataFrame:
+    """Columns key, class_id, class_size, n_links; if ``marked`` also ``mark``, which tells the row's text."""
     ship(docs.sparkSession)
     depth = matched_depth(similarity, trees, deepest, recall)
     values = trees * deepest
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(named(key).alias("key"), whole_text(named(text)).alias("text"))
-    members = materialise(rows.mapInArrow(_signed(values, width), f"key {kind}, class binary, n long, signature binary"))
+    mark = [_text_mark("text").alias("mark")] if marked else []
+    members = materialise(rows.select("key", *mark, "text").mapInArrow(
+        _signed(values, width), f"key {kind}, {'mark binary, ' if marked else ''}class binary, n long, signature binary"
+    ))
     classes = materialise(members.groupBy("class").agg(
         F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("signature").alias("signature"),
@@ -324,17 +342,16 @@ def near_copies(
     found = linked.join(groups, "star").select(
         "class", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")
     )
-    return members.select("key", "class").join(found, "class").select(
-        F.col("key").alias(key), "class_id", "class_size", "n_links"
-    )
+    return members.drop("n", "signature").join(found, "class").drop("class")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` of which no document with a smaller key is in the same group.
 
-    Rows without a key cannot be told apart and stay.
+    A key that repeats with different texts loses only the rows whose own text is
+    in such a group. Rows without a key cannot be told apart and stay.
     """
-    found = near_copies(docs, key, text, **how)
-    (gone,) = fresh(docs, "gone")
-    dropped = found.where(named(key) != F.col("class_id")).select(named(key).alias(gone)).distinct()
-    return docs.join(dropped, named(key) == named(gone), "left_anti")
+    found = _near_copies(docs, key, text, marked=True, **how)
+    gone, gone_mark = fresh(docs, "gone", "gone_mark")
+    dropped = found.where(F.col("key") != F.col("class_id")).select(F.col("key").alias(gone), F.col("mark").alias(gone_mark)).distinct()
+    return docs.join(dropped, (named(key) == named(gone)) & (_text_mark(text) == named(gone_mark)), "left_anti")

@@ -54,6 +54,26 @@ def test_long_and_crowded_dialogues_come_in_parts(spark):
     assert "".join(t for _, t in mine) == one
 
 
+def test_pieces_of_a_crowd_do_not_depend_on_the_layout(spark):
+    rows = [(None, 7, "p1", f"extra {i:03}") for i in range(60)] + [(None, 7, "p2", "again")] * 90 + [(None, None, "p1", "none")] * 45
+    rows += [(None, t, "p1", f"turn {t}") for t in range(12)] + [(2, 0, "p1", "small")] * 3
+    table = spark.createDataFrame(rows, SCHEMA)
+    first, *others = [
+        sorted((str(r) for r in chat.rotate(t, part_turns=10, crowded=20).collect()))
+        for t in (table.coalesce(1), table.repartition(5), table.orderBy(F.rand(3)), table.repartition(7, "text"))
+    ]
+    assert all(o == first for o in others)
+    mine = [r for r in chat.rotate(table, part_turns=10, crowded=20).collect() if r["conv_id"] is None and r["perspective"] == "p2"]
+    assert sum(r["n_turns"] for r in mine) == len(rows) - 3
+    crowd = {r["part"]["piece"]: r for r in mine if r["part"]["turn"] == 7}
+    assert set(crowd) == set(range(8))
+    # 90 equal turns go evenly over 8 pieces, and are learned as often.
+    assert sorted(len(r["spans"]) for r in crowd.values()) == [11] * 6 + [12] * 2
+    for r in mine:
+        assert r["text"].count("<|im_start|>") == r["n_turns"]
+        assert all(r["text"][a:b] == "again<|im_end|>" for a, b in r["spans"])
+
+
 @pytest.mark.parametrize("rows", [[], [(1, 0, "system", "s")]])
 def test_nothing_to_render(spark, rows):
     assert chat.rotate(spark.createDataFrame(rows, SCHEMA)).count() == 0

@@ -9,7 +9,8 @@ Turns come in the order of their number, then of speaker and text. A dialogue
 is rendered in parts of ``PART_TURNS`` turn numbers, nearly always a single
 one. Parts that hold more than ``CROWDED`` rows are single turn numbers
 instead, and a turn number with more rows than that is split by a hash of
-speaker and text. So a dialogue that fills a third of the table is many parts,
+speaker and text; turns that repeat are counted and dealt evenly from that piece
+on, so the pieces depend on the rows alone and not on their layout. So a dialogue that fills a third of the table is many parts,
 in order of their column ``part``, and spans count from the start of a part.
 
 NULL is a dialogue, a turn number (just before 0) and a speaker (named
@@ -36,13 +37,13 @@ UNKNOWN = "unknown"
 
 
 def _parts(turns: DataFrame, part_turns: int, crowded: int) -> DataFrame:
-    """``turns`` with the column ``part``: (first number, hash part)."""
+    """``turns`` with the columns ``part``, (first number, hash part), and ``copies``, how often a row counts."""
     block = F.floor(F.coalesce("turn", F.lit(0)) / part_turns)
     sizes = turns.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("rows"))
     full = sizes.groupBy("conv", block.alias("block")).agg(F.sum("rows").alias("rows")).where(F.col("rows") > crowded)
     out = turns.withColumn("block", block)
     if full.isEmpty():
-        return out.withColumn("part", F.struct((F.col("block") * part_turns).alias("turn"), F.lit(0).alias("piece"))).drop("block")
+        return out.withColumn("part", F.struct((F.col("block") * part_turns).alias("turn"), F.lit(0).alias("piece"))).drop("block").withColumn("copies", F.lit(1))
     full = full.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.lit(True).alias("full"))
     crowds = sizes.where(F.col("rows") > crowded).select(
         F.col("conv").alias("c2"), F.col("turn").alias("t2"), F.ceil(F.col("rows") / crowded).cast("int").alias("pieces")
@@ -50,9 +51,20 @@ def _parts(turns: DataFrame, part_turns: int, crowded: int) -> DataFrame:
     out = out.join(full, F.col("conv").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left")
     out = out.join(crowds, F.col("conv").eqNullSafe(F.col("c2")) & F.col("turn").eqNullSafe(F.col("t2")), "left")
     first = F.when(F.col("full"), F.col("turn")).otherwise(F.col("block") * part_turns)
-    # Rows that repeat are alike, so a number may tell them apart without changing the text.
-    piece = F.coalesce(F.pmod(F.xxhash64("speaker", "text", F.monotonically_increasing_id()), F.col("pieces")), F.lit(0)).cast("int")
-    return out.withColumn("part", F.struct(first.alias("turn"), piece.alias("piece"))).select(*turns.columns, "part")
+    out = out.withColumn("first", first)
+    alone = out.where(F.col("pieces").isNull()).select(
+        *turns.columns, F.struct(F.col("first").alias("turn"), F.lit(0).alias("piece")).alias("part"), F.lit(1).alias("copies")
+    )
+    # Turns that repeat are one row with a count, whose copies go round the pieces from the hashed one on.
+    alike = out.where(F.col("pieces").isNotNull()).groupBy(*turns.columns, "first", "pieces").agg(F.count(F.lit(1)).alias("rows"))
+    steps = F.sequence(F.lit(0).cast("long"), F.least("rows", F.col("pieces").cast("long")) - 1)
+    dealt = alike.select("*", F.explode(steps).alias("step"))
+    piece = F.pmod(F.pmod(F.xxhash64("speaker", "text"), F.col("pieces")) + F.col("step"), F.col("pieces")).cast("int")
+    copies = F.floor(F.col("rows") / F.col("pieces")) + (F.col("step") < F.col("rows") % F.col("pieces")).cast("int")
+    dealt = dealt.select(
+        *turns.columns, F.struct(F.col("first").alias("turn"), piece.alias("piece")).alias("part"), copies.cast("int").alias("copies")
+    )
+    return alone.unionByName(dealt)
 
 
 def _marked_up(x: Column, perspective: Column, systems: Column) -> Column:
@@ -85,8 +97,8 @@ def rotate(
     )
     systems = F.array(*[F.lit(s) for s in system]).cast("array<string>")
     parts = _parts(rows, part_turns, crowded).groupBy("conv", "part").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns")
-    )
+        F.sort_array(F.collect_list(F.struct("turn", "speaker", "text", "copies"))).alias("turns")
+    ).withColumn("turns", F.flatten(F.transform("turns", lambda x: F.array_repeat(x, x["copies"]))))
     speakers = rows.where(~F.array_contains(systems, F.col("speaker"))).select(
         F.col("conv").alias("of"), F.col("speaker").alias("perspective")
     ).distinct()

@@ -1,11 +1,11 @@
-"""Near copies by word shingles: a MinHash LSH forest with exact verification.
+"""Near copies by word shingles: MinHash banding with exact verification.
 
 Texts are sets of runs of ``width`` words (A-Z folded, ASCII white space
 separates). Documents with equal sets are one class and go through the join
 once. Each class has a signature of minimum hashes, cut into labels for
-``trees`` prefix tries; classes that share a prefix of their labels meet. The
-matched prefix starts at the whole label and is shortened until the recall at
-the threshold reaches the target. Meetings are verified on the whole sets, so
+``trees`` bands; classes that share a prefix of a label meet. The prefix has one
+length for all labels, the longest that reaches the target recall at the
+threshold by formula, so this is an LSH forest reduced to banding. Meetings are verified on the whole sets, so
 links are exact; a pair is verified in the first trie in which it meets.
 
 Nodes of a trie that have the same members as one of an earlier trie are left

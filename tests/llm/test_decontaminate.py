@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents
-from varve.llm import decontaminate
+from varve.llm import decontaminate, queries
 
 
 def plain(text):
@@ -82,6 +82,15 @@ def test_passages_also_reordered_and_edge_cases(spark, block_bytes):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {3, 4, 5, 6, 8, 9, 10}
 
 
+def test_coverage_below_the_threshold_is_exact(spark, tmp_path):
+    docs = [*DOCS, (11, " ".join(PASSAGE[:7]) + " y " + " ".join(PASSAGE[30:]))]
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r["doc_id"]: tuple(r)[1:] for r in queries.op9_decontamination(spark, str(tmp_path)).collect()}
+    assert rows[3] == (0.5, 1, 1, False) and rows[9] == (0.5, 6, 1, False) and rows[11] == (17 / 40, 1, 2, False)
+    assert {k: v[:2] for k, v in rows.items() if k not in (3, 9, 11)} == {k: v for k, v in WANT.items() if k not in (3, 9)}
+
+
 def test_empty_tables(spark):
     bench, docs = spark.createDataFrame(BENCH, "item_id long, text string"), documents(spark, DOCS)
     assert decontaminate.coverage(docs.limit(0), bench).count() == 0

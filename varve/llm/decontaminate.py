@@ -2,7 +2,8 @@
 
 Documents and benchmark items are compared as words (A-Z folded, ASCII
 punctuation separates). Runs of ``seed`` words that both have are the seeds.
-Where the seeds of a document could cover enough of an item, tiles are laid:
+Where the seeds of a document could cover enough of an item (or any item that
+shares a seed, with ``tile_from=0``), tiles are laid:
 again and again the longest run of words that both have, and that no tile
 covers yet, becomes a tile on either side, down to ``seed`` words. Runs are
 found by Karp-Rabin hashes of all windows of a length and confirmed word by
@@ -146,7 +147,7 @@ class Block:
         """
         get = self.numbers.get
         ids = np.array([get(w, -1) for w in plain_words(text)], dtype=np.int64)
-        candidates: set[int] = set()
+        candidates: dict[int, float] = {}
         inside = ids >= 0
         if not inside.any():
             return 0.0, None, 0
@@ -165,13 +166,15 @@ class Block:
                     covered = np.zeros(len(self.items[k]), dtype=bool)
                     for p in places[owners == k].tolist():
                         covered[p:p + self.seed] = True
-                    if covered.mean() >= enough:
-                        candidates.add(k)
+                    if (most := float(covered.mean())) >= enough:
+                        candidates[k] = most
         for n, those in self.short.items():
             have = set(side.windows(n)[1].tolist())
-            candidates.update(k for k, h in those if int(h) in have)
+            candidates.update((k, 1.0) for k, h in those if int(h) in have)
         best = (0.0, None, 0)
-        for k in sorted(candidates):
+        for k in sorted(candidates, key=lambda k: (-candidates[k], k)):
+            if candidates[k] < best[0]:  # tiles consist of seeds, so no later item covers more
+                break
             item = self.items[k]
             tiles = lay_tiles(ids, item, min(self.seed, len(item)))
             if tiles:
@@ -191,12 +194,13 @@ def _blocks(bench: DataFrame, key: str, text: str, seed: int, block_bytes: int)
 def coverage(
     docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     seed: int = SEED, enough: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
-    names: tuple[str, str, str, str] = ("coverage", "covered_item", "n_tiles", "contaminated"),
+    names: tuple[str, str, str, str] = ("coverage", "covered_item", "n_tiles", "contaminated"), tile_from: float | None = None,
 ) -> DataFrame:
     """``docs`` with the best coverage, its item, its number of tiles, and whether it reaches ``enough``.
 
-    Coverage is exact where it reaches ``enough``; items that cannot reach it
-    are not tiled and count as 0. ``names`` are the new columns; columns of
+    Items of which the seeds cover at least ``tile_from`` are tiled, and coverage
+    is exact from there on; others count as 0. Without ``tile_from`` these are
+    the items that can reach ``enough``; with 0 all coverages are exact. ``names`` are the new columns; columns of
     ``docs`` with these names are replaced. Items with a NULL id are left out.
     """
     ship(docs.sparkSession)
@@ -208,7 +212,7 @@ def coverage(
     for i, block in enumerate(_blocks(bench.where(named(item).isNotNull()), item, item_text, seed, block_bytes)):
         if i:
             out = materialise(out)  # one block in memory at a time
-        out = out.mapInArrow(_compared(sc.broadcast(block), text, names[:3], enough), out.schema)
+        out = out.mapInArrow(_compared(sc.broadcast(block), text, names[:3], enough if tile_from is None else tile_from), out.schema)
     return out.withColumn(names[3], named(names[0]) >= enough)
 
 

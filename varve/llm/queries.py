@@ -75,7 +75,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate.coverage(docs, read(spark, sf_dir, "benchmark"))
+    out = decontaminate.coverage(docs, read(spark, sf_dir, "benchmark"), tile_from=0.0)
     return out.select("doc_id", "coverage", F.col("covered_item").alias("item_id"), "n_tiles", "contaminated")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varve.llm import (
-    chat, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, oracles, quality, shingle_join, url_rules,
+    chat, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, oracles, quality, shingle_join, topk, url_rules,
 )
 from varve.llm.common import read
 
@@ -84,6 +84,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all others."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", topk.integer_weights(F.col("embedding"), 1024).alias("weights"))
+    return topk.top_inner_products(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 } | {
@@ -91,7 +97,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language_id, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_url_filters,
         op6_chat_formatting, op7_lm_scoring, op8_ngram_jaccard_join,
-        op9_decontamination, op10_mixing,
+        op9_decontamination, op10_mixing, op11_exact_topk,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

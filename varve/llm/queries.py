@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varve.llm import (
-    chat, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, oracles, quality, shingle_join, topk, url_rules,
+    chat, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, oracles, periodic, quality, shingle_join, topk, url_rules,
 )
-from varve.llm.common import read
+from varve.llm.common import read, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,39 @@ def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(rows, F.col("vec_id") % 100 == 0)
 
 
+def _with_planted_runs(key: Column, text: Column) -> Column:
+    """In a tenth of the texts, chosen by key, the words from one on repeat with a period; others stay as they are."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(place, lambda i: F.get(words, i.cast("int"))), " ")).otherwise(F.lit(""))
+
+    # The words are bound to a name once and not split again for each place.
+    words = F.regexp_extract_all(whole_text(text), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), planted), 0)).otherwise(whole_text(text))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, with digests of the list of runs and of the text without repeats."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", _with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.find_runs(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")
+    ))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 } | {
@@ -98,6 +131,7 @@ QUERIES: dict[str, Query] = {
         op1_language_id, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_url_filters,
         op6_chat_formatting, op7_lm_scoring, op8_ngram_jaccard_join,
         op9_decontamination, op10_mixing, op11_exact_topk,
+        op13_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

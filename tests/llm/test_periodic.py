@@ -34,9 +34,9 @@ def collapsed(words, runs):
     return " ".join(w for i, w in enumerate(words) if i not in gone)
 
 
-def found(spark, texts):
+def found(spark, texts, **how):
     docs = documents(spark, list(enumerate(texts))).withColumns({c: F.lit(1) for c in ("key", "runs", "n_words", "collapsed")})
-    rows = periodic.find_runs(docs).collect()
+    rows = periodic.find_runs(docs, **how).collect()
     return {r["doc_id"]: ([tuple(x) for x in r["runs"]], r["collapsed"], r["n_words"]) for r in rows}
 
 
@@ -86,10 +86,9 @@ def test_empty_null_long_and_repeated_rows(spark):
     assert periodic.find_runs(documents(spark, [])).count() == 0
 
 
-def test_groups_of_texts_do_not_touch(spark, monkeypatch):
-    monkeypatch.setattr(periodic, "WORDS", 50)
+def test_groups_of_texts_do_not_touch(spark):
     texts = ["a " * n for n in range(12)] * 3
-    assert {i: v[0] for i, v in found(spark, texts).items()} == {i: brute(split(t)) for i, t in enumerate(texts)}
+    assert {i: v[0] for i, v in found(spark, texts, words=30).items()} == {i: brute(split(t)) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("extra", [[], [(None, "a a a a a a a"), (10, None), (11, " ")]])

@@ -24,21 +24,19 @@ def brute(rows, k, factor=1024):
     return sorted(out, key=str)
 
 
-def found(spark, rows, k):
+def found(spark, rows, k, **how):
     df = spark.createDataFrame([(*r, "b", "w", 1) for r in rows], SPEC)
     vectors = df.withColumn("weights", topk.integer_weights(F.col("embedding"), 1024))
-    out = topk.top_inner_products(vectors, F.col("vec_id") % 100 == 0, k=k)
+    out = topk.top_inner_products(vectors, F.col("vec_id") % 100 == 0, k=k, **how)
     assert out.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
     return sorted((tuple(r) for r in out.collect()), key=str)
 
 
 @pytest.mark.parametrize("block, chunk, bucket", [(2048, 64, 64), (7, 2, 1)])
-def test_equals_brute_force(spark, monkeypatch, block, chunk, bucket):
-    for name, value in (("BLOCK", block), ("QUERY_BLOCK", 3), ("CHUNK", chunk), ("BUCKET", bucket)):
-        monkeypatch.setattr(topk, name, value)
+def test_equals_brute_force(spark, block, chunk, bucket):
     random.seed(7)
     rows = [(i * 5, [random.choice([0.0, 0.0, random.uniform(-1, 1)]) for _ in range(9)]) for i in range(180)]
-    assert found(spark, rows, 10) == brute(rows, 10)
+    assert found(spark, rows, 10, block=block, query_block=3, bucket=bucket, chunk=chunk) == brute(rows, 10)
 
 
 def test_missing_parts_ties_and_repeats(spark):

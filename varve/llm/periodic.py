@@ -196,30 +196,34 @@ def _solved(texts: list[list[bytes]]) -> tuple[list[list[dict]], list[bytes]]:
     return found, collapsed
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = [f for f in batch.schema if f.name != "text"]
-        a, texts, words = 0, [], 0
-        column = batch.column("text").cast(pa.binary())
-        for i in range(batch.num_rows):
-            texts.append(column[i].as_py().split())
-            words += len(texts[-1])
-            if words < WORDS and len(texts) < ROWS and i + 1 < batch.num_rows:
-                continue
-            runs, collapsed = _solved(texts)
-            yield pa.RecordBatch.from_arrays([
-                *[batch.column(f.name).slice(a, len(texts)) for f in kept],
-                pa.array([len(x) for x in texts], pa.int64()), pa.array(runs, _RUNS),
-                pa.array(collapsed, pa.binary()).cast(pa.string()),
-            ], schema=pa.schema([*kept, ("n_words", pa.int64()), ("runs", _RUNS), ("collapsed", pa.string())]))
-            a, texts, words = i + 1, [], 0
-
-
-def find_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _searched(most: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [f for f in batch.schema if f.name != "text"]
+            a, texts, words = 0, [], 0
+            column = batch.column("text").cast(pa.binary())
+            for i in range(batch.num_rows):
+                texts.append(column[i].as_py().split())
+                words += len(texts[-1])
+                if words < most and len(texts) < ROWS and i + 1 < batch.num_rows:
+                    continue
+                runs, collapsed = _solved(texts)
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(f.name).slice(a, len(texts)) for f in kept],
+                    pa.array([len(x) for x in texts], pa.int64()), pa.array(runs, _RUNS),
+                    pa.array(collapsed, pa.binary()).cast(pa.string()),
+                ], schema=pa.schema([*kept, ("n_words", pa.int64()), ("runs", _RUNS), ("collapsed", pa.string())]))
+                a, texts, words = i + 1, [], 0
+
+    return search
+
+
+def find_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Rows (key, n_words, runs, collapsed): the runs of each text, and its words without the repeats.
 
     Words are what ASCII white space separates. ``collapsed`` has no word that
     lies in a run after the first period of it; words are joined by one space.
+    ``words`` is how many a task works on at once, or those of one text if it has more.
     """
     ship(docs.sparkSession)
     rows = docs.select(named(key).alias("key"), whole_text(named(text)).alias("text"))
@@ -227,7 +231,7 @@ def find_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         T.StructField("key", rows.schema["key"].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("runs", RUNS), T.StructField("collapsed", T.StringType()),
     ])
-    return rows.mapInArrow(_search, out).withColumnRenamed("key", key)
+    return rows.mapInArrow(_searched(words), out).withColumnRenamed("key", key)
 
 
 def strongest(runs: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varve.llm import (
-    chat, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, oracles, periodic, quality, shingle_join, topk, url_rules,
+    chat, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, oracles, periodic, quality, shingle_join, structure, topk, url_rules,
 )
 from varve.llm.common import read, whole_text
 
@@ -90,6 +90,29 @@ def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(rows, F.col("vec_id") % 100 == 0)
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Turns damaged by the digest of their place: dropped (not ``present``), emptied, left open, doubled, given to the user."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        (F.col("kind") != 0).alias("present"), F.explode(times).alias("copy"),
+    )
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and a digest of the repaired turns of every conversation."""
+    turns = _damaged(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = structure.repair(turns, present=F.col("present"))
+    made = structure.digests(found.turns).withColumnsRenamed({"conv_id": "of", "sha256": "repaired_sha256"})
+    return found.reports.join(made, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of").withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    )
+
+
 def _with_planted_runs(key: Column, text: Column) -> Column:
     """In a tenth of the texts, chosen by key, the words from one on repeat with a period; others stay as they are."""
     h = F.crc32(key.cast("string").cast("binary"))
@@ -131,7 +154,7 @@ QUERIES: dict[str, Query] = {
         op1_language_id, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_url_filters,
         op6_chat_formatting, op7_lm_scoring, op8_ngram_jaccard_join,
         op9_decontamination, op10_mixing, op11_exact_topk,
-        op13_periodic_runs,
+        op12_structure_repair, op13_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

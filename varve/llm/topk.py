@@ -144,8 +144,8 @@ class _Postings:
 class _Leaders:
     """The leading rows found so far for each query of a block."""
 
-    def __init__(self, number: int, keys: np.ndarray, rows, terms, weights, k: int):
-        self.number, self.keys, self.k = number, keys, k
+    def __init__(self, first: int, keys: np.ndarray, rows, terms, weights, k: int, chunk: int):
+        self.first, self.keys, self.k, self.chunk = first, keys, k, chunk
         self.rows, self.terms, self.weights = rows, terms, weights
         self.most = int(abs(weights).max()) if len(weights) else 0
         shape = (len(keys), 0)
@@ -153,7 +153,9 @@ class _Leaders:
         self.unknown, self.void = np.empty(shape, bool), np.empty(shape, bool)
 
     def meet(self, block: _Postings) -> None:
-        parts = [self._selected(block, a, min(a + CHUNK, len(self.keys))) for a in range(0, len(self.keys), CHUNK)]
+        parts = [
+            self._selected(block, a, min(a + self.chunk, len(self.keys))) for a in range(0, len(self.keys), self.chunk)
+        ]
         new = [np.concatenate(x) for x in zip(*parts)]
         both = [np.concatenate(x, axis=1) for x in zip((self.scores, self.found, self.unknown, self.void), new)]
         scores, found, unknown, void = both
@@ -199,12 +201,12 @@ class _Leaders:
         keep = ~self.void
         row = np.nonzero(keep)[0]
         return pa.RecordBatch.from_arrays([
-            pa.array(self.number * QUERY_BLOCK + row, pa.int64()), pa.array(self.keys[row], pa.int64()),
+            pa.array(self.first + row, pa.int64()), pa.array(self.keys[row], pa.int64()),
             pa.array(self.found[keep], pa.int64(), mask=self.unknown[keep]), pa.array(self.scores[keep], pa.int64()),
         ], names=["query_row", "query_id", "vec_id", "score"])
 
 
-def _scored(k: int):
+def _scored(k: int, chunk: int, query_block: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = last = None
         for batch in batches:
@@ -214,7 +216,7 @@ def _scored(k: int):
                     if held is not None:
                         yield held.batch()
                     keys, _, *rest = _unpacked(batch, i, "q_")
-                    held, last = _Leaders(turn[1], keys, *rest, k), turn
+                    held, last = _Leaders(turn[1] * query_block, keys, *rest, k, chunk), turn
                 held.meet(_Postings(*_unpacked(batch, i, "c_")))
         if held is not None:
             yield held.batch()
@@ -222,11 +224,15 @@ def _scored(k: int):
     return score
 
 
-def top_inner_products(rows: DataFrame, is_query: Column, key: str = "vec_id", weights: str = "weights", k: int = K) -> DataFrame:
+def top_inner_products(
+    rows: DataFrame, is_query: Column, key: str = "vec_id", weights: str = "weights", k: int = K, block: int = BLOCK,
+    query_block: int = QUERY_BLOCK, bucket: int = BUCKET, chunk: int = CHUNK,
+) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` largest inner products of each query, ties to the smaller key.
 
     ``weights`` is an array of whole numbers, ``key`` a whole number; a row
-    where ``is_query`` is true and the key is known is a query.
+    where ``is_query`` is true and the key is known is a query. Sizes of blocks,
+    buckets and chunks change the work of a task and not the result.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -235,14 +241,14 @@ def top_inner_products(rows: DataFrame, is_query: Column, key: str = "vec_id", w
         named(key).cast("long").alias("id"), named(weights).cast("array<bigint>").alias("weights"),
         is_query.alias("asked"),
     ).where(weighed)
-    postings = materialise(taken.drop("asked").mapInArrow(_packer(BLOCK, True), PACKED))
+    postings = materialise(taken.drop("asked").mapInArrow(_packer(block, True), PACKED))
     asked = taken.where(F.col("asked") & F.col("id").isNotNull()).drop("asked").hint("rebalance")
     queries = materialise(
-        asked.mapInArrow(_packer(QUERY_BLOCK, False), PACKED).withColumn("number", F.monotonically_increasing_id())
+        asked.mapInArrow(_packer(query_block, False), PACKED).withColumn("number", F.monotonically_increasing_id())
     )
     # Enough buckets for all cores, and more where a bucket would hold many blocks; rows of a block are in one.
     blocks = postings.count()
-    buckets = max(1, -(-blocks // BUCKET), min(blocks, 4 * spark.sparkContext.defaultParallelism))
+    buckets = max(1, -(-blocks // bucket), min(blocks, 4 * spark.sparkContext.defaultParallelism))
     dealt = postings.select(
         F.pmod(F.xxhash64("keys", "weights", F.monotonically_increasing_id()), F.lit(buckets)).cast("int").alias("bucket"),
         *[F.col(f.name).alias("c_" + f.name) for f in _PACKED],
@@ -253,7 +259,7 @@ def top_inner_products(rows: DataFrame, is_query: Column, key: str = "vec_id", w
     )
     # Both sides grow with the table, so neither is broadcast; the rows of a query block and a bucket follow each other.
     met = sent.join(dealt.hint("merge"), "bucket")
-    found = materialise(met.mapInArrow(_scored(k), "query_row long, query_id long, vec_id long, score long"))
+    found = materialise(met.mapInArrow(_scored(k, chunk, query_block), "query_row long, query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

@@ -96,3 +96,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     out = {r["a"]: r["b"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = components({x for e in edges for x in e}, edges)
     assert out == {n: r for n, r in want.items() if n != r}
+
+
+def test_rows_grow_with_members_and_not_with_their_square(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK", 32)
+    write, most = shingle_join.materialise, []
+
+    def counted(df):
+        out = write(df)
+        most[-1] = max(most[-1], out.count())
+        return out
+
+    monkeypatch.setattr(shingle_join, "materialise", counted)
+    for n in (200, 800):
+        rng = random.Random(n)
+        most.append(0)
+        docs = documents(spark, list(enumerate(near_copies(rng, [f"b{i}" for i in range(100)], n))))
+        shingle_join.near_copies(docs).write.format("noop").mode("overwrite").save()
+    assert most[1] <= 5 * most[0]

@@ -9,9 +9,11 @@ threshold by formula, so this is an LSH forest reduced to banding. Meetings are
 links are exact; a pair is verified in the first trie in which it meets.
 
 Nodes of a trie that have the same members as one of an earlier trie are left
-out. A node with many members, or with long texts, is split into blocks, and
-each pair of blocks is a task of its own, so a group of near copies that fills
-a third of the table is spread out. Tasks count the links of each member and
+out. A node with many members, or with long texts, is split into blocks. A block
+is packed into one row, and each pair of blocks is a task of its own that gets
+these two rows, so a group of near copies that fills a third of the table is
+spread out, and joins make rows in proportion to members and to pairs of
+blocks, not to members times blocks. Tasks count the links of each member and
 return those counts and a spanning forest, never the pairs.
 
 A text of fewer than ``width`` words is one shingle. Texts without words
@@ -196,6 +198,42 @@ def _needed(trees: int, deepest: int, depth: int, similarity: float) -> Callable
     return needed
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, i, j, tree, block, members) as a row per member."""
+    for batch in batches:
+        for a in range(batch.num_rows):  # a row has as many members as a task should hold of one block
+            members = batch.column("members").slice(a, 1).flatten()
+            shared = {c: pa.repeat(batch.column(c)[a], len(members)) for c in ("node", "i", "j", "tree", "block")}
+            fields = [members.type.field(i).name for i in range(members.type.num_fields)]
+            yield pa.RecordBatch.from_arrays([*shared.values(), *members.flatten()], names=[*shared, *fields])
+
+
+def _bucket_marks(classes: list[bytes]) -> int:
+    """64 marks for a set of classes, by their first byte, as a signed number."""
+    marks = 0
+    for c in classes:
+        marks |= 1 << (c[0] & 63)
+    return marks - (1 << 64) if marks >> 63 else marks
+
+
+def _flagged(trees: int, deepest: int, depth: int, similarity: float) -> Callable:
+    """Which pairs of blocks have candidates, and marks of the members of either that are among these."""
+    schema = _columns("node long, i int, j int, tree int, marks_i long, marks_j long")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (node, i, j), table in _tasks(_unpacked(batches)):
+            members = _Members(table, trees, deepest, depth)
+            left, right = members.candidates(i, j, similarity)
+            if len(left):
+                classes = table.column("class")
+                marks = [_bucket_marks(classes.take(pa.array(np.unique(x))).to_pylist()) for x in (left, right)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], f.type) for v, f in zip((node, i, j, members.tree, *marks), schema)], schema=schema
+                )
+
+    return flag
+
+
 def common_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Numbers of common elements of pairs of sorted sets."""
     out = np.zeros(len(left), dtype=np.int64)
@@ -222,11 +260,11 @@ def common_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def _verified(trees: int, deepest: int, depth: int, similarity: float) -> Callable:
+def _verified(trees: int, deepest: int, depth: int, similarity: float, packed: bool = False) -> Callable:
     schema = _columns("class binary, root binary, links long")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), table in _tasks(batches):
+        for (_, i, j), table in _tasks(_unpacked(batches) if packed else batches):
             left, right = _Members(table, trees, deepest, depth).candidates(i, j, similarity)
             if not len(left):
                 continue
@@ -308,29 +346,56 @@ def _near_copies(
     first = sizes.groupBy("members", "x", "y").agg(F.min(F.struct("tree", "node", "shingles")).alias("f"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("f.shingles") / BLOCK_SHINGLES)).cast("int")
     first = first.select("f.tree", "f.node", blocks.alias("blocks"))
-    placed = nodes.select("class", "node").join(first, "node").withColumn(
+    placed = materialise(nodes.select("class", "node").join(first, "node").withColumn(
         "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    )
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = placed.select("node", "tree", "block", "class", others).select(
-        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tree", "block", "class"
-    )
+    ))
     described = classes.select("class", "n", "signature", "copies")
+    how = (trees, deepest, depth, similarity)
 
     def by_task(df: DataFrame) -> DataFrame:
         return df.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
-    spec = "node long, i int, j int, tree int, block int, class binary"
-    needed = materialise(
-        by_task(tasks.join(described.drop("copies"), "class")).mapInArrow(_needed(trees, deepest, depth, similarity), spec)
+    def by_block(members: DataFrame, *fields: str) -> DataFrame:
+        """One row per block; blocks have members for one task."""
+        return members.groupBy("node", "tree", "blocks", "block").agg(F.collect_list(F.struct(*fields)).alias("members"))
+
+    # Nodes of one block are a task each. Of larger ones, blocks travel as one row.
+    alone = placed.where("blocks = 1").select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), "tree", "block", "class")
+    needed = materialise(by_task(alone.join(described.drop("copies"), "class")).mapInArrow(
+        _needed(*how), "node long, i int, j int, tree int, block int, class binary"
+    ))
+    large = placed.where("blocks > 1")
+    packed = by_block(large.join(described.drop("copies"), "class"), "class", "n", "signature")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = packed.select("node", "tree", "block", "members", others).select(
+        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tree", "block", "members"
     )
-    wanted = needed.select("class").distinct().join(classes.select("class", "key"), "class").select(F.col("key").alias("k"))
-    texts = rows.join(wanted.distinct(), F.col("key").eqNullSafe(F.col("k")), "left_semi")
+    flagged = materialise(by_task(met).mapInArrow(
+        _flagged(*how), "node long, i int, j int, tree int, marks_i long, marks_j long"
+    ))
+    marked = flagged.select("node", F.inline(F.array(
+        F.struct(F.col("i").alias("block"), F.col("marks_i").alias("marks")),
+        F.struct(F.col("j").alias("block"), F.col("marks_j").alias("marks")),
+    ))).groupBy("node", "block").agg(F.bit_or("marks").alias("marks"))
+    mark = F.conv(F.hex(F.substring("class", 1, 1)), 16, 10).cast("int").bitwiseAND(63)
+    wanted_large = materialise(large.join(marked, ["node", "block"]).where(F.getbit("marks", mark) == 1).drop("marks"))
+
+    wanted = needed.select("class").unionByName(wanted_large.select("class")).distinct()
+    wanted = wanted.join(classes.select("class", "key"), "class").select(F.col("key").alias("k")).distinct()
+    texts = rows.join(wanted, F.col("key").eqNullSafe(F.col("k")), "left_semi")
     sets = texts.select("text").mapInArrow(_shingled(width), "class binary, shingles binary").dropDuplicates(["class"])
+    if not wanted_large.isEmpty():
+        sets = materialise(sets)  # read for both kinds of nodes
     full = needed.join(described, "class").join(sets, "class")
-    links = materialise(by_task(full).mapInArrow(
-        _verified(trees, deepest, depth, similarity), "class binary, root binary, links long"
-    ))
+    spec = "class binary, root binary, links long"
+    links = materialise(by_task(full).mapInArrow(_verified(*how), spec))
+    if not wanted_large.isEmpty():
+        blocks_of = by_block(
+            wanted_large.join(described, "class").join(sets, "class"), "class", "n", "signature", "copies", "shingles"
+        ).drop("tree", "blocks")
+        pairs = flagged.select("node", "i", "j", "tree", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        between = by_task(pairs.join(blocks_of.hint("merge"), ["node", "block"]))
+        links = links.unionByName(materialise(between.mapInArrow(_verified(*how, True), spec)))
 
     stars = connected_components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("class").agg(F.sum("links").alias("links"))

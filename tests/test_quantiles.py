@@ -3,7 +3,6 @@ import math
 import numpy as np
 import pytest
 
-from varve.operators import quantiles
 from varve.operators.quantiles import exact_quantiles, quantile_table
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
@@ -63,17 +62,29 @@ def test_a_bracket_whose_ends_hold_nearly_all_rows(spark):
         assert quantile_table(df, ["v"], [p], limit=50)["v"] == pytest.approx([np.quantile(values, p)], rel=1e-12)
 
 
-@pytest.mark.parametrize("accuracy", [10, 40])
-def test_a_sketch_that_misses(spark, monkeypatch, accuracy):
-    # A sketch this coarse errs by more than the first brackets allow for.
-    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
-    rng = np.random.default_rng(2)
-    values = np.concatenate([rng.lognormal(0, 3, 20_000), np.full(10_000, 1.5)])
-    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(7)
-    wanted = [0.01, 0.3, 0.5, 0.7, 0.99]
-    assert quantile_table(df, ["v"], wanted, limit=100)["v"] == pytest.approx(list(np.quantile(values, wanted)), rel=1e-12)
-
-
 def test_groups_with_null_keys_and_without_values(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("b", 5.0)], "g string, v double")
     assert {r["g"]: r["value"] for r in exact_quantiles(df, ["v"], [0.5], ["g"]).collect()} == {None: 1.5, "b": 5.0}
+
+
+def test_signs_zeros_infinities_and_tiny_differences(spark):
+    values = [-math.inf, -1e300, -1.0, np.nextafter(-1.0, 0), -5e-324, -0.0, 0.0, 5e-324, 1.0, np.nextafter(1.0, 2), 1e300, math.inf]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    ranks = [i / (len(values) - 1) for i in range(len(values))]
+    found = quantile_table(df, ["v"], ranks)["v"]
+    assert found == sorted(values) and math.copysign(1, found[5]) == 1.0
+
+
+def test_sets_of_labels_equal_quantiles_of_their_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 5), float(v)) for i, v in enumerate(rng.lognormal(0, 2, 4000))] + [(None, 1e9)]
+    df = spark.createDataFrame(rows, "fold int, v double").repartition(6)
+    sets = {"all": [0, 1, 2, 3, 4, None], **{f"not {k}": [j for j in range(5) if j != k] for k in range(5)}, "no rows": [9]}
+    members = spark.createDataFrame([(j, n) for n, labels in sets.items() for j in labels], "label int, member_of string")
+    found = exact_quantiles(df, ["v"], [0.25, 0.5, 0.75], ["fold"], members=members).collect()
+    have = {(r["member_of"], r["p"]): r["value"] for r in found}
+    assert len(have) == 18
+    for name, labels in sets.items():
+        for p in (0.25, 0.5, 0.75):
+            values = [v for k, v in rows if k in labels]
+            assert not values or have[name, p] == pytest.approx(np.quantile(values, p), rel=1e-12)

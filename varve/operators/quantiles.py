@@ -1,66 +1,85 @@
-"""Exact, linearly interpolated quantiles, by one path for tables of any size.
-
-The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here each wanted quantile has a bracket of two data values
-around it. A sketch of the whole column gives the first brackets, one wide
-aggregation counts what lies below and inside each, and brackets that still
-hold much are narrowed by a sketch of their inside. When few values, or few
-distinct ones, are left inside, these are counted and the wanted ranks picked.
-All passes are aggregations with map-side combine; the last one sorts about
-``limit`` distinct values per quantile, however many rows carry each.
-
-Brackets are a table with a row per group, column and quantile. It is joined
-to the rows on the group; without groups it is read back as literals.
+"""Exact, linearly interpolated quantiles by radix selection.
+
+The bits of a double, read as a whole number, have the order of the values once
+those of negative numbers are flipped. A pass counts values by a prefix of this
+key, 16 bits longer from pass to pass, and follows only the prefixes that hold a
+wanted rank. Four passes reach the whole key; a prefix whose values are all
+equal is settled before, so two passes are usual. All passes are aggregations
+with map-side combine, whose size does not depend on the number of rows behind
+a value, and hardly on the number of probabilities: ranks are looked up in the
+counts. Nothing but the state between passes, a row per group, column and rank,
+leaves them: it is a local table up to ``limit`` rows and a written one beyond.
+
+The rows are read once per pass; where they come from a costly step, such as a
+model, write them before.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from varve.functions.columns import finite_or_null, named
 from varve.session import materialise
 
-# Values, or distinct values, that may be left in a bracket at the end.
+# Rows of the state between passes that the driver may hold.
 LIMIT = 10_000
-# A sketch answers within 1/ACCURACY of its rows. The first brackets reach FIRST to either side
-# of a probability; later ones are cut at the steps of a grid, MARGIN steps away from the ranks.
-ACCURACY = 10_000
-FIRST = 0.002
-GRID, MARGIN = 100, 2
+# Bits that a pass adds to the prefixes.
+DIGIT = 16
+LARGEST = (1 << 63) - 1
+# Ranges of values per column that a pass is told to look into.
+RANGES = 16
+
+
+def _bits(value: Column) -> Column:
+    """The bits of a double as a long, by a Java method; a column of its own."""
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (), limit: int = LIMIT
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (), limit: int = LIMIT,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ``(*by, column, p, value)``; NULL and NaN are ignored.
 
     The result has one row per group, column and probability, but none for a
     group whose column has no value.
+
+    ``members``, a small table ``(label, member_of)``, asks for sets of rows that
+    may overlap, such as all folds but one: ``by`` is then one column of labels,
+    and a group is a set, named in the column ``member_of``. Rows are read once
+    per pass for all sets, as the counts of labels are added up.
     """
     columns, probabilities, by = list(columns), [float(p) for p in probabilities], list(by)
+    if members is not None and len(by) != 1:
+        raise ValueError("sets of labels need one column of labels")
     groups = [f"g{i}" for i in range(len(by))]
+    values = [f"v{c}" for c in range(len(columns))]
     rows = df.select(
         *[named(b).alias(g) for b, g in zip(by, groups)],
-        *[finite_or_null(named(c)).alias(f"v{i}") for i, c in enumerate(columns)],
+        *[finite_or_null(named(c)).alias(v) for c, v in zip(columns, values)],
     )
-    # The passes read a written table of the values alone, so what stands before it (a hash, a model) runs once.
-    rows = materialise(rows)
-    brackets = materialise(_first_brackets(rows, groups, len(columns), probabilities, limit))
-    while not brackets.where("not settled").isEmpty():
-        brackets = materialise(_counted(rows, groups, brackets, len(columns), len(probabilities), limit))
-        if not brackets.where("not settled").isEmpty():
-            brackets = materialise(_narrowed(rows, groups, brackets, len(columns), len(probabilities), limit))
-    found = _picked(rows, groups, brackets, len(columns), len(probabilities))
+    state = _kept(_ranked(_counts(_long(rows, groups, {}), groups, DIGIT, members), groups, probabilities), limit)
+    for bits in range(2 * DIGIT, 65, DIGIT):
+        still = state.where("lo < hi")
+        ranges = _ranges(still, limit)
+        if ranges == {}:
+            break
+        # Which set a row counts for shows only in the counts, so rows of all groups follow an open prefix.
+        open_ = still.select("c", F.col("open").alias("prefix_before")).distinct()
+        near = _long(rows, groups, ranges).withColumn("prefix_before", F.shiftright("key", 64 - bits + DIGIT))
+        counts = _counts(near.join(open_, ["c", "prefix_before"]), groups, bits, members)
+        state = _kept(state.where("not (lo < hi)").unionByName(_followed(still, counts, groups)), limit)
+    value = lambda side: F.max(F.when(F.col("side") == side, F.col("lo")))
+    found = state.groupBy(*groups, "c", "k", "weight").agg(value(0).alias("a"), value(1).alias("b"))
     names, wanted = F.array(*map(F.lit, columns)), F.array(*map(F.lit, probabilities))
     return found.select(
-        *[F.col(g).alias(b) for g, b in zip(groups, by)],
-        F.get(names, F.floor(F.col("k") / len(probabilities)).cast("int")).alias("column"),
-        F.get(wanted, F.col("k") % len(probabilities)).alias("p"), "value",
+        *[F.col(g).alias("member_of" if members is not None else b) for g, b in zip(groups, by)],
+        F.get(names, F.col("c")).alias("column"), F.get(wanted, F.col("k")).alias("p"),
+        F.expr("case when a = b then a else a + (b - a) * weight end").alias("value"),
     )
 
 
@@ -73,144 +92,91 @@ def quantile_table(
     return {c: [by_key.get((c, float(p))) for p in probabilities] for c in columns}
 
 
-def _first_brackets(rows: DataFrame, groups: list[str], columns: int, probabilities: list[float], limit: int) -> DataFrame:
-    """Brackets from a sketch of each column; a column with few distinct values keeps them all inside."""
-    sides = F.lit([min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-FIRST, FIRST)])
-    measures = []
-    for c in range(columns):
-        v = F.col(f"v{c}")
-        measures += [
-            F.count(v).alias(f"n{c}"), F.approx_count_distinct(v).alias(f"d{c}"),
-            F.percentile_approx(v, sides, ACCURACY).alias(f"q{c}"),
-        ]
-    cells = [
-        F.struct(
-            F.lit(c * len(probabilities) + j).alias("k"), F.lit(p).alias("p"), F.col(f"n{c}").alias("n"),
-            (F.col(f"d{c}") <= limit).alias("settled"),
-            (F.lit(-math.inf) if p <= FIRST else F.get(f"q{c}", F.lit(2 * j))).alias("lo"),
-            (F.lit(math.inf) if p >= 1 - FIRST else F.get(f"q{c}", F.lit(2 * j + 1))).alias("hi"),
-        )
-        for c in range(columns) for j, p in enumerate(probabilities)
-    ]
-    long = rows.groupBy(*groups).agg(*measures).select(*groups, F.inline(F.array(*cells))).where("n > 0")
-    least, most = F.lit(-math.inf), F.lit(math.inf)
-    return long.select(
-        *groups, "k", F.floor((F.col("n") - 1) * F.col("p")).alias("first"),
-        F.ceil((F.col("n") - 1) * F.col("p")).alias("last"),
-        ((F.col("n") - 1) * F.col("p") - F.floor((F.col("n") - 1) * F.col("p"))).alias("weight"),
-        F.when(F.col("settled"), least).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("settled"), most).otherwise(F.col("hi")).alias("hi"),
-        # Where a sketch misses, the search goes back to what is known to enclose the ranks, and leaves more room.
-        least.alias("known_lo"), most.alias("known_hi"), F.lit(1).alias("room"),
-        F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "settled",
-    )
-
-
-def _with_brackets(rows: DataFrame, groups: list[str], brackets: DataFrame, quantiles: int):
-    """``rows`` and, per quantile, the Columns (lo, hi, settled) of their group."""
-    if not groups:
-        known = {r["k"]: r for r in brackets.collect()}  # columns times probabilities
-        none = {"lo": math.inf, "hi": -math.inf, "settled": True}
-        pick = lambda k: tuple(F.lit(known.get(k, none)[x]) for x in ("lo", "hi", "settled"))
-        return rows, pick
-    kind = T.MapType(T.IntegerType(), T.StructType([
-        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("settled", T.BooleanType()),
-    ]))
-    wide = brackets.groupBy(*[F.col(g).alias(f"of_{g}") for g in groups]).agg(
-        F.map_from_entries(F.collect_list(F.struct("k", F.struct("lo", "hi", "settled")))).cast(kind).alias("known")
+def _long(rows: DataFrame, groups: list[str], ranges: dict[int, list[tuple[float, float]]] | None) -> DataFrame:
+    """A row (group, c, v, key) per value; where ranges are known, only for values inside those of its column."""
+    names = [n for n in rows.columns if n not in groups]
+    # Adding 0 makes a negative zero a positive one.
+    cells = [F.struct(F.lit(c).alias("c"), (F.col(n) + F.lit(0.0)).alias("v")) for c, n in enumerate(names)]
+    long = rows.select(*groups, F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+    if ranges:
+        inside = lambda spans: functools.reduce(lambda a, b: a | b, (F.col("v").between(*s) for s in spans))
+        long = long.where(functools.reduce(
+            lambda a, b: a | b, ((F.col("c") == c) & inside(spans) for c, spans in sorted(ranges.items()))
+        ))
+    # Flipped, the keys of negative values have their order, too.
+    bits = long.withColumn("bits", _bits(F.col("v")))
+    key = F.when(F.col("bits") < 0, F.col("bits").bitwiseXOR(F.lit(LARGEST))).otherwise(F.col("bits"))
+    return bits.select(*groups, "c", "v", key.alias("key"))
+
+
+def _ranges(still: DataFrame, limit: int) -> dict[int, list[tuple[float, float]]] | None:
+    """Value ranges that enclose the open prefixes of each column, a few per column.
+
+    They only spare the passes most keys; which rows count is decided on the
+    prefix. None if the state is too large to look at here.
+    """
+    rows = still.select("c", "lo", "hi").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    found = {}
+    for c in {r["c"] for r in rows}:
+        spans = sorted((r["lo"], r["hi"]) for r in rows if r["c"] == c)
+        step = -(-len(spans) // RANGES)
+        found[c] = [(spans[i][0], max(hi for _, hi in spans[i:i + step])) for i in range(0, len(spans), step)]
+    return found
+
+
+def _counts(long: DataFrame, groups: list[str], bits: int, members: DataFrame | None) -> DataFrame:
+    """Rows, smallest and largest value per group, column and prefix of so many bits."""
+    counts = long.groupBy(*groups, "c", F.shiftright("key", 64 - bits).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    every = [F.try_element_at("known", F.lit(k)).alias(f"b{k}") for k in range(quantiles)]
-    wide = wide.select(*[f"of_{g}" for g in groups], *every)
-    on = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups]
-    return rows.join(wide, on), lambda k: tuple(F.col(f"b{k}")[x] for x in ("lo", "hi", "settled"))
-
-
-def _counted(rows: DataFrame, groups: list[str], brackets: DataFrame, columns: int, per_column: int, limit: int) -> DataFrame:
-    """Count below and inside each bracket; settle those that hold little."""
-    joined, pick = _with_brackets(rows, groups, brackets, columns * per_column)
-    measures, cells = [], []
-    for k in range(columns * per_column):
-        v, (lo, hi, _) = F.col(f"v{k // per_column}"), pick(k)
-        measures += [F.count_if(v < lo).alias(f"below{k}"), F.count_if(v.between(lo, hi)).alias(f"inside{k}")]
-        cells.append(F.struct(F.lit(k).alias("k2"), F.col(f"below{k}").alias("now_below"), F.col(f"inside{k}").alias("now_inside")))
-    found = joined.groupBy(*groups).agg(*measures)
-    found = found.select(*[F.col(g).alias(f"m_{g}") for g in groups], F.inline(F.array(*cells)))
-    both = brackets.join(found, [F.col("k") == F.col("k2"), *[F.col(g).eqNullSafe(F.col(f"m_{g}")) for g in groups]])
-    hit = (F.col("now_below") <= F.col("first")) & (F.col("last") < F.col("now_below") + F.col("now_inside"))
-    missed = ~hit
-    return both.select(
-        *groups, "k", "first", "last", "weight",
-        F.when(missed, F.col("known_lo")).otherwise(F.col("lo")).alias("lo"),
-        F.when(missed, F.col("known_hi")).otherwise(F.col("hi")).alias("hi"),
-        F.when(missed, F.col("known_lo")).otherwise(F.col("lo")).alias("known_lo"),
-        F.when(missed, F.col("known_hi")).otherwise(F.col("hi")).alias("known_hi"),
-        F.when(missed, F.col("room") * 2).otherwise(F.col("room")).alias("room"),
-        F.when(missed, F.col("below")).otherwise(F.col("now_below")).alias("below"),
-        F.when(missed, F.col("inside")).otherwise(F.col("now_inside")).alias("inside"),
-        (F.col("settled") | (hit & (F.col("now_inside") <= limit))).alias("settled"),
+    if members is None:
+        return counts
+    of = members.select(F.col("label").alias("of_label"), "member_of")
+    return counts.join(F.broadcast(of), F.col("g0").eqNullSafe(F.col("of_label"))).groupBy(  # labels times sets
+        F.col("member_of").alias("g0"), "c", "prefix"
+    ).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _ranked(counts: DataFrame, groups: list[str], probabilities: list[float]) -> DataFrame:
+    """The prefix of each wanted rank: a row per group, column, probability and side."""
+    whole = Window.partitionBy(*groups, "c")
+    # At most 65,536 prefixes per group and column.
+    counts = counts.withColumns({
+        "total": F.sum("n").over(whole), "before": F.sum("n").over(whole.orderBy("prefix")) - F.col("n")
+    })
+    cells = []
+    for k, p in enumerate(probabilities):
+        place = (F.col("total") - 1) * F.lit(p)
+        for side, rank in enumerate((F.floor(place), F.ceil(place))):
+            cells.append(F.struct(
+                F.lit(k).alias("k"), F.lit(side).alias("side"), (place - F.floor(place)).alias("weight"), rank.alias("rank")
+            ))
+    here = counts.select(*groups, "c", "prefix", "before", "n", "lo", "hi", F.inline(F.array(*cells)))
+    return here.where("rank >= before and rank < before + n").select(
+        *groups, "c", "k", "side", "weight", F.col("prefix").alias("open"), F.expr("rank - before").alias("rank"), "lo", "hi"
     )
 
 
-def _narrowed(rows: DataFrame, groups: list[str], brackets: DataFrame, columns: int, per_column: int, limit: int) -> DataFrame:
-    """Cut open brackets at a sketch of their inside; settle those with few distinct values.
-
-    A bracket that the sketch cannot cut has most of its rows at its two ends:
-    then the ranks are at an end, or the ends are left out.
-    """
-    joined, pick = _with_brackets(rows, groups, brackets, columns * per_column)
-    hits = []
-    for k in range(columns * per_column):
-        v, (lo, hi, settled) = F.col(f"v{k // per_column}"), pick(k)
-        hits.append(F.when(~settled & v.between(lo, hi), F.struct(
-            F.lit(k).alias("k2"), v.alias("v"), (v == lo).alias("at_lo"), (v == hi).alias("at_hi")
-        )))
-    inner = joined.select(*[F.col(g).alias(f"m_{g}") for g in groups], F.inline(F.array_compact(F.array(*hits))))
-    found = inner.groupBy(*[f"m_{g}" for g in groups], "k2").agg(
-        F.approx_count_distinct("v").alias("kinds"),
-        F.percentile_approx("v", F.lit([i / GRID for i in range(GRID + 1)]), ACCURACY).alias("grid"),
-        F.count_if("at_lo").alias("n_lo"), F.count_if("at_hi").alias("n_hi"),
-        F.min(F.when(~F.col("at_lo"), F.col("v"))).alias("above_lo"), F.max(F.when(~F.col("at_hi"), F.col("v"))).alias("below_hi"),
-    )
-    on = [F.col("k") == F.col("k2"), *[F.col(g).eqNullSafe(F.col(f"m_{g}")) for g in groups]]
-    both = brackets.join(found, on, "left").withColumns({
-        "left": F.expr(f"floor((first - below) / inside * {GRID}) - {MARGIN} * room"),
-        "right": F.expr(f"ceil((last - below + 1) / inside * {GRID}) + {MARGIN} * room"),
-    }).withColumns({
-        "cut_lo": F.expr("case when left < 0 then lo else get(grid, cast(left as int)) end"),
-        "cut_hi": F.expr(f"case when right > {GRID} then hi else get(grid, cast(right as int)) end"),
-    })
-    uncut = "cut_lo = lo and cut_hi = hi"
-    new_lo = F.expr(f"""case when not ({uncut}) then cut_lo when first < below + n_lo then lo
-        when first >= below + inside - n_hi then hi when last >= below + inside - n_hi then below_hi else above_lo end""")
-    new_hi = F.expr(f"""case when not ({uncut}) then cut_hi when last < below + n_lo then lo
-        when first < below + n_lo then above_lo when last >= below + inside - n_hi then hi else below_hi end""")
-    done = F.col("settled") | (F.col("kinds") <= limit)
-    return both.select(
-        *groups, "k", "first", "last", "weight",
-        F.when(done, F.col("lo")).otherwise(new_lo).alias("lo"), F.when(done, F.col("hi")).otherwise(new_hi).alias("hi"),
-        "known_lo", "known_hi", "room", "below", "inside", done.alias("settled"),
+def _followed(state: DataFrame, counts: DataFrame, groups: list[str]) -> DataFrame:
+    """Ranks inside a prefix, looked up in the counts of its next digit."""
+    inside = Window.partitionBy(*groups, "c", "parent").orderBy("prefix")
+    counts = counts.withColumn("parent", F.shiftright("prefix", DIGIT)).withColumn(
+        "before", F.sum("n").over(inside) - F.col("n")
+    ).select(*[F.col(g).alias(f"of_{g}") for g in groups], F.col("c").alias("of_c"), "prefix", "parent", "before", "n",
+             F.col("lo").alias("least"), F.col("hi").alias("most"))
+    on = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups]
+    on += [F.col("c") == F.col("of_c"), F.col("open") == F.col("parent"), F.expr("rank >= before and rank < before + n")]
+    return state.join(counts, on).select(
+        *groups, "c", "k", "side", "weight", F.col("prefix").alias("open"), F.expr("rank - before").alias("rank"),
+        F.col("least").alias("lo"), F.col("most").alias("hi"),
     )
 
 
-def _picked(rows: DataFrame, groups: list[str], brackets: DataFrame, columns: int, per_column: int) -> DataFrame:
-    """Count the values inside and interpolate between the wanted ranks."""
-    joined, pick = _with_brackets(rows, groups, brackets, columns * per_column)
-    cells = []
-    for c in range(columns):
-        v = F.col(f"v{c}")
-        inside: Column = F.lit(False)
-        for k in range(c * per_column, (c + 1) * per_column):
-            lo, hi, _ = pick(k)
-            inside = inside | v.between(lo, hi)
-        cells.append(F.when(inside, F.struct(F.lit(c).alias("c"), v.alias("v"))))
-    inner = joined.select(*[F.col(g).alias(f"m_{g}") for g in groups], F.inline(F.array_compact(F.array(*cells))))
-    counts = inner.groupBy(*[f"m_{g}" for g in groups], "c", "v").agg(F.count(F.lit(1)).alias("times"))
-    wanted = brackets.withColumn("of", F.floor(F.col("k") / per_column).cast("int"))
-    on = [F.col("c") == F.col("of"), *[F.col(g).eqNullSafe(F.col(f"m_{g}")) for g in groups], F.col("v").between(F.col("lo"), F.col("hi"))]
-    near = counts.join(wanted, on)
-    # About ``limit`` distinct values per window partition.
-    upto = F.col("below") + F.sum("times").over(Window.partitionBy(*groups, "k").orderBy("v"))
-    return near.withColumn("upto", upto).groupBy(*groups, "k", "weight").agg(
-        F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("b"),
-    ).select(*groups, "k", F.expr("a + (b - a) * weight").alias("value"))
+def _kept(state: DataFrame, limit: int) -> DataFrame:
+    """The state as a local table, or a written one if it is large."""
+    rows = state.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return materialise(state)
+    return state.sparkSession.createDataFrame(rows, state.schema)

@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from varve.operators import importance, search
+from varve.operators import importance, permute, search
 from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend, column_stack, out_of_fold
 from varve.operators.extra_trees import ExtraTreesLearner, ExtraTreesModel
 from varve.operators.learners import HuberLearner, add_prediction, base_learners, fit_all, scaled
@@ -197,25 +197,35 @@ def test_column_stack(spark):
     assert sorted(map(tuple, column_stack(long, ["m", "n"]).collect())) == [("a", 1.0, 2.0), ("b", 3.0, None)]
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 1000])
-def test_donors_lend_every_value_once(spark, buckets):
-    df = spark.range(300).select(F.concat(F.lit("r"), "id").alias("key"), F.col("id").cast("double").alias("v"))
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 300, 5000])
+def test_values_are_lent_once_over_the_whole_table(spark, n):
+    df = spark.range(n).select(F.concat(F.lit("r"), "id").alias("key"), F.col("id").cast("double").alias("v"))
     df = df.withColumn("w", F.col("v"))
-    found = importance.with_donors(df.repartition(6), "key", ["v", "w"], repeats=4, buckets=buckets)
-    assert found.columns == ["v", "w", "repeat", "donor_0", "donor_1"]
+    found = permute.with_lent_values(df.repartition(6), "key", ["v", "w"], repeats=4, seed=42)
+    assert found.columns == ["v", "w", "which", "repeat", "lent"]
     rows = found.collect()
     pairings = {}
     for r in rows:
-        for c in (0, 1):
-            pairings.setdefault((r["repeat"], c), []).append((r["v"], r[f"donor_{c}"]))
-    assert len(pairings) == 8
-    assert all(sorted(d for _, d in p) == [float(i) for i in range(300)] for p in pairings.values())
-    if buckets < 10:  # every feature and repeat has a draw of its own
+        pairings.setdefault((r["which"], r["repeat"]), []).append((r["v"], r["lent"]))
+    assert len(pairings) == (8 if n else 0)
+    for p in pairings.values():
+        assert sorted(a for a, _ in p) == sorted(b for _, b in p) == [float(i) for i in range(n)]
+    if n >= 300:  # a draw of its own each, of the whole table: lenders are near and far, and few rows lend to themselves
         assert len({tuple(sorted(p)) for p in pairings.values()}) == 8
-    again = importance.with_donors(df.repartition(1), "key", ["v", "w"], repeats=4, buckets=buckets)
+        for p in pairings.values():
+            far = np.corrcoef(*np.array(p).T)[0, 1]
+            assert abs(far) < 0.25 and sum(a == b for a, b in p) < 12
+    again = permute.with_lent_values(df.repartition(1), "key", ["v", "w"], repeats=4, seed=42)
     assert sorted(rows) == sorted(again.collect())
 
 
+def test_positions_are_dense_where_keys_and_rows_repeat(spark):
+    df = spark.range(900).select(F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string")).alias("key"), (F.col("id") % 7).alias("v"))
+    placed, n = permute.with_positions(df.repartition(5), "key", 42)
+    assert n == 900 and sorted(r["position"] for r in placed.collect()) == list(range(900))
+    assert placed.groupBy("key", "v").count().where("key = 'hot'").count() == 7
+
+
 def test_permutation_importance_ranks_the_used_feature_first(spark, rows):
     found = importance.permutation_importance(
         rows, lambda d: d.withColumn("p", 3 * F.col("C1") + 20), ["p"], FEATURES, "y", "key", repeats=3

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from varve.functions import errors
 from varve.functions.columns import named
-from varve.functions.hashing import hash32
 from varve.operators.evaluation import long_predictions, report
-
-# Groups of rows that exchange values among themselves; a task holds one of them.
-BUCKETS = 8
+from varve.operators.permute import with_lent_values
 
 # Repeats and seed of a permutation, and lengths of the rankings.
 REPEATS, SHUFFLE_SEED = 20, 42
@@ -38,50 +31,6 @@ def impurity_importance(spark: SparkSession, models: dict[str, Model], features:
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def with_donors(
-    df: DataFrame, key: str, columns: Sequence[str], repeats: int = REPEATS, seed: object = SHUFFLE_SEED,
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """Pair each row, per repeat and column, with a row that lends it its value.
-
-    Rows fall into buckets by a digest of the key, which are chosen so that one
-    task can hold a bucket. Inside a bucket the rows stand in the order of
-    their digests; the lenders of a column in a repeat stand in the order of a
-    digest of (seed, column, repeat, key). So each pairing is a shuffle of its
-    own and every value is lent exactly once. The table is shuffled once for
-    all repeats and columns, and what the repeats multiply never is. Rows that
-    share a key fall into one bucket. The key is replaced by ``repeat`` and
-    ``donor_0``, ``donor_1``...
-    """
-    columns = list(columns)
-    given = [c for c in df.columns if c != key]
-
-    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches).combine_chunks()
-        keys = rows["_key"].to_pylist()
-
-        def order(tag: str) -> pa.Array:
-            digests = [hashlib.md5(f"{tag}:{k}".encode()).digest() for k in keys]
-            return pa.array(sorted(range(len(keys)), key=lambda i: digests[i]))
-
-        base = order(str(seed))
-        own = [rows[c].take(base) for c in given]
-        for repeat in range(1, repeats + 1):
-            borrowed = [rows[c].take(order(f"{seed}:{c}:{repeat}")) for c in columns]
-            names = [*given, "repeat", *[f"donor_{i}" for i in range(len(columns))]]
-            yield from pa.table([*own, pa.array(np.full(len(keys), repeat, np.int32)), *borrowed], names=names).to_batches()
-
-    fields = [df.schema[c] for c in given]
-    out = T.StructType([
-        *fields, T.StructField("repeat", T.IntegerType()),
-        *[T.StructField(f"donor_{i}", df.schema[c].dataType) for i, c in enumerate(columns)],
-    ])
-    placed = df.select(
-        *map(named, given), named(key).cast("string").alias("_key"), (hash32(seed, named(key)) % buckets).alias("_bucket")
-    )
-    return placed.groupBy("_bucket").applyInArrow(lend, out)
-
-
 def permutation_importance(
     df: DataFrame,
     predict: Callable[[DataFrame], DataFrame],
@@ -91,27 +40,21 @@ def permutation_importance(
     key: str,
     repeats: int = REPEATS,
     seed: object = SHUFFLE_SEED,
-    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Mean drop of R² when one feature at a time is permuted.
+    """Mean drop of R² when one feature at a time is permuted over the whole table.
 
     ``predict`` adds one column per model and keeps all others. All models,
-    features and repeats run as one job: the rows are shuffled once for the
-    pairing, the choice of the permuted feature is a projection after it, and
-    the errors combine on the map side.
+    features and repeats run as one job: one join brings the lent values to
+    their rows, and the errors combine on the map side.
     """
     features, models = list(features), list(models)
     rows = df.select(named(key), named(label), *map(named, features))
     long = lambda d, keep: long_predictions(predict(d), {m: named(m) for m in models}, keep, label)
     baseline = report(long(rows, []), by=["model"], metrics=["r2"]).select(F.col("model").alias("of"), F.col("r2").alias("baseline"))
 
-    which = F.explode(F.array(*[F.lit(i) for i in range(len(features))])).alias("which")
-    swapped = with_donors(rows, key, features, repeats, seed, buckets).select("*", which).select(
+    swapped = with_lent_values(rows, key, features, repeats, seed).select(
         "which", "repeat", named(label),
-        *[
-            F.when(F.col("which") == i, F.col(f"donor_{i}")).otherwise(named(f)).alias(f)
-            for i, f in enumerate(features)
-        ],
+        *[F.when(F.col("which") == i, F.col("lent")).otherwise(named(f)).alias(f) for i, f in enumerate(features)],
     )
     names = F.array(*[F.lit(f) for f in features])
     scores = (

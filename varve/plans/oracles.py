@@ -174,19 +174,36 @@ def drawn(cells: list[str]) -> str:
 
 # Rows of the test split in digest order inside their bucket, and the value that each borrows per
 # repeat and feature.
+# The permutation of all test rows per feature and repeat: positions by digest, and Feistel rounds on two digits of a
+# position, repeated while they lead out of the table.
+_ROUND = "(({o} + k[{i}]) % 2147483647) * (({o} + k[{j}]) % 2147483647) % 2147483647"
+_DIGITS = ", ".join([
+    "x // b AS u0, x % b AS v0",
+    *(f"({d}{n} + {_ROUND.format(o=o, i=i, j=i + 1)}) % {size} AS {d}{n + 1}" for d, n, o, i, size in (
+        ("u", 0, "v0", 1, "a"), ("v", 0, "u1", 3, "b"), ("u", 1, "v1", 5, "a"), ("v", 1, "u2", 7, "b"))),
+])
 DONORS = NET + f""",
-test AS (SELECT *, {hash32('42', 'row_key')} % 8 AS bucket FROM net WHERE split = 'test'),
-placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || row_key)) AS pos FROM test),
-cells AS (
-  SELECT bucket, row_key, 'l_quantity' AS feature, l_quantity::DOUBLE AS v FROM test
-  UNION ALL SELECT bucket, row_key, 'l_extendedprice', l_extendedprice FROM test
-  UNION ALL SELECT bucket, row_key, 'l_discount', l_discount FROM test
-  UNION ALL SELECT bucket, row_key, 'l_tax', l_tax FROM test),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || row_key)) - 1 AS pos FROM net WHERE split = 'test'),
+size AS (
+  SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b
+  FROM (SELECT count(*) AS n, least(CAST(ceil(sqrt(count(*))) AS BIGINT), 4096) AS a FROM placed)),
+draws AS (
+  SELECT feature, CAST(r AS INTEGER) AS repeat, list_transform(range(8), lambda i: ('0x' || substr(
+           md5('42:' || feature || ':' || CAST(r AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % 2147483647) AS k
+  FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) AS f(feature), range(1, 21) AS repeats(r)),
+walk AS (
+  WITH RECURSIVE steps AS (
+    SELECT feature, repeat, k, pos AS lender, pos AS x, TRUE AS leads_out FROM placed, draws
+    UNION ALL
+    SELECT feature, repeat, k, lender, x, x >= n
+    FROM (SELECT feature, repeat, k, lender, n, u2 * b + v2 AS x
+          FROM (SELECT *, {_DIGITS} FROM steps, size WHERE leads_out)))
+  SELECT feature, repeat, lender, x AS pos FROM steps WHERE NOT leads_out),
 lent AS (
-  SELECT bucket, feature, CAST(r AS INTEGER) AS repeat, v,
-         row_number() OVER (PARTITION BY bucket, feature, r
-                            ORDER BY md5('42:' || feature || ':' || CAST(r AS VARCHAR) || ':' || row_key)) AS pos
-  FROM cells, range(1, 21) AS repeats(r))"""
+  SELECT feature, repeat, walk.pos, CASE feature WHEN 'l_quantity' THEN l_quantity::DOUBLE WHEN 'l_discount' THEN l_discount
+         WHEN 'l_tax' THEN l_tax ELSE l_extendedprice END AS v
+  FROM walk JOIN placed ON placed.pos = walk.lender)"""
 
 SWAPPED = DONORS + """,
 swapped AS (
@@ -194,7 +211,7 @@ swapped AS (
          CASE WHEN feature = 'l_extendedprice' THEN v ELSE l_extendedprice END AS e,
          CASE WHEN feature = 'l_discount' THEN v ELSE l_discount END AS d,
          CASE WHEN feature = 'l_tax' THEN v ELSE l_tax END AS t
-  FROM placed JOIN lent USING (bucket, pos)
+  FROM placed JOIN lent USING (pos)
   UNION ALL SELECT '', 0, target, l_extendedprice, l_discount, l_tax FROM placed),
 predicted AS (
   SELECT 'list' AS model, feature, repeat, y, e AS p FROM swapped
@@ -326,10 +343,10 @@ SELECT model, feature, importance, rank FROM ranked WHERE rank <= 15""",
     "topk_global": leading_features(12),
     "topk_global_permutation": leading_features(10),
     "topk_global_normalised": leading_features(12, "importance / total"),
-    "permutation_shuffle": f"""WITH {DONORS}
-SELECT row_key, p.repeat, p.v AS lent_price, q.v AS lent_quantity FROM placed
-JOIN lent p ON p.bucket = placed.bucket AND p.pos = placed.pos AND p.feature = 'l_extendedprice'
-JOIN lent q ON q.bucket = placed.bucket AND q.pos = placed.pos AND q.feature = 'l_quantity' AND q.repeat = p.repeat""",
+    "permutation_shuffle": f"""WITH {DONORS.replace("('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')", "('l_quantity'), ('l_extendedprice')")}
+SELECT row_key, repeat, max(v) FILTER (feature = 'l_extendedprice') AS lent_price,
+       max(v) FILTER (feature = 'l_quantity') AS lent_quantity
+FROM placed JOIN lent USING (pos) GROUP BY row_key, repeat""",
     "permutation_importance": f"""WITH {SWAPPED}
 SELECT s.model, s.feature, round(any_value(b.r2) - avg(s.r2), 6) + 0.0::DOUBLE AS importance
 FROM scores s JOIN scores b ON b.model = s.model AND b.feature = '' WHERE s.feature <> '' GROUP BY s.model, s.feature""",

@@ -9,7 +9,7 @@ from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.operators import cleaning, diagnostics, evaluation, importance, search, splitting
+from varve.operators import cleaning, diagnostics, evaluation, importance, permute, search, splitting
 from varve.operators.ensemble import FoldStack, HoldoutBlend, column_stack, out_of_fold
 from varve.operators.learners import HuberLearner, add_predictions, base_learners, fit_all, scaled
 from varve.operators.quantiles import exact_quantiles
@@ -289,13 +289,12 @@ def topk_global_normalised(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def permutation_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    """Which values two features borrow: their pairings differ."""
+    """Which values two features borrow, each by a permutation of all test rows of its own."""
     test = fixtures.labelled_net_price(spark, sf).where("split = 'test'")
     test = test.select(KEY, F.col(KEY).alias("row"), "l_extendedprice", "l_quantity")
-    found = importance.with_donors(test, KEY, ["l_extendedprice", "l_quantity"])
-    return found.select(
-        F.col("row").alias(KEY), "repeat", F.col("donor_0").alias("lent_price"), F.col("donor_1").alias("lent_quantity")
-    )
+    found = permute.with_lent_values(test, KEY, ["l_extendedprice", "l_quantity"], importance.REPEATS, importance.SHUFFLE_SEED)
+    lent = lambda i: F.max(F.when(F.col("which") == i, F.col("lent")))
+    return found.groupBy(F.col("row").alias(KEY), "repeat").agg(lent(0).alias("lent_price"), lent(1).alias("lent_quantity"))
 
 
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:

@@ -101,7 +101,7 @@ def predictions_of(models: dict[str, Model], rows: DataFrame, target: str, key:
 
 def diagnose(
     models: dict[str, Model], test: DataFrame, features: Sequence[str], target: str, key: str = KEY,
-    repeats: int = importance.REPEATS, long: DataFrame | None = None, buckets: int = importance.BUCKETS,
+    repeats: int = importance.REPEATS, long: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All result tables on the test rows, the same for new and loaded models.
 
@@ -114,7 +114,6 @@ def diagnose(
     calibrated = materialise(diagnostics.calibration(long))  # bins times models
     drops = materialise(importance.permutation_importance(
         test, lambda d: score(models, d), list(models), features, target, key, repeats=repeats,
-        buckets=buckets,
     ))
     return {
         "parity": diagnostics.parity_table(long),
@@ -158,7 +157,7 @@ def run_study(
     df: DataFrame, target: str, reference: str | None = None, params: dict[str, dict] | None = None,
     trials: dict[str, int] | None = None, passthrough: bool = True, fence_on_train: bool = False, exact: bool = False,
     repeats: int = importance.REPEATS, out: str | None = None, parallelism: int = PARALLEL_FITS, key: str | None = None,
-    buckets: int = importance.BUCKETS, mode: str = "errorifexists",
+    mode: str = "errorifexists",
 ) -> Study:
     """Fit the four base learners and both ensembles, and report on them.
 
@@ -192,7 +191,7 @@ def run_study(
         **{f"trials_{n}": t for n, t in trial_tables.items()},
         **diagnose(
             models, rows.where("split = 'test'"), features, target, repeats=repeats,
-            long=everything.where("split = 'test'"), buckets=buckets,
+            long=everything.where("split = 'test'"),
         ),
     }
     if out:
@@ -204,7 +203,6 @@ def run_study(
 def rescore(
     spark: SparkSession, folder: str, df: DataFrame, target: str, reference: str | None = None,
     repeats: int = importance.REPEATS, fence_on_train: bool = False, exact: bool = False, key: str | None = None,
-    buckets: int = importance.BUCKETS,
 ) -> Study:
     """Load stored models and repeat the report and diagnostics on the test rows."""
     models = load_models(spark, folder)
@@ -214,7 +212,7 @@ def rescore(
     long = materialise(predictions_of(models, test, target))
     tables = {
         "report": report(long),
-        **diagnose(models, test, features, target, repeats=repeats, long=long, buckets=buckets),
+        **diagnose(models, test, features, target, repeats=repeats, long=long),
     }
     return Study(models, rows, features, tables)
 

@@ -7,8 +7,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from varve.operators import importance, permute, search
-from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend, column_stack, out_of_fold
+from varve.operators import importance, permute, scaling, search, splitting
+from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend, column_stack, out_of_fold, study_scalers
 from varve.operators.extra_trees import ExtraTreesLearner, ExtraTreesModel
 from varve.operators.learners import HuberLearner, add_prediction, base_learners, fit_all, scaled
 from varve.operators.scaling import ExactRobustScaler
@@ -303,3 +303,25 @@ def test_scaler_sees_only_the_rows_of_its_fit(spark, rows):
     model = scaled(LinearRegression(labelCol="y", predictionCol="p"), FEATURES).fit(rows.where("fold <> 0"))
     seen = rows.where("fold <> 0").selectExpr("median(C1) as m").first()["m"]
     assert model.stages[0].getOrDefault("centres")[0] == pytest.approx(seen)
+
+
+def test_scalers_of_a_study_come_from_the_same_passes(spark, rows, monkeypatch):
+    bases = base_learners(FEATURES, "y", {n: {"n_estimators": 1, "max_depth": 1, "num_leaves": 2} for n in ("xgb", "rf", "lgb", "et")})
+    alone = {k: bases["xgb"].getStages()[0].fit(rows.where(F.col("fold") != k)) for k in range(5)}
+    kept = rows.where(~splitting.is_holdout(F.col("key")))
+    alone |= {"seen": bases["xgb"].getStages()[0].fit(kept), "all": bases["xgb"].getStages()[0].fit(rows)}
+    calls, quantiles = [], scaling.exact_quantiles
+    monkeypatch.setattr(scaling, "exact_quantiles", lambda *a, **k: calls.append(1) or quantiles(*a, **k))
+    monkeypatch.setattr(scaling, "quantile_table", lambda *a: pytest.fail("a scaler was fitted on its own"))
+    scalers = study_scalers(bases, rows, "key")
+    fitted = fit_all({n: (e, rows) for n, e in bases.items()}, scalers=scalers, sets={id(rows): "all"})
+    _, folds = out_of_fold(bases, rows, scalers=scalers)
+    HoldoutBlend(bases, "key", "y", fitted=fitted, scalers=scalers).fit(rows)
+    assert len(calls) == 1
+    uid = bases["xgb"].getStages()[0].uid
+    params = lambda m: (m.getOrDefault(m.centres), m.getOrDefault(m.scales), m.getInputCols(), m.getOutputCols())
+    for name, model in alone.items():
+        assert params(scalers[uid, f"without {name}" if isinstance(name, int) else name]) == params(model)
+    assert params(folds["rf", 3].stages[0]) == params(alone[3]) and params(fitted["et"].stages[0]) == params(alone["all"])
+    out_of_fold(bases, rows)
+    assert len(calls) == 2

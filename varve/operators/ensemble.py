@@ -15,24 +15,54 @@ from pyspark.sql import functions as F
 
 from varve.functions.columns import named
 from varve.operators.evaluation import report
-from varve.operators.learners import PARALLEL_FITS, HuberLearner, add_predictions, fit_all
+from varve.operators.learners import PARALLEL_FITS, HuberLearner, add_predictions, fit_all, scalers_of_sets
 from varve.operators.splitting import FOLDS, HOLDOUT_FRACTION, HOLDOUT_SEED, is_holdout
 
 META = "_meta_features"
 
 
+ALL, SEEN = "all", "seen"
+Scalers = dict[tuple[str, str], Model]
+
+
+def study_scalers(
+    bases: dict[str, Estimator], rows: DataFrame, key: str, fold: str = "fold", folds: int = FOLDS,
+    fraction: float = HOLDOUT_FRACTION, seed: object = HOLDOUT_SEED,
+) -> Scalers:
+    """The scalers of every fit of a study, from the same passes over its training rows.
+
+    Sets are all rows, those outside each fold, and those outside the hold-out.
+    """
+    label = F.concat(F.col(fold).cast("string"), F.when(is_holdout(named(key), fraction, seed), "h").otherwise("s"))
+    labels = [f"{k}{part}" for k in range(folds) for part in "hs"]
+    sets = {ALL: labels, SEEN: [x for x in labels if x[-1] == "s"]}
+    sets |= {_without(k): [x for x in labels if x[:-1] != str(k)] for k in range(folds)}
+    return scalers_of_sets(bases, rows, label, sets)
+
+
+def _without(k: int) -> str:
+    return f"without {k}"
+
+
 def out_of_fold(
-    bases: dict[str, Estimator], rows: DataFrame, fold: str = "fold", folds: int = FOLDS, parallelism: int = PARALLEL_FITS
+    bases: dict[str, Estimator], rows: DataFrame, fold: str = "fold", folds: int = FOLDS, parallelism: int = PARALLEL_FITS,
+    scalers: Scalers | None = None,
 ) -> tuple[DataFrame, dict[tuple[str, int], Model]]:
     """Predict each row by models that never saw its fold.
 
     Returns the rows with one column per base learner, and the fitted models.
     A fold is scored by all base learners in one pass, so the columns come
-    side by side without a join; each row is scored once per learner.
+    side by side without a join; each row is scored once per learner. The
+    scalers of all folds come from the same passes over the rows.
     """
     others = [rows.where(F.col(fold) != k) for k in range(folds)]
     jobs = {(name, k): (est, others[k]) for k in range(folds) for name, est in bases.items()}
-    fitted = fit_all(jobs, parallelism)
+    if scalers is None:
+        labels = [*map(str, range(folds)), "other"]
+        sets = {_without(k): [x for x in labels if x != str(k)] for k in range(folds)}
+        label = F.when(F.col(fold).isin(*range(folds)), F.col(fold).cast("string")).when(F.col(fold).isNotNull(), "other")
+        scalers = scalers_of_sets(bases, rows, label, sets)
+    fitted = fit_all(jobs, parallelism, scalers, {id(others[k]): _without(k) for k in range(folds)})
     parts = [
         add_predictions({name: fitted[(name, k)] for name in bases}, rows.where(F.col(fold) == k))
         for k in range(folds)
@@ -61,7 +91,8 @@ class _Ensemble(Estimator, HasPredictionCol, MLReadable, MLWritable):
     """Base learners and a meta-learner, which are estimators themselves, and params for the rest.
 
     ``copy`` (and so a param grid) reaches the parts, too, and all is saved and
-    loaded. ``fitted`` are base models that exist already; they are not saved.
+    loaded. ``fitted`` are base models that exist already, ``scalers`` the fitted
+    scalers of their sets of rows (``study_scalers``); neither is saved.
     """
 
     labelName = Param(Params._dummy(), "labelName", "observed column", TypeConverters.toString)
@@ -69,9 +100,9 @@ class _Ensemble(Estimator, HasPredictionCol, MLReadable, MLWritable):
     ownBases = Param(Params._dummy(), "ownBases", "whether base learners are stored with it", TypeConverters.toBoolean)
     parallelism = Param(Params._dummy(), "parallelism", "fits at a time", TypeConverters.toInt)
 
-    def __init__(self, bases, label, prediction, meta, fitted, parallelism):
+    def __init__(self, bases, label, prediction, meta, fitted, parallelism, scalers):
         super().__init__()
-        self.bases, self.meta, self.fitted = dict(bases or {}), meta or HuberLearner(), fitted
+        self.bases, self.meta, self.fitted, self.scalers = dict(bases or {}), meta or HuberLearner(), fitted, scalers
         self._set(
             labelName=label, predictionCol=prediction, parallelism=parallelism, baseNames=list(self.bases), ownBases=True
         )
@@ -111,17 +142,21 @@ class FoldStack(_Ensemble):
     def __init__(
         self, bases: dict[str, Estimator] | None = None, features: Sequence[str] = (), label: str = "label",
         prediction: str = "stack", fold: str = "fold", folds: int = FOLDS, passthrough: bool = True,
-        meta: HuberLearner | None = None, fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS,
+        meta: HuberLearner | None = None, fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS, scalers: Scalers | None = None,
     ):
-        super().__init__(bases, label, prediction, meta, fitted, parallelism)
+        super().__init__(bases, label, prediction, meta, fitted, parallelism, scalers)
         self._set(featureNames=list(features), foldCol=fold, folds=folds, passthrough=passthrough)
 
     def _fit(self, dataset: DataFrame) -> "EnsembleModel":
         at_a_time = self.getOrDefault("parallelism")
-        rows, _ = out_of_fold(self.bases, dataset, self.getOrDefault("foldCol"), self.getOrDefault("folds"), at_a_time)
+        rows, _ = out_of_fold(
+            self.bases, dataset, self.getOrDefault("foldCol"), self.getOrDefault("folds"), at_a_time, self.scalers
+        )
         inputs = [*self.bases, *(self.getOrDefault("featureNames") if self.getOrDefault("passthrough") else [])]
         meta = fit_meta(rows, inputs, self.getOrDefault("labelName"), self.meta, self.getPredictionCol())
-        final = self.fitted or fit_all({n: (e, dataset) for n, e in self.bases.items()}, at_a_time)
+        final = self.fitted or fit_all(
+            {n: (e, dataset) for n, e in self.bases.items()}, at_a_time, self.scalers, {id(dataset): ALL}
+        )
         return self._model(final, meta, inputs)
 
 
@@ -139,9 +174,9 @@ class HoldoutBlend(_Ensemble):
     def __init__(
         self, bases: dict[str, Estimator] | None = None, key: str = "key", label: str = "label", prediction: str = "blend",
         fraction: float = HOLDOUT_FRACTION, seed: object = HOLDOUT_SEED, meta: HuberLearner | None = None,
-        fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS,
+        fitted: dict[str, Model] | None = None, parallelism: int = PARALLEL_FITS, scalers: Scalers | None = None,
     ):
-        super().__init__(bases, label, prediction, meta, fitted, parallelism)
+        super().__init__(bases, label, prediction, meta, fitted, parallelism, scalers)
         self._set(keyName=key, fraction=fraction, holdoutSeed=str(seed))
 
     def _fit(self, dataset: DataFrame) -> "EnsembleModel":
@@ -150,7 +185,9 @@ class HoldoutBlend(_Ensemble):
         seen = dataset.where(~held_out)
         partial = {("part", n): (e, seen) for n, e in self.bases.items()}
         whole = {} if self.fitted else {("all", n): (e, dataset) for n, e in self.bases.items()}
-        fits = fit_all({**partial, **whole}, self.getOrDefault("parallelism"))
+        label = F.when(held_out, "h").otherwise("s")
+        scalers = self.scalers or scalers_of_sets(self.bases, dataset, label, {SEEN: ["s"], **({ALL: ["h", "s"]} if whole else {})})
+        fits = fit_all({**partial, **whole}, self.getOrDefault("parallelism"), scalers, {id(seen): SEEN, id(dataset): ALL})
         rows = add_predictions({n: fits[("part", n)] for n in self.bases}, dataset.where(held_out))
         meta = fit_meta(rows, list(self.bases), self.getOrDefault("labelName"), self.meta, self.getPredictionCol())
         final = self.fitted or {n: fits[("all", n)] for n in self.bases}

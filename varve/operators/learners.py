@@ -19,7 +19,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from varve.functions.columns import named
 from varve.operators.extra_trees import ExtraTreesLearner
@@ -150,12 +150,27 @@ def add_predictions(models: dict[str, Model], df: DataFrame) -> DataFrame:
     return df
 
 
-def fit_all(jobs: dict, parallelism: int = PARALLEL_FITS) -> dict:
+def scalers_of_sets(
+    bases: dict[str, Estimator], rows: DataFrame, label: Column, sets: dict[str, Sequence[str]]
+) -> dict[tuple[str, str], Model]:
+    """The scalers of the pipelines, fitted on each set of labels in the same passes: by (uid of the scaler, set)."""
+    stages = [p.getStages()[0] for p in bases.values() if isinstance(p, Pipeline) and p.getStages()]
+    distinct = {s.uid: s for s in stages if isinstance(s, ExactRobustScaler)}
+    return {(uid, name): m for uid, s in distinct.items() for name, m in s.fit_sets(rows, label, sets).items()}
+
+
+def fit_all(
+    jobs: dict, parallelism: int = PARALLEL_FITS, scalers: dict[tuple[str, str], Model] | None = None,
+    sets: dict[int, str] | None = None,
+) -> dict:
     """Fit independent (pipeline, rows) pairs, several Spark jobs at a time.
 
     Pipelines that share their first stages share the fit of these on the same
-    rows; the fitted models are complete pipelines all the same.
+    rows; the fitted models are complete pipelines all the same. ``scalers`` are
+    fitted already, by (uid, name of a set of rows); ``sets`` names the sets by
+    the ``id`` of their rows.
     """
+    scalers, sets = scalers or {}, sets or {}
 
     def shared(key) -> tuple:
         pipeline, rows = jobs[key]
@@ -163,7 +178,8 @@ def fit_all(jobs: dict, parallelism: int = PARALLEL_FITS) -> dict:
 
     def fit_first(key) -> PipelineModel:
         pipeline, rows = jobs[key]
-        return Pipeline(stages=pipeline.getStages()[:-1]).fit(rows)
+        stages = [scalers.get((s.uid, sets.get(id(rows))), s) for s in pipeline.getStages()[:-1]]
+        return Pipeline(stages=stages).fit(rows)
 
     first = {shared(key): key for key in jobs}
     prepared = dict(zip(first, in_parallel(fit_first, list(first.values()), parallelism)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varve.functions.columns import named
 from varve.operators import cleaning, diagnostics, importance, search
-from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend
+from varve.operators.ensemble import ALL, EnsembleModel, FoldStack, HoldoutBlend, study_scalers
 from varve.operators.evaluation import long_predictions, report
 from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, add_prediction, base_learners, fit_all
 from varve.operators.splitting import exact_folds, exact_split, fold_index, split_label
@@ -177,13 +177,14 @@ def run_study(
         best, trial_tables = tune(train, features, target, trials, tuple(trials), parallelism)
         params |= best
     bases = base_learners(features, target, params)
-    fitted = fit_all({n: (e, train) for n, e in bases.items()}, parallelism)
+    scalers = study_scalers(bases, train, KEY)
+    fitted = fit_all({n: (e, train) for n, e in bases.items()}, parallelism, scalers, {id(train): ALL})
     models = {
         **fitted,
         "stack": FoldStack(
-            bases, features, target, passthrough=passthrough, fitted=fitted, parallelism=parallelism
+            bases, features, target, passthrough=passthrough, fitted=fitted, parallelism=parallelism, scalers=scalers
         ).fit(train),
-        "blend": HoldoutBlend(bases, KEY, target, fitted=fitted, parallelism=parallelism).fit(train),
+        "blend": HoldoutBlend(bases, KEY, target, fitted=fitted, parallelism=parallelism, scalers=scalers).fit(train),
     }
     everything = materialise(predictions_of(models, rows, target))
     tables = {

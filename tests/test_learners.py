@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from varve.operators import importance, permute, scaling, search, splitting
+from varve.operators import extra_trees, importance, permute, scaling, search, splitting
 from varve.operators.ensemble import EnsembleModel, FoldStack, HoldoutBlend, column_stack, out_of_fold, study_scalers
 from varve.operators.extra_trees import ExtraTreesLearner, ExtraTreesModel
 from varve.operators.learners import HuberLearner, add_prediction, base_learners, fit_all, scaled
@@ -325,3 +325,34 @@ def test_scalers_of_a_study_come_from_the_same_passes(spark, rows, monkeypatch):
     assert params(folds["rf", 3].stages[0]) == params(alone[3]) and params(fitted["et"].stages[0]) == params(alone["all"])
     out_of_fold(bases, rows)
     assert len(calls) == 2
+
+
+def test_settings_and_folds_grow_in_the_same_scans(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, fold = rng.integers(0, 6, 900).astype(float), rng.integers(0, 3, 900)
+    y = x * x + rng.normal(size=900)
+    df = spark.createDataFrame([([float(a)], float(b), int(f)) for a, b, f in zip(x, y, fold)], "x array<double>, y double, fold int")
+
+    def expected(deep):
+        maes = []
+        for k in range(3):
+            out, mine = fold != k, fold == k
+            guess = [y[out & (x == v)].mean() if deep else y[out].mean() for v in x[mine]]
+            maes.append(np.abs(y[mine] - guess).mean())
+        return -np.mean(maes)
+
+    scans, best = [], extra_trees._best_splits
+    monkeypatch.setattr(extra_trees, "_best_splits", lambda *a: scans.append(1) or best(*a))
+    settings = [{"n_estimators": 1 + i % 3, "max_depth": 12 * (i % 2), "min_samples_leaf": 1 + i % 2} for i in range(12)]
+    few = extra_trees.cross_validated_forests(df.repartition(4), settings[:2], 5)
+    before = len(scans)
+    scores = extra_trees.cross_validated_forests(df.repartition(4), settings, 5)
+    assert len(scans) - before <= before + 3  # levels of the deepest tree, whatever the number of settings
+    assert few == pytest.approx([expected(False), expected(True)], rel=1e-9)
+    assert scores == pytest.approx([expected(i % 2) for i in range(12)], rel=1e-9)
+    portions = extra_trees.cross_validated_forests(df.repartition(2), settings, 5, most_nodes=50)
+    assert portions == pytest.approx(scores, rel=1e-9)
+    assert extra_trees.cross_validated_forests(df, [], 5) == []
+    assert np.isnan(extra_trees.cross_validated_forests(df.limit(0), settings[:1], 5)).all()
+    with pytest.raises(ValueError):
+        extra_trees.cross_validated_forests(df.where("fold = 0"), settings[:1], 5)

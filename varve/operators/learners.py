@@ -90,7 +90,8 @@ def randomised_trees(label: str, prediction: str, params: dict | None = None) ->
     p = {"n_estimators": EXTRA_TREES, "max_depth": EXTRA_DEPTH, **(params or {})}
     return ExtraTreesLearner(
         featuresCol="features", labelCol=label, predictionCol=prediction,
-        numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"]), seed=MODEL_SEED,
+        numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
+        minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=MODEL_SEED,
     )
 
 

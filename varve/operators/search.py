@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from varve.functions.columns import finite_or_null, named
 from varve.functions.hashing import uniform
 from varve.operators.evaluation import ErrorEvaluator
-from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, UNUSED, in_parallel, preparation
+from varve.operators.extra_trees import cross_validated_forests
+from varve.operators.learners import (
+    BASE_LEARNERS, EXTRA_DEPTH, EXTRA_TREES, MODEL_SEED, PARALLEL_FITS, UNUSED, in_parallel, preparation,
+)
 from varve.operators.splitting import FOLDS
 from varve.session import materialise
 
@@ -87,6 +90,8 @@ SPACES = {
         "n_estimators": Whole(200, 800, 100),
     },
 }
+# A space for the randomised trees, which the search grows together.
+TREE_SPACE = {"n_estimators": Whole(2, 20), "max_depth": Whole(0, 15), "min_samples_leaf": Whole(1, 5)}
 # Trials of each study.
 TRIALS = {"xgb": 100, "rf": 100, "lgb": 50}
 SEARCH_SEED = 42
@@ -152,7 +157,16 @@ def search(
     picked = sorted(drawn.collect(), key=lambda r: r["trial"])
     settings = [{n: r[n] for n in space} for r in picked]
     make = lambda p: BASE_LEARNERS[learner](label, learner, read_params(p))
-    scores = cross_validate(make, settings, rows, label, learner, fold, folds, parallelism, preparation(features))
+    if learner == "et":
+        # Scaling moves thresholds along with the values, so these trees need none, and all settings share their scans.
+        x = F.array(*[named(c).cast("double") for c in features])
+        scores = cross_validated_forests(
+            rows.select(x.alias("x"), named(label).alias("y"), named(fold).alias("fold")),
+            [{"max_depth": EXTRA_DEPTH, "n_estimators": EXTRA_TREES, "min_samples_leaf": 1} | read_params(p) for p in settings],
+            folds, MODEL_SEED,
+        )
+    else:
+        scores = cross_validate(make, settings, rows, label, learner, fold, folds, parallelism, preparation(features))
     unused = [n for n in UNUSED.get(learner, ()) if n in space]
     table = [(r["trial"], {n: str(r[n]) for n in space}, s, unused) for r, s in zip(picked, scores)]
     return spark.createDataFrame(table, "trial long, params map<string,string>, score double, unused array<string>")

@@ -395,6 +395,16 @@ means AS (SELECT f.fold, avg(target) AS mean FROM (SELECT DISTINCT fold FROM tra
 maes AS (SELECT fold, avg(abs(target - mean)) AS mae FROM train JOIN means USING (fold) GROUP BY fold)
 SELECT trial, round(-avg(mae), 4) AS score, '0' AS max_depth, 'reg_lambda,reg_alpha' AS unused
 FROM maes, range(3) AS t(trial) GROUP BY trial""",
+    "cv_search_trees": f"""WITH {NET}, train AS (SELECT * FROM net WHERE split = 'train'),
+drawn AS (SELECT t AS trial, CAST(floor({hash32('42:max_depth', 'CAST(t AS VARCHAR)')} / 4294967296.0::DOUBLE * 2) AS INTEGER) * 15 AS depth
+          FROM range(20) AS r(t)),
+folds AS (SELECT DISTINCT fold FROM train),
+flat AS (SELECT f.fold, avg(target) AS mean FROM folds f JOIN train t ON t.fold <> f.fold GROUP BY f.fold),
+deep AS (SELECT f.fold, l_tax, avg(target) AS mean FROM folds f JOIN train t ON t.fold <> f.fold GROUP BY f.fold, l_tax),
+maes AS (SELECT 0 AS depth, fold, avg(abs(target - mean)) AS mae FROM train JOIN flat USING (fold) GROUP BY fold
+         UNION ALL SELECT 15, fold, avg(abs(target - mean)) FROM train JOIN deep USING (fold, l_tax) GROUP BY fold)
+SELECT trial, round(-avg(mae), 4) AS score, CAST(depth AS VARCHAR) AS max_depth
+FROM drawn JOIN maes USING (depth) GROUP BY trial, depth""",
     "best_candidate_unscored": """SELECT o_orderkey AS trial, o_orderstatus AS status, round(-o_totalprice, 2) AS score
 FROM orders WHERE o_orderkey % 3 = 2 ORDER BY o_totalprice, o_orderkey LIMIT 1""",
     "oof_fold_means": f"""WITH {NET}, train AS (SELECT * FROM net WHERE split = 'train'),

@@ -534,6 +534,18 @@ def cv_search(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cv_search_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty settings of randomised trees on five folds, grown in the same scans.
+
+    On one feature of few values, trees without a split predict the mean outside
+    the fold, and deep ones the means of the feature's values there.
+    """
+    rows = fixtures.training_table(spark, sf).where("split = 'train'")
+    space = {**search.TREE_SPACE, "max_depth": search.Whole(0, 15, 15), "n_estimators": search.Whole(1, 4)}
+    trials = search.search("et", rows, ["l_tax"], TARGET, trials=20, space=space)
+    return trials.select("trial", F.round("score", 4).alias("score"), F.col("params")["max_depth"].alias("max_depth"))
+
+
 def best_candidate_unscored(spark: SparkSession, sf: str) -> DataFrame:
     """Trials without a score (NULL and NaN) are passed over."""
     trials = fixtures.table(spark, sf, "orders").select(
@@ -630,7 +642,7 @@ QUERIES: dict[str, Query] = {
         permutation_importance,
         learner_huber, base_predictions, impurity_importance, oof_predictions, meta_features, stacking,
         stacking_without_features, blending, loaded_scoring, model_roundtrip, permutation_importance_learners,
-        best_candidate, best_candidate_ties, best_candidate_unscored, cv_search, oof_fold_means,
+        best_candidate, best_candidate_ties, best_candidate_unscored, cv_search, cv_search_trees, oof_fold_means,
         study_report, study_tables, rescore_report, ensemble_score,
     ]
 } | {

@@ -356,3 +356,34 @@ def test_settings_and_folds_grow_in_the_same_scans(spark, monkeypatch):
     assert np.isnan(extra_trees.cross_validated_forests(df.limit(0), settings[:1], 5)).all()
     with pytest.raises(ValueError):
         extra_trees.cross_validated_forests(df.where("fold = 0"), settings[:1], 5)
+
+
+def test_a_stopped_search_goes_on_where_it_ended(spark, rows, tmp_path, monkeypatch):
+    space = {"max_depth": search.Whole(1, 3), "n_estimators": search.Whole(1, 1), "min_samples_leaf": search.Whole(1, 60)}
+    ask = lambda **how: search.search(
+        "rf", rows, FEATURES, "y", trials=3, space=space, folds=3, parallelism=1, log=str(tmp_path / "log"), **how
+    )
+    make, fits = search.BASE_LEARNERS["rf"], []
+
+    def counted(*a):
+        fits.append(a)
+        if len(fits) == 5:
+            raise RuntimeError("stopped")
+        return make(*a)
+
+    monkeypatch.setitem(search.BASE_LEARNERS, "rf", counted)
+    with pytest.raises(RuntimeError):
+        ask()
+    kept = spark.read.parquet(str(tmp_path / "log")).count()
+    assert 4 <= kept < 9
+    fits.clear()
+    monkeypatch.setitem(search.BASE_LEARNERS, "rf", lambda *a: fits.append(a) or make(*a))
+    resumed = dict(map(tuple, ask().select("trial", "score").collect()))
+    assert len(fits) == 9 - kept
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == log.select("key", "fold").distinct().count() == 9
+    whole = search.search("rf", rows, FEATURES, "y", trials=3, space=space, folds=3)
+    assert resumed == pytest.approx(dict(map(tuple, whole.select("trial", "score").collect())))
+    fits.clear()
+    ask()
+    assert not fits

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.functions.columns import finite_or_null, named
@@ -103,15 +105,49 @@ def candidates(trials: DataFrame, space: dict, trial: str = "trial", seed: objec
     return trials.select(F.col(trial), *[v.alias(n) for n, v in drawn.items()])
 
 
+# The fold under which a log keeps a score over all folds.
+EVERY_FOLD = -1
+LOG_SCHEMA = "key string, trial long, fold int, score double"
+
+
+class TrialLog:
+    """Scores of finished fits as rows of a table that is only appended to, so that a search can go on after its end.
+
+    A row is written when its fit is scored. Its key follows from the learner,
+    the label, the features and the setting; rows that were written twice are
+    read once. A log belongs to one table and its folds.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, study: Sequence[str] = ()):
+        self.spark, self.path, self.study = spark, path, list(study)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        rows = spark.read.schema(LOG_SCHEMA).parquet(path).collect() if exists else []  # a row per fit
+        self.known = {(r["key"], r["fold"]): r["score"] for r in rows}
+
+    def key(self, setting: dict) -> str:
+        return hashlib.md5(json.dumps([self.study, sorted((n, str(v)) for n, v in setting.items())]).encode()).hexdigest()
+
+    def get(self, setting: dict, fold: int) -> float | None:
+        return self.known.get((self.key(setting), fold))
+
+    def add(self, setting: dict, trial: int, fold: int, score: float) -> None:
+        row = (self.key(setting), trial, fold, float(score))
+        self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self.known[row[0], fold] = row[3]
+
+
 def cross_validate(
     make: Callable[[dict], Estimator], settings: Sequence[dict], rows: DataFrame, label: str, prediction: str,
     fold: str = "fold", folds: int = FOLDS, parallelism: int = PARALLEL_FITS, before: Estimator | None = None,
+    log: TrialLog | None = None,
 ) -> list[float]:
     """Mean of the negated MAE over the folds that have rows, for each setting; NaN if none has.
 
     ``before`` (say, scaler and assembler) is fitted once per fold, on the rows
     outside it, and what it makes of the rows is written once for all settings.
     Every (setting, fold) is then an independent fit and score, several at a time.
+    Scores that ``log`` has are not computed again; new ones are added to it.
     """
     judge = ErrorEvaluator(metric="mae", labelCol=label, predictionCol=prediction)
 
@@ -122,16 +158,21 @@ def cross_validate(
         model = before.fit(train)
         return tuple(materialise(model.transform(x).select("features", named(label))) for x in (train, test))
 
-    kept = in_parallel(prepared, range(folds) if settings else [], parallelism)
+    jobs = [(s, k) for s in range(len(settings)) for k in range(folds)]
+    done = {(s, k): log.get(settings[s], k) for s, k in jobs} if log else {}
+    needed = sorted({k for s, k in jobs if done.get((s, k)) is None})
+    kept = dict(zip(needed, in_parallel(prepared, needed, parallelism)))
 
     def score(job: tuple[int, int]) -> float:
         setting, k = job
+        if done.get(job) is not None:
+            return done[job]
         train, test = kept[k]
-        if test.isEmpty():
-            return math.nan
-        return -judge.evaluate(make(settings[setting]).fit(train).transform(test))
+        found = math.nan if test.isEmpty() else -judge.evaluate(make(settings[setting]).fit(train).transform(test))
+        if log:
+            log.add(settings[setting], setting, k, found)
+        return found
 
-    jobs = [(s, k) for s in range(len(settings)) for k in range(folds)]
     scores = in_parallel(score, jobs, parallelism)
     found = []
     for s in range(len(settings)):
@@ -143,15 +184,18 @@ def cross_validate(
 def search(
     learner: str, rows: DataFrame, features: Sequence[str], label: str, trials: int | None = None,
     space: dict | None = None, fold: str = "fold", folds: int = FOLDS, seed: object = SEARCH_SEED,
-    parallelism: int = PARALLEL_FITS,
+    parallelism: int = PARALLEL_FITS, log: str | None = None,
 ) -> DataFrame:
     """Trial table ``(trial, params, score, unused)`` of one learner.
 
     ``unused`` names the drawn parameters that Spark's learner has no use for.
     ``params`` maps names to text, as the categorical choice mixes words and
-    numbers; ``read_params`` turns it back.
+    numbers; ``read_params`` turns it back. ``log`` is a folder that keeps the
+    score of each finished fit: a search that was stopped and is called again
+    with the same log fits only what is missing.
     """
     spark = rows.sparkSession
+    kept = TrialLog(spark, log, [learner, label, *features, str(folds)]) if log else None
     space = SPACES[learner] if space is None else space
     drawn = candidates(spark.range(TRIALS[learner] if trials is None else trials).withColumnRenamed("id", "trial"), space, seed=seed)
     picked = sorted(drawn.collect(), key=lambda r: r["trial"])
@@ -160,13 +204,23 @@ def search(
     if learner == "et":
         # Scaling moves thresholds along with the values, so these trees need none, and all settings share their scans.
         x = F.array(*[named(c).cast("double") for c in features])
-        scores = cross_validated_forests(
+        missing = [i for i, p in enumerate(settings) if kept is None or kept.get(p, EVERY_FOLD) is None]
+        found = cross_validated_forests(
             rows.select(x.alias("x"), named(label).alias("y"), named(fold).alias("fold")),
-            [{"max_depth": EXTRA_DEPTH, "n_estimators": EXTRA_TREES, "min_samples_leaf": 1} | read_params(p) for p in settings],
+            [{"max_depth": EXTRA_DEPTH, "n_estimators": EXTRA_TREES, "min_samples_leaf": 1} | read_params(settings[i]) for i in missing],
             folds, MODEL_SEED,
         )
+        scores = dict(zip(missing, found))
+        for i, p in enumerate(settings) if kept else ():
+            if i in scores:
+                kept.add(p, i, EVERY_FOLD, scores[i])
+            else:
+                scores[i] = kept.get(p, EVERY_FOLD)
+        scores = [scores[i] for i in range(len(settings))]
     else:
-        scores = cross_validate(make, settings, rows, label, learner, fold, folds, parallelism, preparation(features))
+        scores = cross_validate(
+            make, settings, rows, label, learner, fold, folds, parallelism, preparation(features), kept
+        )
     unused = [n for n in UNUSED.get(learner, ()) if n in space]
     table = [(r["trial"], {n: str(r[n]) for n in space}, s, unused) for r, s in zip(picked, scores)]
     return spark.createDataFrame(table, "trial long, params map<string,string>, score double, unused array<string>")

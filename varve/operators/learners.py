@@ -189,7 +189,9 @@ def fit_all(
         pipeline, rows = jobs[key]
         before = prepared[shared(key)]
         learner = pipeline.getStages()[-1].copy()
-        return PipelineModel(stages=[*before.stages, learner.fit(before.transform(rows))])
+        # A last stage with a formula has nothing to fit.
+        last = learner.fit(before.transform(rows)) if isinstance(learner, Estimator) else learner
+        return PipelineModel(stages=[*before.stages, last])
 
     return dict(zip(jobs, in_parallel(fit, list(jobs), parallelism)))
 

@@ -395,6 +395,12 @@ means AS (SELECT f.fold, avg(target) AS mean FROM (SELECT DISTINCT fold FROM tra
 maes AS (SELECT fold, avg(abs(target - mean)) AS mae FROM train JOIN means USING (fold) GROUP BY fold)
 SELECT trial, round(-avg(mae), 4) AS score, '0' AS max_depth, 'reg_lambda,reg_alpha' AS unused
 FROM maes, range(3) AS t(trial) GROUP BY trial""",
+    **{name: f"""WITH {NET} SELECT l_tax, count(*) AS n,
+round(avg(0.75::DOUBLE * l_extendedprice * (1 - l_discount) + 0.25::DOUBLE * l_quantity * 100 * (1 + l_tax) + 100), 4) AS mean,
+100.0::DOUBLE AS intercept, 0.75::DOUBLE AS disc, 0.25::DOUBLE AS taxed
+FROM net WHERE split = 'test' GROUP BY l_tax""" for name in ("stack_weights", "blend_weights")},
+    "learner_huber_exact": f"""WITH {NET} SELECT l_tax, count(*) AS n,
+round(avg(3 * l_quantity + 0.5::DOUBLE * l_extendedprice - 7), 4) AS mean FROM net WHERE split = 'test' GROUP BY l_tax""",
     "cv_search_trees": f"""WITH {NET}, train AS (SELECT * FROM net WHERE split = 'train'),
 drawn AS (SELECT t AS trial, CAST(floor({hash32('42:max_depth', 'CAST(t AS VARCHAR)')} / 4294967296.0::DOUBLE * 2) AS INTEGER) * 15 AS depth
           FROM range(20) AS r(t)),

@@ -5,10 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.ml import Model
+from pyspark.ml import Model, Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.functions.hashing import hash32
 from varve.operators import cleaning, diagnostics, evaluation, importance, permute, search, splitting
 from varve.operators.ensemble import FoldStack, HoldoutBlend, column_stack, out_of_fold
 from varve.operators.learners import HuberLearner, add_predictions, base_learners, fit_all, scaled
@@ -534,6 +536,51 @@ def cv_search(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Two base models with a formula, and the share of either in the target.
+META_FORMS = {"disc": "l_extendedprice * (1 - l_discount)", "taxed": "l_quantity * 100 * (1 + l_tax)"}
+
+
+def _mixture(spark: SparkSession, sf: str, formula: str) -> DataFrame:
+    """Line items whose target is a formula, but far off in a fiftieth of the rows, chosen by key."""
+    off = F.when(hash32("off", F.col(KEY)) % 50 == 0, F.lit(1e6)).otherwise(F.lit(0.0))
+    return fixtures.training_table(spark, sf).withColumn(TARGET, F.expr(formula) + off)
+
+
+def _by_tax(rows: DataFrame, prediction: str, **found: float) -> DataFrame:
+    """Predictions of test rows by tax, and numbers of the model that made them."""
+    return rows.where("split = 'test'").groupBy("l_tax").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(prediction), 4).alias("mean"),
+        *[F.round(F.lit(float(v)), 6).alias(n) for n, v in found.items()],
+    )
+
+
+def _meta_weights(ensemble: Callable) -> Query:
+    """The meta-learner finds the weights of base models with a formula, whatever a fiftieth of the rows says."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _mixture(spark, sf, f"0.75 * {META_FORMS['disc']} + 0.25 * {META_FORMS['taxed']} + 100")
+        bases = {
+            n: Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {f} AS {n} FROM __THIS__")]) for n, f in META_FORMS.items()
+        }
+        model = ensemble(bases).fit(rows.where("split = 'train'"))
+        weights = dict(zip(META_FORMS, model.meta.coefficients))
+        return _by_tax(model.transform(rows), model.getPredictionCol(), intercept=model.meta.intercept, **weights)
+
+    return query
+
+
+stack_weights = _meta_weights(lambda bases: FoldStack(bases, [], TARGET, passthrough=False))
+blend_weights = _meta_weights(lambda bases: HoldoutBlend(bases, KEY, TARGET))
+
+
+def learner_huber_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Robust regression on a target that is linear but for a fiftieth of the rows."""
+    rows = _mixture(spark, sf, "3 * l_quantity + 0.5 * l_extendedprice - 7")
+    learner = HuberLearner(labelCol=TARGET, predictionCol="huber")
+    model = scaled(learner, ["l_quantity", "l_extendedprice"]).fit(rows.where("split = 'train'"))
+    return _by_tax(model.transform(rows), "huber")
+
+
 def cv_search_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty settings of randomised trees on five folds, grown in the same scans.
 
@@ -647,6 +694,9 @@ QUERIES: dict[str, Query] = {
     ]
 } | {
     **{f"metric_{m}": _metric(m) for m in evaluation.METRICS},
+    "stack_weights": stack_weights,
+    "blend_weights": blend_weights,
+    "learner_huber_exact": learner_huber_exact,
     "learner_gbt": _learner("xgb"),
     "learner_gbt_bagged": _learner("lgb"),
     "learner_rf": _learner("rf"),

@@ -24,3 +24,16 @@ def test_workers_get_the_package_when_only_the_driver_has_it(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "SCORED 30" in out.stdout, out.stderr[-2000:]
+
+
+def test_fits_side_by_side_ship_once(spark, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from varve import session
+
+    added = []
+    monkeypatch.setattr(spark.sparkContext, "_varve_shipped", False, raising=False)
+    monkeypatch.setattr(spark.sparkContext, "addPyFile", added.append)
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda _: session.ship(spark), range(8)))
+    assert len(added) == 1

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPING, _SHARING = threading.Lock(), threading.Lock()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
@@ -16,6 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session, whose one machine holds all executors, falls back to
     a fresh temporary folder; a cluster session must name the folder.
     """
+    with _SHARING:
+        return _shared_dir(spark)
+
+
+def _shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -31,13 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once per application; they may not have it on their path."""
     context = spark.sparkContext
-    if getattr(context, "_varve_shipped", False):
-        return
-    package = Path(__file__).resolve().parent
-    if package.is_dir():  # else it came as an archive already
-        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='varve-')}/varve", "zip", package.parent, package.name)
-        context.addPyFile(archive)
-    context._varve_shipped = True
+    with _SHIPPING:  # fits run side by side, and Spark takes a file of a name once
+        if getattr(context, "_varve_shipped", False):
+            return
+        package = Path(__file__).resolve().parent
+        if package.is_dir():  # else it came as an archive already
+            archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='varve-')}/varve", "zip", package.parent, package.name)
+            context.addPyFile(archive)
+        context._varve_shipped = True
 
 
 def new_path(spark: SparkSession, kind: str) -> str:

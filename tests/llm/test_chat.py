@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,43 +37,58 @@ def test_each_speaker_is_the_assistant_once(spark):
     assert out[3, "ann"]["text"].startswith("<|im_start|>assistant\nfirst")
 
 
-def test_long_and_crowded_dialogues_come_in_parts(spark):
-    rows = [(1, t, f"p{t % 3}", f"turn {t}") for t in range(100)] + [(1, 7, "p1", f"extra {i:03}") for i in range(60)]
-    table = spark.createDataFrame(rows, SCHEMA)
-    whole = chat.rotate(table).collect()
-    parts = chat.rotate(table, part_turns=10, crowded=20).collect()
-    for me in ("p0", "p1", "p2"):
-        (one,) = [r for r in whole if r["perspective"] == me]
-        mine = sorted((r for r in parts if r["perspective"] == me), key=lambda r: r["part"])
-        assert len(mine) > 12 and max(r["n_turns"] for r in mine) <= 40
-        pieces = "".join(r["text"] for r in mine).split("<|im_start|>")
-        assert sorted(pieces) == sorted(one["text"].split("<|im_start|>"))
-        assert sum(b - a for r in mine for a, b in r["spans"]) == sum(b - a for a, b in one["spans"])
-    # Without a crowd the parts follow each other exactly.
-    plain = spark.createDataFrame(rows[:100], SCHEMA)
-    (one,) = [r["text"] for r in chat.rotate(plain).collect() if r["perspective"] == "p0"]
-    mine = sorted(((r["part"], r["text"]) for r in chat.rotate(plain, part_turns=10).collect() if r["perspective"] == "p0"))
-    assert "".join(t for _, t in mine) == one
-
-
-def test_pieces_of_a_crowd_do_not_depend_on_the_layout(spark):
-    rows = [(None, 7, "p1", f"extra {i:03}") for i in range(60)] + [(None, 7, "p2", "again")] * 90 + [(None, None, "p1", "none")] * 45
-    rows += [(None, t, "p1", f"turn {t}") for t in range(12)] + [(2, 0, "p1", "small")] * 3
-    table = spark.createDataFrame(rows, SCHEMA)
+def in_order(rows):
+    """Speaker and text of one dialogue's rows in the order of the rendering."""
+    named = [(t is not None, t or 0, who or "unknown", said or "") for _, t, who, said in rows]
+    named.sort(key=lambda r: (*r[:3], hashlib.sha256(r[3].encode()).hexdigest()))
+    return [(who, said) for _, _, who, said in named]
+
+
+def expected(rows, part_turns):
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = in_order([r for r in rows if r[0] == conv])
+        for me in {who for who, _ in mine} - {"system"}:
+            for part, at in enumerate(range(0, len(mine), part_turns)):
+                out[conv, me, part] = render(mine[at:at + part_turns], me)
+    return out
+
+
+def rendered(table, **how):
+    return {
+        (r["conv_id"], r["perspective"], r["part"]): (r["text"], [tuple(s) for s in r["spans"]])
+        for r in chat.rotate(table, **how).collect()
+    }
+
+
+# A NULL dialogue with most of the rows, a crowded turn number, and a turn that repeats over several parts.
+CROWD = [(None, 7, "p1", f"extra {i:03}") for i in range(60)] + [(None, 7, "p2", "again")] * 90 + [(None, None, "p1", "none")] * 45
+CROWD += [(None, t, "p1", f"turn {t}") for t in range(12)] + [(2, 0, "p1", "small")] * 3
+CROWD += [(3, t, f"p{t % 3}", f"turn {t}") for t in range(100)] + [(3, 50, "system", None), (4, 0, None, "x" * 50_000), (5, 1, "system", "s")]
+
+
+@pytest.mark.parametrize("part_turns", [1, 10, 64, 512])
+def test_parts_equal_brute_force(spark, part_turns):
+    table = spark.createDataFrame(CROWD, SCHEMA).repartition(5)
+    want = expected(CROWD, part_turns)
+    assert max(part for _, _, part in want) == (len([r for r in CROWD if r[0] is None]) - 1) // part_turns
+    assert rendered(table, part_turns=part_turns) == want
+
+
+def test_parts_do_not_depend_on_the_layout(spark):
+    table = spark.createDataFrame(CROWD, SCHEMA)
     first, *others = [
-        sorted((str(r) for r in chat.rotate(t, part_turns=10, crowded=20).collect()))
+        rendered(t, part_turns=10)
         for t in (table.coalesce(1), table.repartition(5), table.orderBy(F.rand(3)), table.repartition(7, "text"))
     ]
     assert all(o == first for o in others)
-    mine = [r for r in chat.rotate(table, part_turns=10, crowded=20).collect() if r["conv_id"] is None and r["perspective"] == "p2"]
-    assert sum(r["n_turns"] for r in mine) == len(rows) - 3
-    crowd = {r["part"]["piece"]: r for r in mine if r["part"]["turn"] == 7}
-    assert set(crowd) == set(range(8))
-    # 90 equal turns go evenly over 8 pieces, and are learned as often.
-    assert sorted(len(r["spans"]) for r in crowd.values()) == [11] * 6 + [12] * 2
-    for r in mine:
-        assert r["text"].count("<|im_start|>") == r["n_turns"]
-        assert all(r["text"][a:b] == "again<|im_end|>" for a, b in r["spans"])
+
+
+def test_one_row_more_adds_to_the_last_part_only(spark):
+    rows = [(1, t, "ann", f"turn {t}") for t in range(40)]
+    less = rendered(spark.createDataFrame(rows[:-1], SCHEMA), part_turns=20)
+    more = rendered(spark.createDataFrame(rows, SCHEMA), part_turns=20)
+    assert set(less) == set(more) and less[1, "ann", 0] == more[1, "ann", 0]
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 0, "system", "s")]])

@@ -5,66 +5,79 @@ that participant as the assistant and all others as users with names, and with
 the spans of text that a model should learn: the assistant's turns and their
 end marks. System turns are shown in each rendering and are no participant.
 
-Turns come in the order of their number, then of speaker and text. A dialogue
-is rendered in parts of ``PART_TURNS`` turn numbers, nearly always a single
-one. Parts that hold more than ``CROWDED`` rows are single turn numbers
-instead, and a turn number with more rows than that is split by a hash of
-speaker and text; turns that repeat are counted and dealt evenly from that piece
-on, so the pieces depend on the rows alone and not on their layout. So a dialogue that fills a third of the table is many parts,
-in order of their column ``part``, and spans count from the start of a part.
-
-NULL is a dialogue, a turn number (just before 0) and a speaker (named
-"unknown") of its own; NULL text is empty. Rows that repeat are rendered as often. Marks
-inside a text are broken up by a space. Dialogues without a participant have
-no rendering.
+Turns come in the order of their number (NULL first), then of speaker and of the
+SHA-256 of the text, and each ``part_turns`` of them, counted from the start of
+the dialogue, are a part, whatever the size of the dialogue. Spans count from
+the start of a part. So a dialogue that fills a third of the table is many
+rows, in order of their column ``part``, and no task or row holds more of it
+than a part: ranks come from a range partitioning over all turns and the number
+of turns that a dialogue has in earlier partitions.
+
+NULL is a dialogue, a turn number and a speaker (named "unknown") of its own;
+NULL text is empty. Rows that repeat are rendered as often; they are counted
+before anything is shuffled. A text of any length is rendered whole. Marks
+inside a text are broken up by a space. Dialogues without a participant, and an
+empty table, have no rendering. Other columns of the input are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.columns import named
+from varve.llm.common import materialise
 
+# Turns of a part.
 PART_TURNS = 512
-CROWDED = 4096
 # Marks around a turn, and the roles that are no participants.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM = ("system",)
 UNKNOWN = "unknown"
 
 
-def _parts(turns: DataFrame, part_turns: int, crowded: int) -> DataFrame:
-    """``turns`` with the columns ``part``, (first number, hash part), and ``copies``, how often a row counts."""
-    block = F.floor(F.coalesce("turn", F.lit(0)) / part_turns)
-    sizes = turns.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("rows"))
-    full = sizes.groupBy("conv", block.alias("block")).agg(F.sum("rows").alias("rows")).where(F.col("rows") > crowded)
-    out = turns.withColumn("block", block)
-    if full.isEmpty():
-        return out.withColumn("part", F.struct((F.col("block") * part_turns).alias("turn"), F.lit(0).alias("piece"))).drop("block").withColumn("copies", F.lit(1))
-    full = full.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.lit(True).alias("full"))
-    crowds = sizes.where(F.col("rows") > crowded).select(
-        F.col("conv").alias("c2"), F.col("turn").alias("t2"), F.ceil(F.col("rows") / crowded).cast("int").alias("pieces")
+def _ranked(turns: DataFrame) -> DataFrame:
+    """Distinct turns with ``copies``, how often each occurs, and ``start``, the rank of the first in its dialogue.
+
+    A written table holds the sorted rows with the task that sorted them.
+    """
+    order = [F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("digest")]
+    alike = turns.withColumn("digest", F.sha2("text", 256)).groupBy("conv", "turn", "speaker", "digest", "text").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    # Rows are distinct by now, so the ranges of a dialogue that has a third of them are as even as others.
+    placed = materialise(
+        alike.repartitionByRange(F.col("conv").asc_nulls_first(), *order).withColumn("task", F.spark_partition_id())
+    )
+    earlier = Window.partitionBy("conv").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("conv", "task").agg(F.sum("copies").alias("n")).withColumn("before", F.sum("n").over(earlier))
+    before = before.where("before > 0").select(F.col("conv").alias("of"), F.col("task").alias("at"), "before")
+    # Only the first dialogue of a task has turns in earlier ones, so this is at most a row per task.
+    found = placed.join(
+        F.broadcast(before), (F.col("task") == F.col("at")) & F.col("conv").eqNullSafe(F.col("of")), "left"
     )
-    out = out.join(full, F.col("conv").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left")
-    out = out.join(crowds, F.col("conv").eqNullSafe(F.col("c2")) & F.col("turn").eqNullSafe(F.col("t2")), "left")
-    first = F.when(F.col("full"), F.col("turn")).otherwise(F.col("block") * part_turns)
-    out = out.withColumn("first", first)
-    alone = out.where(F.col("pieces").isNull()).select(
-        *turns.columns, F.struct(F.col("first").alias("turn"), F.lit(0).alias("piece")).alias("part"), F.lit(1).alias("copies")
+    inside = F.sum("copies").over(
+        Window.partitionBy("task", "conv").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return found.withColumn("start", F.coalesce("before", F.lit(0)) + inside - F.col("copies")).select(
+        "conv", "turn", "speaker", "digest", "text", "copies", "start"
+    )
+
+
+def _parts(ranked: DataFrame, part_turns: int) -> DataFrame:
+    """Rows ``(conv, part, turns)`` with the turns of a part in order, repeated ones as often as they occur."""
+    end = F.col("start") + F.col("copies")
+    cut = ranked.withColumn(
+        "part", F.explode(F.sequence(F.floor(F.col("start") / part_turns), F.floor((end - 1) / part_turns)))
     )
-    # Turns that repeat are one row with a count, whose copies go round the pieces from the hashed one on.
-    alike = out.where(F.col("pieces").isNotNull()).groupBy(*turns.columns, "first", "pieces").agg(F.count(F.lit(1)).alias("rows"))
-    steps = F.sequence(F.lit(0).cast("long"), F.least("rows", F.col("pieces").cast("long")) - 1)
-    dealt = alike.select("*", F.explode(steps).alias("step"))
-    piece = F.pmod(F.pmod(F.xxhash64("speaker", "text"), F.col("pieces")) + F.col("step"), F.col("pieces")).cast("int")
-    copies = F.floor(F.col("rows") / F.col("pieces")) + (F.col("step") < F.col("rows") % F.col("pieces")).cast("int")
-    dealt = dealt.select(
-        *turns.columns, F.struct(F.col("first").alias("turn"), piece.alias("piece")).alias("part"), copies.cast("int").alias("copies")
+    copies = F.least(end, (F.col("part") + 1) * part_turns) - F.greatest("start", F.col("part") * part_turns)
+    turns = F.sort_array(F.collect_list(F.struct("turn", "speaker", "digest", "text", copies.cast("int").alias("copies"))))
+    return cut.groupBy("conv", "part").agg(turns.alias("turns")).withColumn(
+        "turns", F.flatten(F.transform("turns", lambda x: F.array_repeat(F.struct(x["speaker"], x["text"]), x["copies"])))
     )
-    return alone.unionByName(dealt)
 
 
 def _marked_up(x: Column, perspective: Column, systems: Column) -> Column:
@@ -82,7 +95,7 @@ def _marked_up(x: Column, perspective: Column, systems: Column) -> Column:
 
 def rotate(
     turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text",
-    system: Sequence[str] = SYSTEM, part_turns: int = PART_TURNS, crowded: int = CROWDED,
+    system: Sequence[str] = SYSTEM, part_turns: int = PART_TURNS,
 ) -> DataFrame:
     """One row per dialogue, perspective and part.
 
@@ -96,10 +109,9 @@ def rotate(
         F.coalesce(named(text).cast("string"), F.lit("")).alias("text"),
     )
     systems = F.array(*[F.lit(s) for s in system]).cast("array<string>")
-    parts = _parts(rows, part_turns, crowded).groupBy("conv", "part").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "speaker", "text", "copies"))).alias("turns")
-    ).withColumn("turns", F.flatten(F.transform("turns", lambda x: F.array_repeat(x, x["copies"]))))
-    speakers = rows.where(~F.array_contains(systems, F.col("speaker"))).select(
+    ranked = _ranked(rows)
+    parts = _parts(ranked, part_turns)
+    speakers = ranked.where(~F.array_contains(systems, F.col("speaker"))).select(
         F.col("conv").alias("of"), F.col("speaker").alias("perspective")
     ).distinct()
     seen = parts.join(speakers, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
@@ -120,7 +132,7 @@ def rotate(
     )
     return seen.select(
         F.col("conv").alias(conversation), "perspective",
-        F.struct("part.turn", "part.piece").alias("part"), F.size("turns").alias("n_turns"),
+        "part", F.size("turns").alias("n_turns"),
         F.array_join(F.transform("segments", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "").alias("text"),
         spans.alias("spans"),
     )

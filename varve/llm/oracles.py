@@ -50,27 +50,30 @@ ORACLES = {
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM numbered LEFT JOIN best USING (i)
     """,
-    "op6_chat_formatting": """
+    "op6_chat_formatting": r"""
         WITH t AS (
-          SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
-        ), who AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+          SELECT conv_id, turn, coalesce(text, '') AS text,
+                 regexp_replace(coalesce(role, 'unknown'), '[\r\n]+|<\|', ' ', 'g') AS role
+          FROM conversations
+        ), numbered AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i FROM t
+        ), who AS (SELECT DISTINCT conv_id AS of_id, role AS perspective FROM t WHERE role <> 'system'),
         seg AS (
-          SELECT conv_id, perspective, floor(turn / 512) * 512 AS part_turn, turn, role, text,
+          SELECT conv_id, perspective, i // 512 AS part, i, role,
                  '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
                                         ELSE 'user name=' || role END || chr(10) AS head,
                  replace(text, '<|', '< |') || '<|im_end|>' AS body
-          FROM t JOIN who USING (conv_id)
+          FROM numbered JOIN who ON conv_id IS NOT DISTINCT FROM of_id
         ), placed AS (
           SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS start
-          FROM seg WINDOW w AS (PARTITION BY conv_id, perspective, part_turn ORDER BY turn, role, text
-                                ROWS UNBOUNDED PRECEDING)
+          FROM seg WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY i ROWS UNBOUNDED PRECEDING)
         )
-        SELECT conv_id, perspective, part_turn::BIGINT AS part_turn, 0::INTEGER AS part_piece, count(*) AS n_turns,
+        SELECT conv_id, perspective, part::BIGINT AS part, count(*) AS n_turns,
                sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
-               sha256(string_agg(head || body || chr(10), '' ORDER BY turn, role, text)) AS text_sha256,
+               sha256(string_agg(head || body || chr(10), '' ORDER BY i)) AS text_sha256,
                coalesce(string_agg(start::BIGINT::VARCHAR || '-' || (start + length(body))::BIGINT::VARCHAR, ','
-                          ORDER BY turn, role, text) FILTER (role = perspective), '') AS spans
-        FROM placed GROUP BY conv_id, perspective, part_turn
+                          ORDER BY i) FILTER (role = perspective), '') AS spans
+        FROM placed GROUP BY conv_id, perspective, part
     """,
     "op10_mixing": """
         WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),

@@ -56,8 +56,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(read(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return out.select(
-        "conv_id", "perspective", F.col("part.turn").alias("part_turn"), F.col("part.piece").alias("part_piece"),
-        F.col("n_turns").cast("long").alias("n_turns"), F.length("text").cast("long").alias("n_chars"),
+        "conv_id", "perspective", "part", F.col("n_turns").cast("long").alias("n_turns"), F.length("text").cast("long").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"), spans.alias("spans"),
     )
 

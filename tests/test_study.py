@@ -51,7 +51,7 @@ def test_study_and_rescore(spark, sheet, tmp_path, monkeypatch, capsys):
     assert study.features == ["N2 (mol%)", "C7+"]
     # 300 rows: the copy, the gap and the outlier are gone.
     assert study.rows.count() == 300
-    tables = {n: spark.read.parquet(f"{out}/tables/{n}") for n in study.tables}
+    tables = {n: read_table(spark, f"{out}/tables/{n}") for n in study.tables}
     report = {(r["model"], r["split"]): r for r in tables["report"].collect()}
     assert len(report) == 12 and report[("stack", "test")]["r2"] > 0.9
     assert tables["parity"].count() == 6 * report[("rf", "test")]["n"]
@@ -59,9 +59,9 @@ def test_study_and_rescore(spark, sheet, tmp_path, monkeypatch, capsys):
     assert {r["feature"] for r in top} == {"N2 (mol%)"} and len(top) == 6
     assert tables["mape_ranking"].count() == 6
 
-    for r in spark.read.parquet(f"{out}2/tables/report").collect():
+    for r in read_table(spark, f"{out}2/tables/report").collect():
         assert r["r2"] == pytest.approx(report[(r["model"], "test")]["r2"], rel=1e-12)
-    assert spark.read.parquet(f"{out}2/tables/permutation_top").count() == tables["permutation_top"].count()
+    assert read_table(spark, f"{out}2/tables/permutation_top").count() == tables["permutation_top"].count()
 
 
 def test_names_that_the_study_needs_and_other_wrong_inputs(spark, sheet, tmp_path):

@@ -16,6 +16,7 @@ from varve.operators.evaluation import long_predictions, report
 from varve.operators.learners import BASE_LEARNERS, PARALLEL_FITS, add_prediction, base_learners, fit_all
 from varve.operators.splitting import exact_folds, exact_split, fold_index, split_label
 from varve.session import materialise
+from varve.sources import versions
 from varve.sources.model_store import load_models, save_models
 from varve.sources.tables import write_tables
 
@@ -133,8 +134,7 @@ def diagnose(
 
 def check_folder(spark: SparkSession, out: str, mode: str) -> None:
     """Refuse at the start what the last step would refuse."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if mode == "errorifexists" and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if mode == "errorifexists" and versions.exists(spark, out):
         raise FileExistsError(f"{out} exists; choose another folder or mode='overwrite'")
 
 
@@ -165,7 +165,8 @@ def run_study(
     the learners it names. Each base learner is fitted on the training rows
     once; both ensembles, the report and the importances share it. Rows are
     scored once, for the report and all tables. Models and tables below ``out``
-    are written with one ``mode``.
+    are published together: with ``mode="overwrite"`` readers see the study
+    before until all of this one is written.
     """
     if out:
         check_folder(df.sparkSession, out, mode)
@@ -196,8 +197,10 @@ def run_study(
         ),
     }
     if out:
-        save_models(df.sparkSession, models, f"{out}/models")
-        write_tables(tables, f"{out}/tables", mode)
+        version = versions.begin(out)
+        save_models(df.sparkSession, models, f"{version}/models")
+        write_tables(tables, f"{version}/tables")
+        versions.publish(df.sparkSession, version)
     return Study(models, rows, features, tables)
 
 
@@ -206,7 +209,7 @@ def rescore(
     repeats: int = importance.REPEATS, fence_on_train: bool = False, exact: bool = False, key: str | None = None,
 ) -> Study:
     """Load stored models and repeat the report and diagnostics on the test rows."""
-    models = load_models(spark, folder)
+    models = load_models(spark, folder)  # also <out>/models of a study
     rows = prepare(df, target, reference, fence_on_train, exact, key)
     features = cleaning.feature_columns(rows, target, keys=[KEY, "split", "fold"])
     test = rows.where("split = 'test'")

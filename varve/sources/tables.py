@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.functions.columns import finite_or_null, named
+from varve.sources.versions import resolve
 
 
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None, kind: str | None = None
 ) -> DataFrame:
-    """Scan a parquet, ORC or CSV table. Text has no types, so CSV needs a schema."""
+    """Scan a parquet, ORC or CSV table. Text has no types, so CSV needs a schema.
+
+    A path through a published folder leads to its current version.
+    """
+    path = resolve(spark, path)
     kind = kind or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if kind == "csv":
         if schema is None:

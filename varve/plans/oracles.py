@@ -388,6 +388,13 @@ FROM net, (VALUES {', '.join(f"('{m}')" for m in BASES)}) AS m(model) WHERE spli
 FROM lineitem, (VALUES {', '.join(f"('{m}')" for m in BASES)}) AS m(model) GROUP BY model""",
     "impurity_importance": f"""SELECT model, count(DISTINCT i) AS n_features, 1.0::DOUBLE AS total, 'l_extendedprice' AS leading
 FROM (VALUES {', '.join(f"('{m}')" for m in BASES)}) AS m(model), range(4) AS r(i) GROUP BY model""",
+    "split_importance": f"""WITH {NET}, train AS (SELECT * FROM net WHERE split = 'train'),
+grouped AS (SELECT l_tax, count(*) AS n, avg(target) AS mean FROM train GROUP BY l_tax),
+whole AS (SELECT avg(target) AS mean, var_pop(target) * count(*) AS total FROM train),
+tax AS (SELECT count(*) - 1 AS splits, round(sum(n * pow(g.mean - w.mean, 2)) / max(total), 8) AS explained FROM grouped g, whole w)
+SELECT model, feature, CASE WHEN feature = 'l_tax' THEN splits ELSE 0 END AS splits,
+CASE WHEN feature = 'l_tax' THEN explained ELSE 0.0::DOUBLE END AS explained
+FROM tax, (VALUES ('xgb'), ('et')) AS m(model), (VALUES ('l_tax'), ('one')) AS f(feature)""",
     "permutation_importance_learners": f"""SELECT model, count(DISTINCT i) AS n_features, 'l_extendedprice' AS leading
 FROM (VALUES {', '.join(f"('{m}')" for m in BASES)}) AS m(model), range(4) AS r(i) GROUP BY model""",
     "cv_search": f"""WITH {NET}, train AS (SELECT * FROM net WHERE split = 'train'),

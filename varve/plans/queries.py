@@ -381,6 +381,24 @@ def impurity_importance(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def split_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Splits and explained variance from the nodes of fully grown trees, per tree; a constant feature has none."""
+    train = fixtures.training_table(spark, sf).where("split = 'train'").select(KEY, "l_tax", F.lit(1.0).alias("one"), TARGET)
+    params = {"xgb": {"n_estimators": 1, "max_depth": 9}, "et": {"n_estimators": 5, "max_depth": 12}}
+    learners = base_learners(["l_tax", "one"], TARGET, params, list(params))
+    models = fit_all({n: (e, train) for n, e in learners.items()})
+    found = None
+    for kind in ("splits", "gain"):
+        rows = importance.split_importance(spark, models, ["l_tax", "one"], kind).withColumnRenamed("importance", kind)
+        found = rows if found is None else found.join(rows, ["model", "feature"])
+    trees = F.when(F.col("model") == "et", 5).otherwise(1)
+    total = train.agg((F.var_pop(TARGET) * F.count(TARGET)).alias("total"))
+    return found.join(F.broadcast(total)).select(  # one row
+        "model", "feature", (F.col("splits") / trees).cast("long").alias("splits"),
+        F.round(F.col("gain") / trees / F.col("total"), 8).alias("explained"),
+    )
+
+
 def oof_predictions(spark: SparkSession, sf: str) -> DataFrame:
     train = fixtures.training_table(spark, sf).where("split = 'train'")
     bases = base_learners(FEATURES, TARGET, SMALL)
@@ -687,7 +705,7 @@ QUERIES: dict[str, Query] = {
         mean_importance, topk_per_model, topk_global, topk_global_permutation,
         topk_global_normalised, permutation_shuffle,
         permutation_importance,
-        learner_huber, base_predictions, impurity_importance, oof_predictions, meta_features, stacking,
+        learner_huber, base_predictions, impurity_importance, split_importance, oof_predictions, meta_features, stacking,
         stacking_without_features, blending, loaded_scoring, model_roundtrip, permutation_importance_learners,
         best_candidate, best_candidate_ties, best_candidate_unscored, cv_search, cv_search_trees, oof_fold_means,
         study_report, study_tables, rescore_report, ensemble_score,

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,61 @@ def test_nothing_to_learn_from_or_to_judge(spark, labelled):
     assert langid.identify(pages.limit(0), labelled).count() == 0
     (row,) = langid.identify(pages, labelled.limit(0)).collect()
     assert row["language"] == "es"
+
+
+def brute_force(pages, texts):
+    """Posteriors in plain Python: (key, text language, language, confidence) per page."""
+    names = sorted(langid.LANGUAGES)
+    counts = {x: np.full(1 << langid.SLOT_BITS, langid.TRIGRAM_COUNT) for x in names}
+    for text, lang in texts:
+        if (lang or "").lower() in counts:
+            for slot in langid.trigram_slots(text or ""):
+                counts[lang.lower()][slot] += 1
+    logs = {x: np.log(c / c.sum()).astype(np.float32).astype(float) for x, c in counts.items()}
+    rows = []
+    for key, url, html in pages:
+        at = re.search(r"://([^/?#]*)", url or "")
+        host = re.sub(r":\d*$", "", at[1].lower()) if at else ""
+        slots = langid.trigram_slots(langid.visible_text(html or ""))
+        score = np.array([logs[x][slots].sum() for x in names]) * min(1.0, langid.EVIDENCE / max(1, len(slots)))
+        like = np.exp(score - score.max()).clip(1e-300)
+        rows.append((key, host, re.search(r"([^.]*)$", host)[1], langid.declared_language(html or ""), len(slots), like, like / like.sum()))
+    total = lambda keep: sum((r[6] for r in rows if keep(r)), np.zeros(len(names)))
+    top = (total(lambda r: True) + 1) / (total(lambda r: True) + 1).sum()
+    table = np.full((len(names),) * 2, langid.DECLARED_COUNT) + np.eye(len(names)) * langid.DECLARED_COUNT
+    for i, x in enumerate(names):
+        table[i] += total(lambda r: r[3] == x)
+    table /= table.sum(axis=0)
+    out = []
+    for key, host, suffix, declared, n, like, share in rows:
+        end = total(lambda r: r[2] == suffix) + langid.STRENGTH * top
+        prior = np.maximum(total(lambda r: r[1] == host) - share, 0) + langid.STRENGTH * end / end.sum()
+        post = like * prior * (table[names.index(declared)] if declared in names else 1)
+        post /= post.sum()
+        out.append((key, names[int(share.argmax())] if n else None, names[int(post.argmax())], post.max()))
+    return out
+
+
+def test_equals_brute_force(spark, labelled):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").limit(60).collect()
+    # Some pages declare nothing, something false or unknown, have little text, or no address.
+    rows = [tuple(r) for r in pages]
+    rows += [(1000 + i, u, re.sub('lang="[a-z]*"', "", h)[:400]) for i, (_, u, h) in enumerate(rows[:20])]
+    rows += [(2000 + i, None if i % 2 else u, re.sub('lang="[a-z]*"', 'lang="xx"' if i % 3 else 'lang="en"', h)[:300]) for i, (_, u, h) in enumerate(rows[20:40])]
+    rows += [(3000, rows[0][1], None), (3001, None, None)]
+    texts = [tuple(r) for r in labelled.limit(300).collect()]
+    some = spark.createDataFrame(texts, "text string, lang string")
+    found = {r["page_id"]: r for r in langid.identify(spark.createDataFrame(rows, SCHEMA).repartition(3), some).collect()}
+    want = brute_force(rows, texts)
+    assert len(found) == len(want) == len(rows)
+    for key, text_language, language, confidence in want:
+        r = found[key]
+        assert (r["text_language"], r["language"]) == (text_language, language)
+        assert r["confidence"] == pytest.approx(confidence, abs=2e-3)
+
+
+def test_the_pages_of_a_hot_host_are_split(spark, labelled, skewed):
+    rows = [(i, "http://hot.example.de/" + str(i) if i % 3 else f"http://h{i}.example.fr/", f"<p>der die das {i}") for i in range(30_000)]
+    out = langid.identify(spark.createDataFrame(rows, SCHEMA).repartition(40), labelled)
+    assert len(out.collect()) == len(rows)
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()

@@ -9,12 +9,16 @@ sums of the text's posteriors by grouped aggregation; a page's own share is
 left out of its host's counts.
 
 Hosts are aggregated before they shuffle, so a host with a third of all pages
-is one row per task. Models have languages x slots numbers, whatever the input.
+is one row per task, and its pages are split where they meet its prior. Models
+have languages x slots numbers, whatever the input.
 
 NULL and empty pages have no text evidence, a NULL or malformed address has an
 empty host and suffix, and a missing declaration says nothing; what is left
-decides. Rows that repeat get the same result. Without any labelled text the
-trigrams say nothing.
+decides, and of equal posteriors the first language by name. Rows that repeat
+get the same result. A page of any length is read whole; its trigrams weigh as
+much as ``EVIDENCE`` of them. Without any labelled text the trigrams say
+nothing; a table without pages gives an empty table. Other columns of the input
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -159,9 +163,10 @@ def identify(
     suffixes = suffixes.select(F.col("suffix").alias("end"), _normal(
         F.zip_with("sums", top, lambda s, p: s + STRENGTH * p)
     ).alias("end_prior"))
-    priors = hosts.join(suffixes, F.col("suffix") == F.col("end")).select(
+    # As a written table the priors leave the join with the pages its own shuffles, whose large partitions Spark can split.
+    priors = materialise(hosts.join(suffixes, F.col("suffix") == F.col("end")).select(
         F.col("host").alias("site"), F.col("sums").alias("site_sums"), "end_prior"
-    )
+    ))
 
     # How often pages of a language declare each language, by the posterior of their text.
     known = seen.where(F.array_contains(names, F.col("declared"))).groupBy("declared").agg(_sums(n, "share").alias("sums"))

@@ -6,9 +6,17 @@ whose estimate lies clearly above the threshold are boilerplate and those
 clearly below are not; lines whose estimate is near it get an exact distinct
 count. Boilerplate lines are then taken out of all documents.
 
+The lines to take out are gathered per distinct text, which bounds them by the
+lines of that text, whatever keys repeat, and come back to the rows by a join on
+128 bits of the text, which Spark can split where a third of the rows are alike.
+
 Empty lines are layout and stay. A NULL site is no site; a NULL text counts as
 empty. Sketches have a fixed size and combine before the shuffle, so a line
-that a third of all rows carry is one row per task.
+that a third of all rows carry is one row per task. A line that exactly
+``min_sites`` sites carry is boilerplate. Rows that repeat are all treated
+alike, texts of any length are read whole, and an empty table gives an empty
+table. Columns named ``n_lines`` and ``n_removed`` are replaced; other columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,21 +74,22 @@ def boilerplate_lines(
 
 
 def drop_boilerplate(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
+    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
     log_registers: int = LOG_REGISTERS,
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_removed.
-
-    Hashes to take out are gathered per key. They are boilerplate in any
-    document, so rows that share a key do each other no harm.
-    """
+    """``docs`` with boilerplate lines taken out of ``text``, and n_lines and n_removed."""
     bad = materialise(boilerplate_lines(docs, text, site, min_sites, log_registers))
-    hits = _lines(docs, text, named(key).alias("k")).select("k", "hash.a", "hash.b")
+    whole = whole_text(named(text))
+    marks = [F.xxhash64(whole), F.xxhash64(F.lit(1), whole)]
+    hits = _lines(docs, text, marks[0].alias("t"), marks[1].alias("u")).select("t", "u", "hash.a", "hash.b")
     hits = hits.join(bad, ["a", "b"], "left_semi")
-    k, out_hashes, kept, lines = fresh(docs, "k", "bad_hashes", "kept_lines", "all_lines")
-    found = hits.groupBy(F.col("k").alias(k)).agg(F.collect_set(F.struct("a", "b")).alias(out_hashes))
-    out = docs.join(found, named(key).eqNullSafe(named(k)), "left")
-    out = out.withColumn(lines, F.split(whole_text(named(text)), "\n"))
+    t, u, out_hashes, kept, lines, mark_t, mark_u = fresh(docs, "t", "u", "bad_hashes", "kept_lines", "all_lines", "mark_t", "mark_u")
+    # As a written table this leaves the join its own shuffles, whose large partitions Spark can split.
+    found = materialise(hits.groupBy("t", "u").agg(F.collect_set(F.struct("a", "b")).alias("bad_hashes")))
+    found = found.select(F.col("t").alias(t), F.col("u").alias(u), F.col("bad_hashes").alias(out_hashes))
+    out = docs.withColumns({mark_t: marks[0], mark_u: marks[1]})
+    out = out.join(found, (named(mark_t) == named(t)) & (named(mark_u) == named(u)), "left").drop(t, u, mark_t, mark_u)
+    out = out.withColumn(lines, F.split(whole, "\n"))
     stays = F.when(named(out_hashes).isNull(), named(lines)).otherwise(
         F.filter(named(lines), lambda x: (_trimmed(x) == "") | ~F.array_contains(named(out_hashes), _hash(x)))
     )
@@ -89,4 +98,4 @@ def drop_boilerplate(
         "n_lines": F.size(named(lines)).cast("long"),
         "n_removed": (F.size(named(lines)) - F.size(named(kept))).cast("long"),
     })
-    return out.drop(k, out_hashes, kept, lines)
+    return out.drop(out_hashes, kept, lines)

@@ -47,6 +47,9 @@ def test_edge_cases(spark):
     odd = odd.withColumns({c: F.lit(9) for c in ("of", "pieces", "cdf", "times", "copy", "n", "rate", "weight")})
     out = mixing.mix(odd, total=60).collect()
     assert out and set(r["doc_id"] for r in out) == {None, 5}
+    # Other columns keep their values; a column ``copy`` is replaced by the number of the copy.
+    assert {r[c] for r in out for c in ("of", "pieces", "cdf", "times", "n", "rate", "weight")} == {9}
+    assert 0 in {r["copy"] for r in out} and out[0].asDict().keys() >= {"copy", "shuffle_key"}
 
 
 def test_the_draw_does_not_depend_on_the_layout(spark):

@@ -90,6 +90,7 @@ def replicate(
 ) -> DataFrame:
     """``docs`` with each row as often as drawn, and ``copy`` (from 0) and ``shuffle_key``.
 
+    Columns of these two names are replaced; all others stay, whatever their names.
     Rows are dealt over partitions by ``shuffle_key`` and sorted by it inside them.
     """
     (of, pieces, cdf, times) = fresh(docs, "of", "pieces", "cdf", "times")

@@ -46,7 +46,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    # A table of values in the plan; a list of Python rows would go through Python workers.
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, verdict)")
     out = url_rules.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return out.select("page_id", "host", "path", "rule", "verdict")
 

@@ -85,12 +85,6 @@ def test_empty_table(spark):
     assert found(docs) == [] and shingle_join.drop_near_copies(docs).count() == 0
 
 
-def test_prefixes_shorten_until_the_recall_is_reached():
-    assert [shingle_join.matched_depth(0.8, 24, 6, r) for r in (0.9, 0.999, 0.9999, 0.999999)] == [6, 6, 5, 3]
-    with pytest.raises(ValueError):
-        shingle_join.matched_depth(0.8, 2, 6, 0.9999)
-
-
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 201), (201, 200), (7, 7)]
     out = {r["a"]: r["b"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,12 +1,12 @@
-"""Near copies by word shingles: MinHash banding with exact verification.
+"""Near copies by word shingles: a MinHash LSH forest with exact verification.
 
 Texts are sets of runs of ``width`` words (A-Z folded, ASCII white space
 separates). Documents with equal sets are one class and go through the join
 once. Each class has a signature of minimum hashes, cut into labels for
-``trees`` bands; classes that share a prefix of a label meet. The prefix has one
-length for all labels, the longest that reaches the target recall at the
-threshold by formula, so this is an LSH forest reduced to banding. Meetings are verified on the whole sets, so
-links are exact; a pair is verified in the first trie in which it meets.
+``trees`` sorted prefix tries; ``varve.llm.forest`` finds how long a prefix
+counts for each class in each trie, and classes whose prefix ends in the same
+node meet. Meetings are verified on the whole sets, so links are exact; a pair
+is verified in the first trie in which it meets.
 
 Nodes of a trie that have the same members as one of an earlier trie are left
 out. A node with many members, or with long texts, is split into blocks. A block
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from varve.functions.columns import named
 from varve.llm.common import fresh, materialise, whole_text
 from varve.llm.components import connected_components
+from varve.llm.forest import depths_of, meetings
 from varve.llm.words import WordHashes, mixed, windows, words_of
 from varve.session import ship
 
@@ -53,21 +54,6 @@ ERRORS = 6.0
 _FACTORS = mixed(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 
 
-def recall_at(depth: int, similarity: float, trees: int) -> float:
-    """Probability that a pair of this similarity meets in some trie at this depth."""
-    return 1.0 - (1.0 - similarity**depth) ** trees
-
-
-def matched_depth(similarity: float, trees: int, deepest: int, target: float) -> int:
-    """Shorten the matched prefix until pairs at the threshold are found with the target recall."""
-    depth = deepest
-    while depth > 1 and recall_at(depth, similarity, trees) < target:
-        depth -= 1
-    if recall_at(depth, similarity, trees) < target:
-        raise ValueError("more trees are needed for this recall")
-    return depth
-
-
 def shingle_set(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
     return np.unique(windows(hashes(words), width))
 
@@ -150,17 +136,18 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]
 class _Members:
     """The members of one task, with their signatures and the nodes they pass."""
 
-    def __init__(self, table: pa.Table, trees: int, deepest: int, depth: int):
+    def __init__(self, table: pa.Table, trees: int, deepest: int):
         self.values = trees * deepest
         raw = b"".join(table.column("signature").to_pylist())
         self.signatures = np.frombuffer(raw, dtype=np.uint32).reshape(-1, self.values)
         self.sizes = table.column("n").to_numpy()
         self.block = table.column("block").to_numpy()
         self.tree = table.column("tree")[0].as_py()
-        labels = self.signatures.reshape(-1, trees, deepest)[:, :, :depth].astype(np.uint64)
-        nodes = np.zeros(labels.shape[:2], dtype=np.uint64)
-        for d in range(depth):
-            nodes = mixed(nodes + labels[:, :, d] * np.uint64(2) + np.uint64(1))
+        labels = self.signatures.reshape(-1, trees, deepest).astype(np.uint64)
+        depths = table.column("depths").combine_chunks().flatten().to_numpy().reshape(-1, trees)
+        nodes = np.zeros(depths.shape, dtype=np.uint64)
+        for d in range(deepest):
+            nodes = np.where(d < depths, mixed(nodes + labels[:, :, d] * np.uint64(2) + np.uint64(1)), nodes)
         self.nodes = nodes[:, :self.tree + 1]
 
     def candidates(self, i: int, j: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -185,12 +172,12 @@ class _Members:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _needed(trees: int, deepest: int, depth: int, similarity: float) -> Callable:
+def _needed(trees: int, deepest: int, similarity: float) -> Callable:
     schema = _columns("node long, i int, j int, tree int, block int, class binary")
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), table in _tasks(batches):
-            pairs = _Members(table, trees, deepest, depth).candidates(i, j, similarity)
+            pairs = _Members(table, trees, deepest).candidates(i, j, similarity)
             rows = np.unique(np.concatenate(pairs))
             if len(rows):
                 yield from table.select(schema.names).take(pa.array(rows)).cast(schema).to_batches()
@@ -216,13 +203,13 @@ def _bucket_marks(classes: list[bytes]) -> int:
     return marks - (1 << 64) if marks >> 63 else marks
 
 
-def _flagged(trees: int, deepest: int, depth: int, similarity: float) -> Callable:
+def _flagged(trees: int, deepest: int, similarity: float) -> Callable:
     """Which pairs of blocks have candidates, and marks of the members of either that are among these."""
     schema = _columns("node long, i int, j int, tree int, marks_i long, marks_j long")
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (node, i, j), table in _tasks(_unpacked(batches)):
-            members = _Members(table, trees, deepest, depth)
+            members = _Members(table, trees, deepest)
             left, right = members.candidates(i, j, similarity)
             if len(left):
                 classes = table.column("class")
@@ -260,12 +247,12 @@ def common_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def _verified(trees: int, deepest: int, depth: int, similarity: float, packed: bool = False) -> Callable:
+def _verified(trees: int, deepest: int, similarity: float, packed: bool = False) -> Callable:
     schema = _columns("class binary, root binary, links long")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), table in _tasks(_unpacked(batches) if packed else batches):
-            left, right = _Members(table, trees, deepest, depth).candidates(i, j, similarity)
+            left, right = _Members(table, trees, deepest).candidates(i, j, similarity)
             if not len(left):
                 continue
             sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
@@ -321,7 +308,6 @@ def _near_copies(
 ) -> DataFrame:
     """Columns key, class_id, class_size, n_links; if ``marked`` also ``mark``, which tells the row's text."""
     ship(docs.sparkSession)
-    depth = matched_depth(similarity, trees, deepest, recall)
     values = trees * deepest
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(named(key).alias("key"), whole_text(named(text)).alias("text"))
@@ -334,10 +320,7 @@ def _near_copies(
         F.first("signature").alias("signature"),
     ))
 
-    nodes = classes.where("n > 0").select("class", "n", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.xxhash64(t, F.expr(f"substring(signature, 1, {values * 4})").substr(t * (4 * deepest) + 1, F.lit(4 * depth))),
-    )).alias("tree", "node"))
+    nodes = meetings(classes, trees, deepest, similarity, recall)
     sizes = nodes.groupBy("node").agg(
         F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("tree").alias("tree"),
         F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("y"),
@@ -349,8 +332,10 @@ def _near_copies(
     placed = materialise(nodes.select("class", "node").join(first, "node").withColumn(
         "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     ))
-    described = classes.select("class", "n", "signature", "copies")
-    how = (trees, deepest, depth, similarity)
+    described = materialise(
+        classes.select("class", "n", "signature", "copies").join(depths_of(nodes, trees, deepest), "class")
+    )
+    how = (trees, deepest, similarity)
 
     def by_task(df: DataFrame) -> DataFrame:
         return df.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
@@ -365,7 +350,7 @@ def _near_copies(
         _needed(*how), "node long, i int, j int, tree int, block int, class binary"
     ))
     large = placed.where("blocks > 1")
-    packed = by_block(large.join(described.drop("copies"), "class"), "class", "n", "signature")
+    packed = by_block(large.join(described.drop("copies"), "class"), "class", "n", "signature", "depths")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = packed.select("node", "tree", "block", "members", others).select(
         "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tree", "block", "members"
@@ -391,7 +376,7 @@ def _near_copies(
     links = materialise(by_task(full).mapInArrow(_verified(*how), spec))
     if not wanted_large.isEmpty():
         blocks_of = by_block(
-            wanted_large.join(described, "class").join(sets, "class"), "class", "n", "signature", "copies", "shingles"
+            wanted_large.join(described, "class").join(sets, "class"), "class", "n", "signature", "depths", "copies", "shingles"
         ).drop("tree", "blocks")
         pairs = flagged.select("node", "i", "j", "tree", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         between = by_task(pairs.join(blocks_of.hint("merge"), ["node", "block"]))

@@ -323,6 +323,12 @@ limits AS (
 SELECT model, round(lower, 4) AS lower, round(upper, 4) AS upper FROM limits
 UNION ALL SELECT '(all)', round(min(lower), 4), round(max(upper), 4) FROM limits""",
     "quantile_bins": f"WITH {LONG}, {edges('p', 10)} SELECT row_key, model, bin FROM binned",
+    "quantile_bins_unrounded": f"""WITH items AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS quantity FROM lineitem),
+cuts AS (SELECT l_returnflag, list_sort(list_distinct(quantile_cont(quantity, [{', '.join(str(i / 10) for i in range(11))}]))) AS edges
+  FROM items GROUP BY l_returnflag)
+SELECT l_returnflag, quantity, bin, count(*) AS n FROM (
+  SELECT i.*, CASE WHEN len(edges) > 1 THEN CAST(len([e for e in edges[2:len(edges) - 1] if quantity > e]) AS INTEGER) END AS bin
+  FROM items i JOIN cuts USING (l_returnflag)) GROUP BY l_returnflag, quantity, bin""",
     "calibration_deciles": f"""WITH {LONG}, {edges('p', 10)}
 SELECT model, bin, round(avg(p), 4) AS mean_pred, round(avg(y), 4) AS mean_true
 FROM binned WHERE bin IS NOT NULL GROUP BY model, bin""",

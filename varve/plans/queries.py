@@ -245,6 +245,15 @@ def quantile_bins(spark: SparkSession, sf: str) -> DataFrame:
     return binned.select(KEY, "model", "bin")
 
 
+def quantile_bins_unrounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges as the study uses them, on quantities with many ties."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("quantity")
+    )
+    binned = diagnostics.with_quantile_bins(rows, "quantity", diagnostics.DECILES, ["l_returnflag"])
+    return binned.groupBy("l_returnflag", "quantity", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def calibration_deciles(spark: SparkSession, sf: str) -> DataFrame:
     found = diagnostics.calibration(_test_predictions(spark, sf), decimals=EDGE_DECIMALS)
     return rounded(found, mean_pred=4, mean_true=4)
@@ -700,7 +709,8 @@ QUERIES: dict[str, Query] = {
         train_test_split, exact_split, kfold_assign, exact_kfold, blend_holdout,
         quantiles, robust_scale_fit, robust_scale,
         model_report, report_with_gaps, report_sink, cv_neg_mae,
-        parity_table, parity_limits, calibration_limits, quantile_bins, calibration_deciles, mape_ranking,
+        parity_table, parity_limits, calibration_limits, quantile_bins, quantile_bins_unrounded,
+        calibration_deciles, mape_ranking,
         mape_by_bin,
         mean_importance, topk_per_model, topk_global, topk_global_permutation,
         topk_global_normalised, permutation_shuffle,

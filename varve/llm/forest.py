@@ -15,6 +15,9 @@ class make that more than the target recall allows, its longest prefixes are
 shortened, all by as much, until the target holds again. A node that some class
 wants takes in all its members, so prefixes end at the shortest wanted node
 above them and members of a node agree on it; this only adds recall.
+
+A class without shingles meets nobody, equal labels are spread over tasks by
+class, and no classes give no meetings.
 """
 
 from __future__ import annotations

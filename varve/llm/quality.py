@@ -9,9 +9,12 @@ is its soft label. A hashed linear scorer (byte trigrams, words, and the steps
 of the heuristics' measures) is trained on the soft labels of a bounded sample
 and scores all documents in a scan without a shuffle.
 
-NULL counts as the empty text, on which no heuristic has an opinion. Texts that
-repeat get the same score. With an empty table there is nothing to learn and
-nothing to score.
+NULL counts as the empty text, on which no heuristic has an opinion. Texts are
+measured whole, one at a time, so the longest text must fit a task. Texts that
+repeat get the same score; in the sample, rows that repeat key and text are all
+in or all out and go to the same share, in order of text where hashes tie. A
+score of exactly ``keep`` is accepted. A NULL key is carried along. With an empty
+table there is nothing to learn and nothing to score.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """How many fits run side by side, and trees grown from equal rows as one."""
 
 import threading
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -64,3 +65,19 @@ def test_equal_rows_are_grown_as_one(spark, monkeypatch):
     assert np.allclose(one.value, each.value) and np.allclose(one.threshold, each.threshold) and np.allclose(one.gain, each.gain)
     x = np.array([[a, b] for a in range(5) for b in range(3)], float)
     assert np.allclose(one.predict(x), each.value[each.locate(x)].mean(axis=1))
+
+
+def test_a_batch_is_walked_tree_by_tree():
+    forest = extra_trees.Forest.of_roots(300)
+    forest.feature[:], forest.left[:] = 0, 300 + 2 * np.arange(300)
+    for field, leaf in (("feature", -1), ("threshold", 0.0), ("left", -1), ("gain", 0.0), ("count", 1)):
+        old = getattr(forest, field)
+        setattr(forest, field, np.append(old, np.full(600, leaf, old.dtype)))
+    forest.value = np.append(forest.value, np.tile([1.0, 3.0], 300))
+    x = np.random.default_rng(1).normal(size=(10_000, 2))
+    tracemalloc.start()
+    guess = forest.predict(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(guess, np.where(x[:, 0] > 0, 3.0, 1.0))
+    assert peak < 8 * x.shape[0] * 100  # far less than a number per row and tree

@@ -1,10 +1,12 @@
 """Values that rows borrow: the wide form, and the plan of the join."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import permute
+from varve.operators import importance, permute
 
 
 def plan(df):
@@ -37,3 +39,14 @@ def test_positions_that_leave_the_table_come_back(spark):
         keys = permute._keys("seed")
         x = permute._image(pa.array(range(n), pa.int64()).to_numpy(), keys, n)
         assert sorted(x.tolist()) == list(range(n))
+
+
+def test_models_are_added_up_side_by_side(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("key"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    df = df.withColumn("y", 3 * F.col("a") + F.col("b"))
+    forms = {"exact": F.col("y"), "sum": 3 * F.col("a") + F.col("b"), "none": F.lit(None).cast("double")}
+    found = importance.permutation_importance(df, lambda d: d.withColumns(forms), list(forms), ["a", "b"], "y", "key", repeats=2)
+    assert not re.search(r"keys=\[model#\d+, which", plan(found))
+    drops = {(r["model"], r["feature"]): r["importance"] for r in found.collect()}
+    assert drops["exact", "a"] == drops["exact", "b"] == 0 and drops["sum", "a"] > drops["sum", "b"] > 0
+    assert drops["none", "a"] is None and len(drops) == 6

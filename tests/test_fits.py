@@ -81,3 +81,47 @@ def test_a_batch_is_walked_tree_by_tree():
     tracemalloc.stop()
     assert np.array_equal(guess, np.where(x[:, 0] > 0, 3.0, 1.0))
     assert peak < 8 * x.shape[0] * 100  # far less than a number per row and tree
+
+
+def test_a_walk_takes_as_many_steps_as_its_tree_is_deep():
+    forest = extra_trees.Forest.of_roots(3)
+    split = lambda *nodes: extra_trees.pd.DataFrame({
+        "node": nodes, "feature": 0, "threshold": 0.5 / (len(forest.feature)), "gain": 1.0,
+        "left_mean": 0.0, "right_mean": 1.0, "left_n": 1, "right_n": 1,
+    })
+    forest.grow(split(0, 2))
+    forest.grow(split(4, 6))
+    forest.grow(split(8))
+    assert forest._steps()[3].tolist() == [3, 0, 2]
+    x = np.random.default_rng(2).uniform(size=(500, 1))
+    for row, found in zip(x[:, 0], forest.locate(x)):
+        for tree, at in zip([0, 1, 2], found):
+            node = tree
+            while forest.feature[node] >= 0:
+                node = forest.left[node] + int(row > forest.threshold[node])
+            assert node == at
+
+
+def test_best_split_of_a_slot_needs_rows_on_both_sides():
+    cells = {
+        "slot": [1, 1, 0, 0, 2, 3], "feature": [1, 0, 0, 1, 0, 0], "n": [10, 10, 8, 8, 5, 6], "s": [0.0, 0.0, 4.0, 4.0, 1.0, 2.0],
+        "left_n": [5, 5, 1, 4, 5, 1], "left_s": [3.0, 3.0, 9.0, 3.0, 1.0, 5.0],
+    }
+    best = extra_trees._best(extra_trees.pa.table(cells), np.array([2, 1, 1, 1]))
+    assert best["slot"].tolist() == [0, 1, 3] and best["feature"].tolist() == [1, 0, 0]
+    assert best["gain"].tolist() == [9 / 4 + 1 / 4 - 2, 9 / 5 + 9 / 5, 25 + 9 / 5 - 4 / 6]
+    assert best[["left_n", "right_n"]].to_numpy().tolist() == [[4, 4], [5, 5], [1, 5]]
+    assert len(extra_trees._best(extra_trees.pa.table(cells).slice(0, 0), np.array([1]))) == 0
+
+
+def test_a_level_takes_one_shuffle_per_scan(spark, monkeypatch):
+    plans, arrow = [], type(spark.range(1)).toArrow
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return arrow(df)
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", noted)
+    rows = spark.range(400).select(F.array(F.rand(1), F.rand(2)).alias("x"), F.rand(3).alias("y"), F.lit(-2).alias("fold"))
+    extra_trees.grow_forest(rows, extra_trees.Plan.alike(2, 2, 1, 42))
+    assert len(plans) == 4 and all(p.count("Exchange") == 1 for p in plans)

@@ -30,6 +30,19 @@ def test_learners_are_full_size(monkeypatch, name):
     assert found.value.args == (queries.LEARNERS, ())
 
 
+def test_randomised_trees_alone_have_their_published_size(monkeypatch):
+    found = {}
+
+    def asked(features, target, params, names):
+        found.update(params[names[0]])
+        raise Asked
+
+    monkeypatch.setattr(queries, "base_learners", asked)
+    with pytest.raises(Asked):
+        queries.QUERIES["learner_extra_trees"](MagicMock(), "")
+    assert found == {"n_estimators": 100, "max_depth": 15}
+
+
 def test_permutations_repeat_twenty_times(monkeypatch):
     found = {}
 

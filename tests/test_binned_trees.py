@@ -85,6 +85,16 @@ def test_a_fit_takes_few_jobs_whatever_its_rounds(spark, rows):
         assert jobs < 25  # a job per level would be 60 for the rounds of xgb
 
 
+def test_learners_on_the_same_rows_count_their_values_once(rows, monkeypatch):
+    reads, read = [], binned_trees.ValueSums._read
+    monkeypatch.setattr(binned_trees.ValueSums, "_read", lambda self, df: reads.append(1) or read(self, df))
+    table = rows.select(F.col("label").alias("y"), (F.col("label") % 3).alias("a"))
+    params = {"xgb": {"n_estimators": 1, "max_depth": 1}, "rf": {"n_estimators": 1, "max_depth": 1}, "lgb": {"n_estimators": 1, "num_leaves": 2}}
+    bases = base_learners(["a"], "y", params, list(params))
+    fit_all({(n, i): (e, part) for i, part in enumerate([table, table.limit(400)]) for n, e in bases.items()})
+    assert len(reads) == 2
+
+
 def test_summaries_keep_all_counts():
     values, counts = np.unique(np.random.default_rng(1).normal(size=50_000), return_counts=True)
     few, weight = binned_trees.thinned(values, counts, 100)
